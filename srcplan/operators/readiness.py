@@ -275,6 +275,10 @@ def kits(facts: DataFrame, config: str = ".agent") -> DataFrame:
     return found.mapInArrow(run, schema).groupBy(F.col("kit.repo").alias("repo")).agg(F.min_by("kit", "at").alias("kit")).select("kit.*")
 
 
+def _named(name: str) -> Column:
+    return F.filter("gates", lambda g: g["gate"] == name)
+
+
 GATES = ("preflight", "review", "launchkit_validate", "prove_app")
 
 
@@ -296,7 +300,7 @@ def gate_results(kits: DataFrame, only: tuple[str, ...] = (), fail_fast: bool =
     for name in GATES:
         if only and name not in only:
             continue
-        g = F.try_element_at(F.filter("gates", lambda x, n=name: x["gate"] == n), F.lit(1))
+        g = F.try_element_at(_named(name), F.lit(1))
         command = F.coalesce(g["command"], F.lit(""))
         cases = [
             (g.isNull(), "fail", lit(f"{name} gate not configured")),
