@@ -361,6 +361,7 @@ def ignored(t: list[Token], start: int, end: int, typed: bool, packages: dict[st
 def parse(source: str) -> list[dict]:
     """A row for each function: name, receiver, line, end_line, lines, complexity, nesting, params, ignored_errors, typed."""
     t = tokens(source)
+    t += [Token("end", "", t[-1].line if t else 1)] * 4  # so that looking ahead is safe
     found, packages = functions(t), imports(t)
     errs, methods = {f.name: f.errs for f in found if not f.receiver}, {f.name: f.errs for f in found if f.receiver}
     typed = accounted(t, packages, set(errs) | {t[i + 1].text for i, x in enumerate(t[:-1]) if x.text == "type"})

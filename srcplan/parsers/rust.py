@@ -273,6 +273,7 @@ def _receivers(t: list[Token]) -> dict[str, str]:
 
 def parse(source: str) -> list[dict]:
     t = tokens(source)
+    t += [Token("end", "", t[-1].line if t else 1)] * 4  # so that looking ahead is safe
     code = [x for x in t if x.kind != "comment"]
     owners = _receivers(code)
     out, i = [], 0
