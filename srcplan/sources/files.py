@@ -27,7 +27,7 @@ def skipped(relative: Column, kind: str, exclude: tuple[str, ...] = ()) -> Colum
 
 
 def tree(spark: SparkSession, root: str, kind: str, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """(lang, path, content) of the source files under root, path relative to it. Go leaves out tests, as the analysis does."""
+    """(lang, path, content) of the source files under root, path relative to it. Go leaves out tests, as the analysis does; Spark reads no empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", GLOBS[kind]).load(root)
     base = root.rstrip("/").removeprefix("file://").removeprefix("file:")
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/"), "^/*" + _literal(base.lstrip("/")) + "/", "")
