@@ -29,7 +29,7 @@ from srcplan.llm import common as C
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.IntegerType())])
 #: Pieces remembered by a worker before those not used since are dropped; bounds memory only.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -190,6 +190,8 @@ class Encoder:
         cut = [pieces_of(t) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
+            if len(self.pairs) > 10 * REMEMBERED:
+                self.pairs.clear()
         known = self.known
         new = set().union(*cut).difference(known) if cut else set()
         if again := new & self.older.keys():
@@ -240,7 +242,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 ids = enc.encode(b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([None if x is None else len(x) for x in ids], pa.int32())], names=ENCODED.names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENCODED)
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(C.mapped, run, ENCODED)
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -252,7 +254,7 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([enc.decode(x) for x in batch.column("ids").to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long"), "ids").transform(C.mapped, run, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -269,4 +271,4 @@ def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                     [b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([None if x is None else len(x) for x in ids], pa.int32()), pa.array([enc.decode(x) for x in ids], pa.string())], names=schema.names
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(C.mapped, run, schema)

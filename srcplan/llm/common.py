@@ -3,20 +3,41 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
 #: Text taken at once by a worker; only bounds memory, results do not depend on it.
 BLOCK_BYTES = 4 << 20
 
 
+#: What Spark hands a worker at once, so that long texts and many rows fit in its memory; results do not depend on it.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow with batches of bounded size, unless the session names a size of its own."""
+    conf = df.sparkSession.conf
+    if re.sub(r"\D", "", str(conf.get(BATCH))) == str(64 << 20):  # the default
+        conf.set(BATCH, str(BATCH_BYTES))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # gives back what a batch took
+        yield from run(batches)
+
+    return df.mapInArrow(bounded, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

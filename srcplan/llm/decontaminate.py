@@ -137,7 +137,7 @@ def _broadcast(docs: DataFrame, bench: DataFrame, k: int, window: int) -> DataFr
                 if found := index.hits(h, first):
                     yield _rows(b.column("doc_id").to_pylist(), ids, found)
 
-    return docs.mapInArrow(run, HITS)
+    return docs.transform(C.mapped, run, HITS)
 
 
 def _prints(df: DataFrame, key: str, k: int, window: int) -> DataFrame:
@@ -151,7 +151,7 @@ def _prints(df: DataFrame, key: str, k: int, window: int) -> DataFrame:
                 text = np.searchsorted(first, at, "right") - 1
                 yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(text)), pa.array(C.kgrams(h, k)[at].view(np.int64))], names=[key, "fp"])
 
-    return df.mapInArrow(run, schema)
+    return df.transform(C.mapped, run, schema)
 
 
 def _joined(docs: DataFrame, bench: DataFrame, k: int, window: int) -> DataFrame:
@@ -170,7 +170,7 @@ def _joined(docs: DataFrame, bench: DataFrame, k: int, window: int) -> DataFrame
                 if found := Index([item_id], pa.array([item], pa.large_string()), k, window).hits(h, first):
                     yield _rows([doc], [item_id], found)
 
-    return met.mapInArrow(run, HITS)
+    return met.transform(C.mapped, run, HITS)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, small_chars: int = SMALL_CHARS) -> DataFrame:

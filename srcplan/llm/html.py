@@ -159,7 +159,7 @@ def _sharded(pages: DataFrame, min_words: int, min_pages: int) -> DataFrame:
                 row = np.repeat(np.arange(b.num_rows), count)
                 yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(row)) for c in ("host", "page_id", "rid")), pa.array(g[first[:-1][row] + at].view(np.int64)), pa.array(at.astype(np.int32))], names=["host", "page_id", "rid", "prefix", "at"])
 
-    every = rows.select("host", "page_id", "rid", "text").mapInArrow(suffixes, "host string, page_id long, rid long, prefix long, at int")
+    every = rows.select("host", "page_id", "rid", "text").transform(C.mapped, suffixes, "host string, page_id long, rid long, prefix long, at int")
     # partial aggregation keeps a prefix of millions of pages from gathering in one task
     common = every.groupBy("host", "prefix").agg((F.approx_count_distinct("page_id") * 0 + F.count_distinct(F.coalesce("page_id", F.lit(-(2**63)))) if min_pages > 2 else F.when(F.min(F.coalesce("page_id", F.lit(-(2**63)))) < F.max(F.coalesce("page_id", F.lit(-(2**63)))), 2).otherwise(1)).alias("n")).filter(F.col("n") >= min_pages)
     hits = every.join(common.select("host", "prefix"), ["host", "prefix"], "left_semi").groupBy("rid").agg(F.collect_list("at").alias("hits"))
@@ -176,7 +176,7 @@ def _sharded(pages: DataFrame, min_words: int, min_pages: int) -> DataFrame:
             n, m, texts = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), pa.array(n, pa.int32()), pa.array(m, pa.int32()), pa.array(texts, pa.string())], names=RESULT.names)
 
-    return rows.join(hits, "rid", "left").select("page_id", "host", "text", "hits").mapInArrow(cut, RESULT)
+    return rows.join(hits, "rid", "left").select("page_id", "host", "text", "hits").transform(C.mapped, cut, RESULT)
 
 
 def extract(pages: DataFrame, min_words: int = MIN_WORDS, min_pages: int = MIN_PAGES, host_words: int = HOST_WORDS) -> DataFrame:
@@ -190,7 +190,7 @@ def extract(pages: DataFrame, min_words: int = MIN_WORDS, min_pages: int = MIN_P
                 yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), n, pa.array(texts, pa.string())], names=["page_id", "host", "n", "text"])
 
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    parsed = C.saved(pages.select(F.col("page_id").cast("long"), host.alias("host"), "html").mapInArrow(parse, "page_id long, host string, n int, text string"), "visible")
+    parsed = C.saved(pages.select(F.col("page_id").cast("long"), host.alias("host"), "html").transform(C.mapped, parse, "page_id long, host string, n int, text string"), "visible")
     large = [r[0] for r in parsed.groupBy("host").agg(F.sum("n").alias("n")).filter(F.col("n") > host_words).select("host").collect()]
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from srcplan.llm import common as C
+
 FAMILIES = {
     "germanic": "en de nl af sv da no nb nn is fy lb yi",
     "romance": "fr es it pt ro ca gl oc la",
@@ -99,14 +101,13 @@ def _letter(c: np.ndarray) -> np.ndarray:
 
 def fit_pair(x: np.ndarray, y: np.ndarray, c: float = 20.0, rounds: int = 300) -> np.ndarray:
     """Weights (bias last) of a linear machine with squared hinge loss, by accelerated gradient steps. y: +1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w = np.zeros(x.shape[1], np.float32)
-    v, step = w.copy(), 1.0 / (1.0 + 2 * c * 2)
+    w = np.zeros(x.shape[1] + 1, np.float32)
+    v, step = w.copy(), np.float32(1.0 / (1.0 + 2 * c * 2))
     for i in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ v))
-        new = v - step * (v - 2 * c * (x.T @ (share * y * slack)))
-        v = new + i / (i + 3) * (new - w)
+        pull = share * y * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1]))
+        new = v - step * (v - np.float32(2 * c) * np.append(pull @ x, pull.sum()))
+        v = new + np.float32(i / (i + 3)) * (new - w)
         w = new
     return w
 
@@ -224,4 +225,4 @@ def _applied(df: DataFrame, model: Model, schema: T.StructType) -> DataFrame:
                 made = {"family": pa.array(family, pa.string()), "language": pa.array(language, pa.string()), "margin": pa.array(margin), "accepted": pa.array(ok)}
                 yield pa.RecordBatch.from_arrays([b.column(key), *[made[c] for c in schema.names[1:]]], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.transform(C.mapped, run, schema)

@@ -142,7 +142,7 @@ def build_index(docs: DataFrame, min_chars: int = MIN_CHARS, shards: int | None
         return pd.DataFrame([[pdf["shard"].iloc[0], *PerfectHash.build(uniq, np.bincount(inv, n).astype(np.int64)).row()]], columns=INDEX.names)
 
     hashes = docs.select(F.array_compact(F.array_distinct(line_hashes(F.col("text"), min_chars))).alias("h")).filter(F.size("h") > 0)
-    return C.saved(hashes.mapInArrow(combine, "shard int, h binary, n binary").groupBy("shard").applyInPandas(build, INDEX), "lines")
+    return C.saved(hashes.transform(C.mapped, combine, "shard int, h binary, n binary").groupBy("shard").applyInPandas(build, INDEX), "lines")
 
 
 def _cut(text: str, drop: np.ndarray) -> tuple[str, int]:
@@ -196,7 +196,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
                             marks[own] = tables[int(k)].count(h[own]) >= min_docs
                     yield batch_of(b, marks, col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
 
-        out = carried.mapInArrow(probe, schema)
+        out = carried.transform(C.mapped, probe, schema)
     else:
         rows = C.saved(carried.withColumn("rid", F.monotonically_increasing_id()), "rows")
 
@@ -211,7 +211,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
                 h = b.column("h").to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard_of(h.view(U64), shards))], names=["rid", "at", "h", "shard"])
 
-        asked = rows.select("rid", F.posexplode("h").alias("at", "h")).filter("h is not null").mapInArrow(to_shard, "rid long, at int, h long, shard int")
+        asked = rows.select("rid", F.posexplode("h").alias("at", "h")).filter("h is not null").transform(C.mapped, to_shard, "rid long, at int, h long, shard int")
         found = asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(ask, "rid long, at int").groupBy("rid").agg(F.collect_list("at").alias("hits"))
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +222,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
                     marks[[start + i for i in at or ()]] = True
                 yield batch_of(b, marks, counts)
 
-        out = rows.join(found, "rid", "left").select("row", "text", "h", "hits").mapInArrow(cut, schema)
+        out = rows.join(found, "rid", "left").select("row", "text", "h", "hits").transform(C.mapped, cut, schema)
     kept = [F.col("text").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names]
     return out.select(*kept, *([F.col("cut").alias(removed)] if removed else []))
 

@@ -163,7 +163,7 @@ def _sketches(docs: DataFrame, k: int, picks: int, sketches: int) -> DataFrame:
                     [b.column("doc_id").take(pa.array(some)), pa.array(np.diff(first)[some].astype(np.int32)), pa.array(whole[:, 0].view(np.int64)), pa.array(whole[:, 1].view(np.int64)), pa.array([r.tobytes() for r in s], pa.binary())], names=schema.names
                 )
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(C.mapped, run, schema)
 
 
 def _buckets(reps: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def _buckets(reps: DataFrame) -> DataFrame:
             m = len(s) // b.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(c).to_numpy(), m)) for c in ("doc_id", "n")] + [pa.array(s)], names=["doc_id", "n", "key"])
 
-    return reps.select("doc_id", "n", "s").mapInArrow(run, "doc_id long, n int, key long")
+    return reps.select("doc_id", "n", "s").transform(C.mapped, run, "doc_id long, n int, key long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def _candidates(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 low = (h >> U64(32)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([low[first[i] : first[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], names=["doc_id", "words"])
 
-    return C.saved(some.mapInArrow(run, "doc_id long, words binary"), "words")
+    return C.saved(some.transform(C.mapped, run, "doc_id long, words binary"), "words")
 
 
 def _verify(pairs: DataFrame, words: DataFrame, threshold: float, chunk: int = 64) -> DataFrame:

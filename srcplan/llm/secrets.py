@@ -247,7 +247,7 @@ def scan(docs: DataFrame, rules: list[tuple[str, str]] | None = None) -> DataFra
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()))], names=RESULT.names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(C.mapped, run, RESULT)
 
 
 def _quoted(s: str) -> str:

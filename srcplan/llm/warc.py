@@ -165,7 +165,7 @@ def read_warc(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES) ->
                     if rows:
                         yield _batch(rows)
 
-    return files.mapInArrow(run, CHUNKS)
+    return files.transform(C.mapped, run, CHUNKS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -208,7 +208,7 @@ def write_warc(pages: DataFrame, path: str) -> int:
             close()
         yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    return pages.select("page_id", "url", "html").transform(C.mapped, run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def page_chunks(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
