@@ -126,7 +126,7 @@ class Machines:
         at = np.array([labels.index(v) for v in y])
         pairs = list(combinations(range(len(labels)), 2))
         w = [fit_pair(x[(at == a) | (at == b)], np.where(at[(at == a) | (at == b)] == a, 1, -1).astype(np.float32)) for a, b in pairs]
-        return cls(labels, pairs, np.array(w, np.float32).reshape(len(pairs), -1))
+        return cls(labels, pairs, np.array(w, np.float32).reshape(len(pairs), x.shape[1] + 1))
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(label of each row by votes, smallest score of it against any rival)."""
