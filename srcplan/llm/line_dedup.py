@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 from srcplan.llm import common as C
 
 MIN_DOCS, MIN_CHARS = 5, 20
+#: Lines that ask one shard at once, where the arrays are not sent.
+ASK_LINES = 2_000_000
 #: Arrays of up to so many bytes are sent to all workers (about 5 bytes a distinct line).
 SMALL_BYTES = 192 << 20
 GAMMA = 2.0
@@ -153,7 +155,7 @@ def _cut(text: str, drop: np.ndarray) -> tuple[str, int]:
     return "\n".join(x for x, d in zip(lines, drop) if not d), int(drop.sum())
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, small_bytes: int = SMALL_BYTES, shards: int | None = None, removed: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, small_bytes: int = SMALL_BYTES, shards: int | None = None, removed: str | None = None, ask_lines: int = ASK_LINES) -> DataFrame:
     """docs with common lines cut from text; removed names a further column for the number of lines cut."""
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -203,7 +205,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
         def ask(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
                 return pd.DataFrame({"rid": pd.Series(dtype="int64"), "at": pd.Series(dtype="int32")})
-            n = PerfectHash.of(*right.iloc[0, 1:]).count(left["h"].to_numpy().view(U64))
+            n = PerfectHash.of(*right.iloc[0, 2:]).count(left["h"].to_numpy().view(U64))
             return left.loc[n >= min_docs, ["rid", "at"]]
 
         def to_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,8 +213,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
                 h = b.column("h").to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard_of(h.view(U64), shards))], names=["rid", "at", "h", "shard"])
 
+        # questions to a shard come in parts of bounded size, so that neither many lines nor a line that all have fill a task
+        lines = rows.agg(F.sum(F.size("h"))).first()[0] or 0
+        parts = max(1, -(-lines // (shards * ask_lines)))
         asked = rows.select("rid", F.posexplode("h").alias("at", "h")).filter("h is not null").transform(C.mapped, to_shard, "rid long, at int, h long, shard int")
-        found = asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(ask, "rid long, at int").groupBy("rid").agg(F.collect_list("at").alias("hits"))
+        asked = asked.withColumn("part", F.pmod(F.xxhash64("rid", "at"), F.lit(parts)).cast("int"))
+        told = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("shard", "part", *INDEX.names[1:])
+        found = asked.groupBy("shard", "part").cogroup(told.groupBy("shard", "part")).applyInPandas(ask, "rid long, at int").groupBy("rid").agg(F.collect_list("at").alias("hits"))
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -209,7 +209,7 @@ def test_line_dedup_equals_brute_force(spark, small):
     texts = ["\n".join(rng.choices(common_lines, k=rng.randrange(4)) + [f"own line {d} {k} with more words in it" for k in range(rng.randrange(6))] + ["short"]) for d in range(60)]
     texts += [None, "", "\n\n", common_lines[0], common_lines[0] + "\n" + common_lines[0], "  " + common_lines[1] + "  \n" + "x" * 200_000]
     df = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)] + [(0, texts[0], "h")], "doc_id long, text string, h string")
-    got = line_dedup.dedup_lines(df, small_bytes=small, shards=3, removed="n")
+    got = line_dedup.dedup_lines(df, small_bytes=small, shards=3, removed="n", ask_lines=20)
     want = _brute_lines([*texts, texts[0]], line_dedup.MIN_DOCS, line_dedup.MIN_CHARS)
     assert got.columns == ["doc_id", "text", "h", "n"]
     assert Counter((r["doc_id"], r["text"], r["n"]) for r in got.collect()) == Counter((i, *w) for i, w in zip([*range(len(texts)), 0], want))
