@@ -25,8 +25,7 @@ def review_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _kinds(files: DataFrame) -> DataFrame:
-    b = structural.buckets(files)
-    return structural.ratios(b).join(structural.cohesion(files), "diff_id").join(b.select("diff_id", "ephemeral", "reusable"), "diff_id")
+    return structural.ratios(structural.buckets(files), "ephemeral", "reusable").join(structural.cohesion(files), "diff_id")
 
 
 def review_diagnostics(spark: SparkSession, d: str) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcplan.functions import paths
 
 LOW_COHESION, SIMILAR = 0.6, 0.3
+#: Written files of a diff up to which all pairs are formed within its row; the pairs of larger diffs meet by word in a join.
+IN_ROW = 400
 
 
 def buckets(files: DataFrame) -> DataFrame:
@@ -31,8 +33,8 @@ def buckets(files: DataFrame) -> DataFrame:
     )
 
 
-def ratios(summed: DataFrame) -> DataFrame:
-    """overhead, test_to_logic (infinite for tests without logic) and productive for rows of buckets()."""
+def ratios(summed: DataFrame, *keep: str) -> DataFrame:
+    """overhead, test_to_logic (infinite for tests without logic) and productive for rows of buckets(), with the columns to keep."""
     c = F.col
     work, support = c("logic") + c("reusable"), c("ephemeral") + c("config_structural")
     part = lambda a, b: F.when(b != 0, a / b).otherwise(0.0)
@@ -41,6 +43,7 @@ def ratios(summed: DataFrame) -> DataFrame:
         part(support, work + support).alias("overhead"),
         F.when(work != 0, c("test") / work).when(c("test") > 0, F.lit(float("inf"))).otherwise(0.0).alias("test_to_logic"),
         part(c("reusable"), c("reusable") + c("ephemeral")).alias("productive"),
+        *keep,
     )
 
 
@@ -53,60 +56,74 @@ def similarities(files: DataFrame) -> DataFrame:
 
     Pairs meet by word, so files that share none are never compared.
     """
-    words = _written(files).select("diff_id", "file_idx", F.size("words").alias("n"), F.explode("words").alias("word"))
+    return _similar(_written(files))
+
+
+def _similar(written: DataFrame) -> DataFrame:
+    words = written.select("diff_id", "file_idx", F.size("words").alias("n"), F.explode("words").alias("word"))
     other = words.select("diff_id", "word", F.col("file_idx").alias("b"), F.col("n").alias("nb"))
     met = words.join(other, ["diff_id", "word"]).filter("file_idx < b").groupBy("diff_id", F.col("file_idx").alias("a"), "b").agg(F.count("*").alias("both"), F.first("n").alias("na"), F.first("nb").alias("nb"))
     return met.select("diff_id", "a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
 
 
-def cohesion(files: DataFrame) -> DataFrame:
-    """(diff_id, variance): one less the mean similarity of all pairs of written files, 0 for fewer than two."""
-    n = files.groupBy("diff_id").agg(F.count_if(~F.col("is_generated") & ~F.col("is_lockfile") & ~F.col("is_binary")).alias("n"))
-    total = similarities(files).groupBy("diff_id").agg(F.sum("jaccard").alias("s"))
-    mean = F.coalesce("s", F.lit(0.0)) / F.greatest(F.lit(1), F.col("n") * (F.col("n") - 1) / 2)
+def linked(files: DataFrame, in_row: int = IN_ROW) -> DataFrame:
+    """(diff_id, f, variance, edges): the written files of each diff (file_idx, path), one less the mean similarity of all pairs (0 for fewer than two files), and the similar pairs.
+
+    One shuffle for diffs of up to in_row written files; larger ones, which would have too many pairs for a row, go through similarities().
+    """
+    written = ~F.col("is_generated") & ~F.col("is_lockfile") & ~F.col("is_binary")
+    item = F.when(written, F.struct("file_idx", "path", paths.tokens(F.col("path")).alias("words")))
+    rows = files.groupBy("diff_id").agg(F.array_sort(F.collect_list(item)).alias("f"))
+
+    def jaccard(x: Column, y: Column) -> Column:
+        both = F.size(F.array_intersect(x["words"], y["words"]))
+        return both / (F.size(x["words"]) + F.size(y["words"]) - both)
+
+    # files that share no word are at 0; a path without any word is like no other
+    some = lambda x, y: F.size(x["words"]) + F.size(y["words"]) > 0
+    after = lambda i: F.slice("f", i + 2, F.size("f"))
+    pairs = F.flatten(F.transform("f", lambda x, i: F.transform(after(i), lambda y: F.struct(x["file_idx"].alias("a"), y["file_idx"].alias("b"), F.when(some(x, y), jaccard(x, y)).otherwise(0.0).alias("j")))))
+    small = rows.filter(F.size("f") <= in_row).withColumn("pairs", pairs)
+    small = small.select("diff_id", "f", F.aggregate("pairs", F.lit(0.0), lambda s, p: s + p["j"]).alias("s"), F.transform(F.filter("pairs", lambda p: p["j"] >= SIMILAR), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"))).alias("edges"))
+    large = rows.filter(F.size("f") > in_row)
+    near = _similar(large.select("diff_id", F.explode("f").alias("x")).select("diff_id", "x.*"))
+    near = near.groupBy("diff_id").agg(F.sum("jaccard").alias("s"), F.collect_list(F.when(F.col("jaccard") >= SIMILAR, F.struct("a", "b"))).alias("edges"))
+    large = large.join(near, "diff_id", "left").select("diff_id", "f", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("edges", F.array()).alias("edges"))
+    every = small.unionByName(large)
+    n = F.size("f").cast("long")
     # rounded, as sums of doubles depend on their order and the value is compared with a threshold
-    return n.join(total, "diff_id", "left").select("diff_id", F.when(F.col("n") < 2, 0.0).otherwise(F.round(1 - mean, 12)).alias("variance"))
+    variance = F.when(n < 2, 0.0).otherwise(F.round(1 - F.col("s") / F.greatest(F.lit(1), n * (n - 1) / 2), 12))
+    return every.select("diff_id", F.transform("f", lambda x: F.struct(x["file_idx"].alias("file_idx"), x["path"].alias("path"))).alias("f"), variance.alias("variance"), "edges")
 
 
-def clusters(files: DataFrame, variance: DataFrame | None = None) -> DataFrame:
+def cohesion(files: DataFrame, in_row: int = IN_ROW) -> DataFrame:
+    """(diff_id, variance): one less the mean similarity of all pairs of written files, 0 for fewer than two."""
+    return linked(files, in_row).select("diff_id", "variance")
+
+
+def clusters(files: DataFrame, in_row: int = IN_ROW) -> DataFrame:
     """(diff_id, cluster, file_idx, path) for diffs of low cohesion: connected files by similarity, groups of two and more, numbered by their first file."""
-    low = (cohesion(files) if variance is None else variance).filter(F.col("variance") > LOW_COHESION).select("diff_id")
-    edges = similarities(files).filter(F.col("jaccard") >= SIMILAR).join(low, "diff_id", "left_semi")
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Union-find over edges sorted by diff; a diff may go on in the next batch."""
-        now, root, rows = None, {}, []
-
-        def find(x: int) -> int:
-            root.setdefault(x, x)
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        def close() -> None:
-            number = {r: k + 1 for k, r in enumerate(sorted({find(x) for x in root}))}
-            rows.extend((now, number[find(x)], x) for x in sorted(root))
-            root.clear()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32()))], names=["diff_id", "cluster", "file_idx"])
-            rows.clear()
-            return out
-
+        """Union-find within each row."""
         for batch in batches:
-            for d, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                if d != now:
-                    close()
-                    now = d
-                a, b = find(a), find(b)
-                root[max(a, b)] = min(a, b)
+            rows = []
+            for diff, files, edges in zip(*(c.to_pylist() for c in batch.columns)):
+                root: dict[int, int] = {}
+
+                def find(x: int) -> int:
+                    while root.setdefault(x, x) != x:
+                        root[x] = root[root[x]]
+                        x = root[x]
+                    return x
+
+                for e in edges:
+                    a, b = sorted((find(e["a"]), find(e["b"])))
+                    root[b] = a
+                number = {r: k + 1 for k, r in enumerate(sorted({find(x) for x in list(root)}))}
+                rows.extend((diff, number[find(x["file_idx"])], x["file_idx"], x["path"]) for x in files if x["file_idx"] in root)
             if rows:
-                yield flush()
-        close()
-        if rows:
-            yield flush()
-
-    ordered = edges.select("diff_id", "a", "b").repartition("diff_id").sortWithinPartitions("diff_id", "a", "b")
-    found = ordered.mapInArrow(unite, "diff_id long, cluster int, file_idx int")
-    return found.join(files.select("diff_id", "file_idx", "path"), ["diff_id", "file_idx"]).select("diff_id", "cluster", "file_idx", "path")
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=["diff_id", "cluster", "file_idx", "path"])
+
+    low = linked(files, in_row).filter((F.col("variance") > LOW_COHESION) & (F.size("edges") > 0))
+    return low.select(F.col("diff_id").cast("long"), "f", "edges").mapInArrow(unite, "diff_id long, cluster int, file_idx int, path string")

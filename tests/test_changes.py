@@ -134,11 +134,14 @@ def test_structure(spark):
     assert s["test_to_logic"] == float("inf")
 
 
-def test_similarity_equals_all_pairs(spark):
+@pytest.mark.parametrize("in_row", [400, 2])
+def test_similarity_equals_all_pairs(spark, in_row):
     rng = random.Random(3)
     words = ["a", "b", "c", "d", "e"]
     files = [(d, i, "/".join(rng.choices(words, k=rng.randrange(1, 4))) + f".{rng.choice(words)}", 1, 0) for d in range(40) for i in range(rng.randrange(1, 6))]
-    got = {r["diff_id"]: r["variance"] for r in structural.cohesion(diff.facts(spark.createDataFrame(files, FILE))).collect()}
+    f = diff.facts(spark.createDataFrame(files, FILE))
+    got = {r["diff_id"]: r["variance"] for r in structural.cohesion(f, in_row).collect()}
+    assert sorted(map(tuple, structural.clusters(f, in_row).collect())) == sorted(map(tuple, structural.clusters(f).collect()))
     for d in range(40):
         sets = [set(filter(None, re.split("[/.]", p))) for x, _, p, _, _ in files if x == d]
         pairs = [1 - len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[i + 1 :]]
