@@ -245,7 +245,7 @@ _SRC = {
 }
 _OR = {"Build": _IN(_HAS("go.mod"), "'go.mod'"), "Test": _IN(_HAS("go.mod"), "'go.mod'"), "Type Check": _IN(_HAS("go.mod"), "'go.mod'"), "Lint": "NULL"}
 _WHAT = {"Build": ("Build", "fail", "No build configuration found", True), "Test": ("Tests", "warn", "No test configuration found", True), "Type Check": ("Type checking", "warn", "No type checking configuration found", True), "Lint": ("Linting", "warn", "No lint configuration found", False)}
-_PROVE = f"""pr AS (SELECT repo, 'Config' AS name, true AS required, {_LIST([_IN(_HAS(n), f"'{n}'") for n in ('go.mod', 'package.json', 'tsconfig.json', 'Makefile')])} AS s, 'Essential config files present' AS lead, 'fail' AS bad, 'No essential config files found (go.mod, package.json, tsconfig.json, Makefile)' AS none FROM mg
+_PROVE = f"""pr AS (SELECT repo, 'Config' AS name, true AS required, {_LIST([_IN(_HAS(n), f"'{n}'") for n in ('go.mod', 'package.json', 'tsconfig.json', 'Makefile')])} AS s, 'Essential config files present' AS lead, 'fail' AS bad, 'No essential config files found ({', '.join(readiness.ESSENTIAL)})' AS none FROM mg
 {" ".join(f"UNION ALL SELECT repo, '{n}', {str(q).lower()}, CASE WHEN len({_LIST(_SRC[n])}) > 0 THEN {_LIST(_SRC[n])} ELSE {_LIST([_OR[n]])} END, '{w} configured', '{b}', '{x}' FROM mg" for n, (w, b, x, q) in _WHAT.items())}
 UNION ALL SELECT repo, 'Docker', false, {_LIST([_IN(_HAS('Dockerfile'), "'Dockerfile found'")])}, '', 'warn', 'No Dockerfile found' FROM mg
 UNION ALL SELECT repo, 'CI', false, {_LIST([_IN(_HAS('.github/workflows/ci.yml'), "'CI workflow found'")])}, '', 'warn', 'No CI workflow found' FROM mg

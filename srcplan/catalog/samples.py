@@ -59,7 +59,7 @@ import * as log from './log@N';
 export default function Panel({ title, items: rows }: Props) {
   const [open, setOpen] = useState<boolean>(false);
   const [n, setN] = useState(@N);
-  useEffect(() => { document.title = `${title} ${n > 1 ? 'many' : "one"}`; }, [n]);
+  useEffect(() => { log.say(`${title} ${n > 1 ? 'many' : "one"}`); }, [n]);
   const handleKey = (e) => { if (e.key === 'x') setOpen(!open); };
   return (
     <Card onKeyDown={handleKey}>

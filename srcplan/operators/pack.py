@@ -30,8 +30,8 @@ def summaries(files: DataFrame, findings: DataFrame) -> DataFrame:
     n = findings.groupBy(F.col("file").alias("path")).agg(F.count("*").alias("findings"))
     f = files.join(n, "path", "left").withColumn("findings", F.coalesce("findings", F.lit(0)))
     base = F.when(F.col("findings") > 0, F.format_string("%d lines, %d diagnostics", "lines", "findings")).otherwise(F.format_string("%d lines", "lines"))
-    module = F.format_string("Module with %s, %d hooks, %d imports", base, "hooks", "imports")
-    exports = F.format_string("Exports %s (%s, %d components, %d hooks)", F.array_join("components", ", "), base, F.size("components"), "hooks")
+    module = F.format_string("Module with %s" + ", %d hooks" + ", %d imports", base, "hooks", "imports")
+    exports = F.format_string("Exports %s (%s" + ", %d components" + ", %d hooks)", F.array_join("components", ", "), base, F.size("components"), "hooks")
     return f.select("path", "lines", "findings", F.when(F.size("components") == 0, module).otherwise(exports).alias("summary"))
 
 

@@ -19,10 +19,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 MANAGERS = [("bun.lock", "bun"), ("bun.lockb", "bun"), ("pnpm-lock.yaml", "pnpm"), ("yarn.lock", "yarn"), ("package-lock.json", "npm"), ("go.mod", "go"), ("Cargo.toml", "cargo"), ("package.json", "npm")]
 LINT_FILES = (".eslintrc", ".eslintrc.js", ".eslintrc.json", ".eslintrc.yaml", ".eslintrc.yml")
 GOLANGCI = (".golangci.yaml", ".golangci.yml")
-ENV_FILES = (".env", ".env.local", ".env.production", ".env.development")
-SCRIPTS = ("typecheck", "lint", "test", "build", "format")
+ENV_FILES = (".env", *(f".env.{x}" for x in ("local", "production", "development")))
+SCRIPTS = tuple("typecheck lint test build format".split())
+VERIFYING = "lint test typecheck build check".split()
+ESSENTIAL = "go.mod package.json tsconfig.json Makefile".split()
 HEALTH = ("health", "livez", "probes", "readiness", "readyz")
-_FILES = ["go.mod", "package.json", "Cargo.toml", "requirements.txt", "pyproject.toml", "README.md", ".gitignore", "LICENSE", "next.config.js", "next.config.ts", "convex.json", "middleware.ts", "src/middleware.ts", "vercel.json", "AGENTS.md", "tsconfig.json", "Makefile", "Dockerfile", "sigil.json"]
+_FILES = ["go.mod", "package.json", "Cargo.toml", "requirements.txt", "pyproject.toml", "README.md", ".gitignore", "LICENSE", "next.config.js", "next.config.ts", "convex.json", "middleware.ts", "src/middleware.ts", "vercel.json", "AGENTS.md", "tsconfig.json", "Makefile", "Dockerfile", "manifest.json"]
 _FILES += [*LINT_FILES, *GOLANGCI, *ENV_FILES, *(n for n, _ in MANAGERS)]
 _DIRS = ["convex", ".opencode/agents", ".grp", ".github/workflows"]
 CHECK = "struct<name:string,status:string,message:string,required:boolean>"
@@ -34,7 +36,7 @@ class Repo:
 
     def __init__(self, config: str = ".agent") -> None:
         self.config = config
-        self.files = list(dict.fromkeys([*_FILES, *(f"{config}/{n}" for n in ("launchkit.yaml", "preflight.json", "preflight.yaml", "sigil.json", "tenancy.yaml"))]))
+        self.files = list(dict.fromkeys([*_FILES, *(f"{config}/{n}" for n in ("launchkit.yaml", "preflight.json", "preflight.yaml", "manifest.json", "tenancy.yaml"))]))
         self.dirs = [*_DIRS, config]
 
     def gather(self, facts: DataFrame) -> DataFrame:
@@ -127,22 +129,22 @@ def agent_checks(r: Repo) -> list[Column]:
     c = r.config
     own = lambda name: r.text(f"{c}/{name}")
     lost = _listed((own("tenancy.yaml").isNull(), "tenancy.yaml"), (own("launchkit.yaml").isNull(), "launchkit.yaml"))
-    sigil, root_sigil = own("sigil.json"), r.text("sigil.json")
+    manifest, root_manifest = own("manifest.json"), r.text("manifest.json")
     environment = own("tenancy.yaml").contains("environment:") | own("tenancy.yaml").contains("env:")
     isolation = own("tenancy.yaml").rlike("isolation|sandbox|tenant")
     middleware = F.coalesce(r.text("middleware.ts"), r.text("src/middleware.ts"))
-    scripts = F.filter(F.array(*map(F.lit, ("lint", "test", "typecheck", "build", "check"))), lambda s: F.array_contains(r.scripts(), s))
+    scripts = F.filter(F.array(*map(F.lit, VERIFYING)), lambda s: F.array_contains(r.scripts(), s))
     env = _listed(*((r.file(n), n) for n in ENV_FILES))
     return [
         _check("Agent Directory", [(~r.folder(c), "fail", f"{c}/ directory not found"), (F.size(lost) == 0, "pass", f"{c}/ exists with tenancy.yaml and launchkit.yaml")], ("warn", F.concat(F.lit(f"{c}/ exists but missing: "), F.array_join(lost, ", ")))),
         _check(
-            "SIGIL Manifest",
+            "Manifest",
             [
-                (sigil.isNotNull() & _valid_json(sigil), "pass", f"{c}/sigil.json exists and is valid JSON"),
-                (root_sigil.isNotNull() & _valid_json(root_sigil), "pass", "sigil.json exists and is valid JSON"),
-                (sigil.isNotNull() | root_sigil.isNotNull(), "fail", "SIGIL manifest found but contains invalid JSON"),
+                (manifest.isNotNull() & _valid_json(manifest), "pass", f"{c}/manifest.json exists and is valid JSON"),
+                (root_manifest.isNotNull() & _valid_json(root_manifest), "pass", "manifest.json exists and is valid JSON"),
+                (manifest.isNotNull() | root_manifest.isNotNull(), "fail", "manifest found but contains invalid JSON"),
             ],
-            ("warn", f"no sigil.json found in {c}/ or project root"),
+            ("warn", f"no manifest.json found in {c}/ or project root"),
         ),
         _check("Preflight Config", [(own(n).isNotNull(), "pass", f"{c}/{n} exists") for n in ("preflight.yaml", "preflight.json")], ("warn", f"no preflight config found in {c}/")),
         _check("Launch Kit", [(own("launchkit.yaml").isNull(), "fail", f"{c}/launchkit.yaml not found"), (own("launchkit.yaml").rlike("gates?:"), "pass", f"{c}/launchkit.yaml exists with gates defined")], ("warn", f"{c}/launchkit.yaml exists but no gates defined")),
@@ -160,7 +162,7 @@ def agent_checks(r: Repo) -> list[Column]:
         _check(
             "Verification Scripts",
             [(~r.file("package.json"), "warn", "package.json not found, cannot verify scripts"), (r.scripts().isNull(), "warn", "package.json has no scripts section"), (F.size(scripts) > 0, "pass", F.concat(F.lit("Found verification scripts: "), F.array_join(scripts, ", ")))],
-            ("warn", "No standard verification scripts (lint, test, typecheck, build, check) found"),
+            ("warn", f"No standard verification scripts ({', '.join(VERIFYING)}) found"),
         ),
         _check("Secret Files", [(F.size(env) > 0, "pass", F.concat(F.lit("Found secret files: "), F.array_join(env, ", ")))], ("warn", "No .env files found (might be expected for some projects)")),
     ]
@@ -188,7 +190,7 @@ def prove(facts: DataFrame, build: bool = True, test: bool = True, docker: bool
         return _check(name, [(F.size(some) > 0, "pass", F.concat(F.lit(f"{what} configured ("), F.array_join(some, ", "), F.lit(")")))], last, required)
 
     or_manifest = lambda found: F.when(F.size(found) > 0, found).otherwise(manifest)
-    config = _listed(*((r.file(n), n) for n in ("go.mod", "package.json", "tsconfig.json", "Makefile")))
+    config = _listed(*((r.file(n), n) for n in ESSENTIAL))
     builds = sources(lambda x: named(x, "build") | x["command"].contains("build"))
     tests = sources(lambda x: named(x, "test") | x["command"].contains("test"))
     types = F.concat(_listed((r.file("tsconfig.json"), "tsconfig.json")), sources(lambda x: (F.lower(x["name"]) == "typecheck") | x["command"].rlike("go vet|typecheck|tsc")))
@@ -197,7 +199,7 @@ def prove(facts: DataFrame, build: bool = True, test: bool = True, docker: bool
     lints = F.when(F.size(lints) > 0, lints).otherwise(_listed((r.file(*LINT_FILES), "config-file")))
     health = F.concat("health", _listed((F.lower(r.text("package.json")).rlike("health|readinessprobe"), "package.json"), (F.lower(r.text("go.mod")).contains("health"), "go.mod")))
     checks = [
-        _check("Config", [(F.size(config) > 0, "pass", F.concat(F.lit("Essential config files present ("), F.array_join(config, ", "), F.lit(")")))], ("fail", "No essential config files found (go.mod, package.json, tsconfig.json, Makefile)"), True),
+        _check("Config", [(F.size(config) > 0, "pass", F.concat(F.lit("Essential config files present ("), F.array_join(config, ", "), F.lit(")")))], ("fail", f"No essential config files found ({', '.join(ESSENTIAL)})"), True),
         configured("Build", or_manifest(builds), "Build", ("fail", "No build configuration found"), True) if build else None,
         configured("Test", or_manifest(tests), "Tests", ("warn", "No test configuration found"), True) if test else None,
         configured("Type Check", types, "Type checking", ("warn", "No type checking configuration found"), True),

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from srcplan.operators import structural
 
 MAX_LINES, MAX_FILES, SLACK = 1500, 12, 500
+OVER = ", exceeds reviewability budget of %d"
+
+
+def _limit(value: str) -> str:
+    return f" (threshold: {value})"
 
 
 def verdict(totals: DataFrame, max_lines: int = MAX_LINES, max_files: int = MAX_FILES) -> DataFrame:
@@ -35,16 +40,16 @@ def diagnostics(judged: DataFrame, kinds: DataFrame, max_lines: int = MAX_LINES,
     c = F.col
     heavy, loose = c("overhead") > 0.5, c("variance") > structural.LOW_COHESION
     rules = [
-        ("agent.diff-too-large", "high", "high", c("changed") > max_lines, F.format_string("Diff is %d lines, exceeds reviewability budget of %d", "changed", F.lit(max_lines))),
-        ("agent.too-many-files-touched", "high", "high", c("files") > max_files, F.format_string("Diff touches %d files, exceeds reviewability budget of %d", "files", F.lit(max_files))),
+        ("agent.diff-too-large", "high", "high", c("changed") > max_lines, F.format_string("Diff is %d lines" + OVER, "changed", F.lit(max_lines))),
+        ("agent.too-many-files-touched", "high", "high", c("files") > max_files, F.format_string("Diff touches %d files" + OVER, "files", F.lit(max_files))),
         ("agent.mixed-boundaries", "medium", "medium", F.size("categories") > 2, F.format_string("Diff spans %d categories ([%s]), suggests mixed concerns", F.size("categories"), F.array_join("categories", " "))),
         ("agent.unreviewable-plan", "high", "high", c("status") == "fail", c("reason")),
         ("agent.parallelization-opportunity", "low", "medium", (c("status") == "fail") & (c("files") > 1), F.format_string("Diff touches %d files which could be parallelized across tasks", "files")),
-        ("agent.high-overhead", "medium", "high", heavy, F.format_string("Structural overhead ratio is %.2f (threshold: 0.50)", "overhead")),
-        ("agent.low-cohesion", "medium", "high", loose, F.format_string("Cohesion variance is %.2f (threshold: 0.60)", "variance")),
-        ("agent.test-to-code-imbalance", "medium", "medium", (c("test_to_logic") > 3) & (c("ephemeral") > c("reusable")), F.format_string("Test-to-logic ratio is %.1f (threshold: 3.0) with no reusable scaffold", "test_to_logic")),
+        ("agent.high-overhead", "medium", "high", heavy, F.format_string("Structural overhead ratio is %.2f" + _limit("0.50"), "overhead")),
+        ("agent.low-cohesion", "medium", "high", loose, F.format_string("Cohesion variance is %.2f" + _limit("0.60"), "variance")),
+        ("agent.test-to-code-imbalance", "medium", "medium", (c("test_to_logic") > 3) & (c("ephemeral") > c("reusable")), F.format_string("Test-to-logic ratio is %.1f" + _limit("3.0") + " with no reusable scaffold", "test_to_logic")),
         ("agent.ceremonial-noise", "high", "high", heavy & loose, F.lit("Diff has high structural overhead and low cohesion — high ceremonial noise")),
-        ("agent.productive-scaffold", "low", "high", (c("productive") > 0.5) & (c("reusable") >= 20), F.format_string("Productive scaffold ratio is %.2f with %d reusable lines", "productive", "reusable")),
+        ("agent.productive-scaffold", "low", "high", (c("productive") > 0.5) & (c("reusable") >= 20), F.format_string("Productive scaffold ratio is %.2f" + " with %d reusable lines", "productive", "reusable")),
     ]
     each = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(k).alias("ord"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(sure).alias("confidence"), message.alias("message"))) for k, (code, severity, sure, test, message) in enumerate(rules)]))
     return j.select("diff_id", F.explode(each).alias("d")).select("diff_id", "d.*")

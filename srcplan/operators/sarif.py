@@ -61,5 +61,5 @@ def document(findings: DataFrame, tool: str = "srcplan", version: str = "0.1", u
     c = counts(findings).select(F.struct("*").alias("properties"))
     driver = F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"), F.lit(uri).alias("informationUri"), "rules")
     run = F.struct(F.struct(driver.alias("driver")).alias("tool"), "results", F.lit("utf16CodeUnits").alias("columnKind"), "properties")
-    schema = F.lit("https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json").alias("$schema")
+    schema = F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema")
     return r.crossJoin(s).crossJoin(c).select(F.to_json(F.struct(schema, F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("json"))

@@ -13,6 +13,8 @@ from srcplan.functions import text
 from srcplan.plans.registry import registry
 
 VERSION = "0.1"
+#: What identifies a plan before its findings, in the order of its hash.
+HEAD = "source subject language goal".split()
 
 
 def target(df: DataFrame) -> Column:
@@ -42,7 +44,7 @@ def steps(ordered: DataFrame, tool: str = "srcplan") -> DataFrame:
 
 def fallback_step(recipe: str, on: str) -> dict[str, object]:
     """The one step of a plan that is asked for by recipe."""
-    return {"recipe": recipe, "action": f"Apply recipe {recipe} to {on}", "file": on, "risk": "medium", "verify": ["typecheck", "tests"]}
+    return {"recipe": recipe, "action": f"Apply recipe {recipe} to {on}", "verify": ["typecheck", "tests"], "file": on, "risk": "medium"}
 
 
 def risk(planned: DataFrame) -> DataFrame:
@@ -69,5 +71,5 @@ def plan_ids(plans: DataFrame, ordered: DataFrame, planned: DataFrame) -> DataFr
     s = planned.groupBy("plan").agg(F.array_sort(F.collect_list(F.struct("step_no", F.concat("recipe", "action", "file").alias("s")))).alias("s"))
     joined = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: x["s"]), ""), F.lit(""))
     all_parts = plans.join(d, "plan", "left").join(s, "plan", "left")
-    body = F.concat(F.lit(VERSION), "source", "subject", "language", "goal", joined("d"), joined("s"))
+    body = F.concat(F.lit(VERSION), *HEAD, joined("d"), joined("s"))
     return all_parts.select("plan", F.concat(F.lit("grp_"), F.substring(F.sha2(body, 256), 1, 8)).alias("plan_id"))

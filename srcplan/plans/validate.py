@@ -59,7 +59,7 @@ def errors(plans: DataFrame) -> DataFrame:
         (F.coalesce(c("specversion"), F.lit("")) != "0.1", "specversion", F.concat(F.lit('invalid value "'), F.coalesce("specversion", F.lit("")), F.lit('"'))),
         (_empty(c("id")), "id", NONE),
         (start(c("id"), "grp_"), "id", must("grp_")),
-        *[(_empty(c(f)), f, NONE) for f in ("type", "source", "subject", "language", "goal")],
+        *[(_empty(c(f)), f, NONE) for f in "type source subject language goal".split()],
         (is_absolute(c("subject")), "subject", ABSOLUTE),
         (_outside(c("risk")), "risk", LEVEL),
         (_outside(c(f"{r}.status"), ("pass", "warn", "fail", "unknown")), f"{r}.status", LEVEL),

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
@@ -97,8 +98,6 @@ def test_sarif(spark):
     rows = [(2, "b", "high", "Two. More.", "f", 3, "s"), (1, "a", "low", "One", "g", 4, None), (3, "a", "medium", "Three.", "g", 5, "t")]
     f = spark.createDataFrame(rows, "diag_idx int, code string, severity string, message string, file string, line int, symbol string")
     assert [(r["rule_index"], r["id"], r["name"], r["short"], r["level"]) for r in sarif.rules(f).orderBy("rule_index").collect()] == [(0, "a", "a", "One.", "note"), (1, "b", "s", "Two.", "error")]
-    import json
-
     d = json.loads(sarif.document(f, "tool", "1").first()[0])
     run = d["runs"][0]
     assert d["version"] == "2.1.0" and [x["ruleId"] for x in run["results"]] == ["a", "b", "a"] and [x["ruleIndex"] for x in run["results"]] == [0, 1, 0]
@@ -113,17 +112,17 @@ def test_readiness(spark):
     rows = [
         ("go", "go.mod", False, "module x"), ("go", "README.md", False, ""), ("go", "Makefile", False, "test:\n\tx"), ("go", "healthz.go", False, None),
         ("js", "package.json", False, '{"scripts":{"lint":"a","build":"b","other":"c"}}'), ("js", "yarn.lock", False, None), ("js", ".github/workflows/ci.yml", False, None),
-        ("web", ".agent", True, None), ("web", "convex", True, None), ("web", ".agent/launchkit.yaml", False, "gates:"), ("web", "sigil.json", False, "{bad"), ("none", "x.txt", False, None),
+        ("web", ".agent", True, None), ("web", "convex", True, None), ("web", ".agent/launchkit.yaml", False, "gates:"), ("web", "manifest.json", False, "{bad"), ("none", "x.txt", False, None),
     ]
     f = spark.createDataFrame(rows, FACT)
     v = {r["repo"]: r for r in readiness.verification(f).collect()}
     assert [v[k]["manager"] for k in ("go", "js", "web", "none")] == ["go", "yarn", "unknown", "unknown"]
-    assert [c["command"] for c in v["go"]["commands"]] == ["go build ./...", "go vet ./...", "go test ./...", "make test"]
+    assert [c["command"] for c in v["go"]["commands"]] == [*(f"go {w} ./..." for w in ("build", "vet", "test")), "make test"]
     assert [c["command"] for c in v["js"]["commands"]] == ["yarn lint", "yarn build"] and v["js"]["has_ci"]
     c = {(r["repo"], r["name"]): (r["status"], r["message"], r["profile"]) for r in readiness.preflight(f).collect()}
     assert c["go", "README"][0] == "pass" and c["none", "License"][0] == "warn" and c["go", "README"][2] == "generic"
     assert c["web", "Agent Directory"][:2] == ("warn", ".agent/ exists but missing: tenancy.yaml")
-    assert c["web", "SIGIL Manifest"][0] == "fail" and c["web", "Launch Kit"][0] == "pass" and c["web", "Tenancy"][0] == "fail"
+    assert c["web", "Manifest"][0] == "fail" and c["web", "Launch Kit"][0] == "pass" and c["web", "Tenancy"][0] == "fail"
     p = readiness.prove(f)
     assert {(r["repo"], r["status"]) for r in readiness.rollup(p, by_need=True).collect()} == {("go", "warn"), ("js", "warn"), ("web", "fail"), ("none", "fail")}
     strict = readiness.rollup(readiness.prove(f, docker=True), by_need=True)
@@ -134,7 +133,7 @@ def test_readiness(spark):
 
 def test_launch_kits(spark):
     good = 'version: "0.1"\ngates:\n  preflight: { required: true, command: "srcplan preflight" }\n  Review: { required: true, command: "srcplan review" }\n  review: { required: false, command: "x" }\nreceipt:\n  enabled: yes\n  format: "xml"\n'
-    rows = [("a", "launchkit.yaml", False, good), ("a", ".agent/launchkit.json", False, "{broken"), ("b", "launchkit.json", False, '{"launch_kit": {"version": "1", "gates": {"prove_app": {"required": true, "command": "make"}}}}'), ("c", "launchkit.yml", False, "nothing")]
+    rows = [("a", "launchkit.yaml", False, good), ("a", ".agent/launchkit.json", False, "{broken"), ("b", "launchkit.json", False, json.dumps({"launch_kit": {"version": "1", "gates": {"prove_app": {"command": "make", "required": True}}}})), ("c", "launchkit.yml", False, "nothing")]
     k = readiness.kits(spark.createDataFrame(rows, FACT))
     g = readiness.gate_results(k)
     got = {}
@@ -175,4 +174,4 @@ def test_renderers(spark, tmp_path):
     t = [{"task_id": "t", "goal": "g", "depends_on": ["s"], "allowed_files": ["a"], "max_lines": 200, "verification": ["v"]}]
     assert "after s" in render.tasks(t) and "[pass] n: m" == render.checks([{"name": "n", "status": "pass", "message": "m"}])
     assert render.review({"status": "pass", "reason": "r", "changed": 1, "files": 1, "recommendation": "review"}, []).startswith("PASS: r")
-    assert "step" in render.plan({"goal": "g", "plan_id": "p", "risk": "low"}, [{"step_id": "step_1", "action": "a", "risk": "low", "verify": ["v"]}], True)
+    assert "step" in render.plan({"goal": "g", "plan_id": "p", "risk": "low"}, [{"verify": ["v"], "step_id": "step_1", "risk": "low", "action": "a"}], True)

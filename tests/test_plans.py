@@ -61,9 +61,9 @@ def test_registry(spark):
 
 def _doc(**over):
     d = {
-        "plan": "p", "specversion": "0.1", "id": "grp_1", "type": "t", "source": "s", "subject": "sub", "language": "go", "goal": "g", "risk": "low",
+        "plan": "p", "specversion": "0.1", "id": "grp_1", "type": "t", "source": "s", "subject": "sub", "language": "go", "risk": "low", "goal": "g",
         "diagnostics": [{"id": "diag_1", "code": "c", "severity": "low", "confidence": "", "message": "m", "file": "f", "line": 1, "symbol": None}],
-        "steps": [{"id": "step_1", "recipe": "r", "title": "t", "action": "a", "target": {"file": "f", "symbol": None, "kind": None}, "risk": "low", "requires": ["diag_1"], "verify": []}],
+        "steps": [{"id": "step_1", "recipe": "r", "title": "t", "action": "a", "target": {"file": "f", "symbol": None, "kind": None}, "requires": ["diag_1"], "risk": "low", "verify": []}],
         "verification": [], "reviewability": None, "decomposition": None,
     }
     return d | over
