@@ -169,6 +169,11 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
         edge = np.concatenate([[0], edge])
     # every text ends with a blank, so runs are closed
     start, end = edge[0::2], edge[1::2]
+    return hash_spans(data, start, end, _BYTE), np.searchsorted(start, off), start, end, off
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span, by the table's value of each byte; spans ascend and do not overlap."""
     h = np.empty(len(start), U64)
     step = 1 << 19
     at = 0
@@ -178,10 +183,10 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
         hi = end[to - 1]
         p, inv = _powers(int(hi - lo) + 1)
         acc = np.zeros(hi - lo + 1, U64)
-        np.cumsum(_BYTE[data[lo:hi]] * p[: hi - lo], out=acc[1:])
+        np.cumsum(table[data[lo:hi]] * p[: hi - lo], out=acc[1:])
         h[at:to] = (acc[end[at:to] - lo] - acc[start[at:to] - lo]) * inv[start[at:to] - lo]
         at = to
-    return mix(h), np.searchsorted(start, off), start, end, off
+    return mix(h)
 
 
 def kgrams(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:

@@ -1,8 +1,8 @@
 """HTML extraction with a suffix array for each host.
 
-Pages become their visible words. The word streams of a host's pages are concatenated, each page closed by a symbol of its own,
-and a suffix array sorts all suffixes by their first `min_words` words (prefix doubling; deeper order changes nothing here). Neighbours with a
-common prefix of that length form the repeats; a repeat that occurs on `min_pages` distinct pages or more is boilerplate, and
+Pages become their visible words. The word streams of a host's pages are concatenated and a suffix array sorts all suffixes by
+their first `min_words` words (prefix doubling; deeper order changes nothing here). Neighbours with a common prefix of that
+length that lies within its page form the repeats; a repeat that occurs on `min_pages` distinct pages or more is boilerplate, and
 all words that it covers are removed. What is left of a page are its unique runs, one a line.
 
 The suffix array of a host of up to `host_words` words is built by one task. For larger hosts the suffixes are sharded by a hash of their first
@@ -15,13 +15,14 @@ results. Other columns are ignored. Unclosed comments, scripts and tags run to t
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from srcplan.llm import common as C
 
 MIN_WORDS, MIN_PAGES = 8, 2
-#: Words of a host that one task sorts (about 60 bytes each); larger hosts are sharded.
+#: Words of a host that one task sorts (about 40 bytes each); larger hosts are sharded.
 HOST_WORDS = 16_000_000
 U64 = np.uint64
 RESULT = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("host", T.StringType()), T.StructField("n_words", T.IntegerType()), T.StructField("n_removed", T.IntegerType()), T.StructField("text", T.StringType())])
@@ -47,71 +48,101 @@ def visible(page: str | None) -> str:
     return " ".join(entities.unescape(page).split())
 
 
-def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-    """(hash of each word, first word of each text plus the total, the words). Words lie between blanks."""
-    cut = [t.split(" ") if t else [] for t in texts.to_pylist()]
-    size = np.array([len(c) for c in cut], np.int64)
+_BYTE = C.mix(np.arange(256, dtype=U64) + U64(0x51ED270B)) | U64(1)
+
+
+def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, first word of each text plus the total). Words lie between single blanks."""
     data, off = C.buffer_of(texts)
-    c = data.astype(U64)
-    end = np.flatnonzero(data == 32)
-    if len(off) > 1:  # empty texts have a blank but no word
-        empty = off[:-1][np.diff(off) == 1]
-        end = end[~np.isin(end, empty)]
-    start = np.empty_like(end)
-    h = np.zeros(len(end), U64)
-    if len(end):
-        text = np.repeat(np.arange(len(size)), size)
-        start[1:] = end[:-1] + 1
-        start[0] = 0
-        first = np.cumsum(size)[:-1]
-        begin = (np.cumsum(size) - size)[size > 0]
-        start[begin] = off[:-1][size > 0]
-        del text, first
-        p, inv = C._powers(len(data) + 1)
-        acc = np.zeros(len(data) + 1, U64)
-        np.cumsum(C.mix(c + U64(0x51ED270B)) * p[: len(data)], out=acc[1:])
-        h = C.mix((acc[end] - acc[start]) * inv[start])
-    return h, np.concatenate([[0], np.cumsum(size)]), cut
-
-
-def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes sorted by their first `depth` symbols, rank of each suffix: equal for an equal prefix). ids: small non-negative integers."""
-    n = len(ids)
-    _, rank = np.unique(ids, return_inverse=True)
-    rank = rank.astype(np.int64)
-    order, done = np.argsort(rank, kind="stable"), 1
+    inside = data != 32
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1 if len(data) else np.zeros(0, np.int64)
+    if len(data) and inside[0]:
+        edge = np.concatenate([[0], edge])
+    start, end = edge[0::2], edge[1::2]
+    return C.hash_spans(data, start, end, _BYTE), np.searchsorted(start, off)
+
+
+def host_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """token_hashes of many texts, some at a time."""
+    n = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    parts, sizes, at = [], [np.zeros(1, np.int64)], 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(n, (n[at - 1] if at else 0) + C.BLOCK_BYTES, "right")))
+        h, first = token_hashes(texts.slice(at, to - at))
+        parts.append(h)
+        sizes.append(np.diff(first))
+        at = to
+    return np.concatenate(parts) if parts else np.zeros(0, U64), np.cumsum(np.concatenate(sizes))
+
+
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the keys, rank of each), 32 bits each; in pieces, so that the keys are never copied whole."""
+    n, step = len(key), 1 << 20
+    order = np.argsort(key).astype(np.int32)
+    rank, last, top = np.empty(n, np.int32), None, -1
+    for at in range(0, n, step):
+        o = order[at : at + step]
+        k = key[o]
+        new = np.empty(len(k), bool)
+        new[0] = last is None or k[0] != last
+        np.not_equal(k[1:], k[:-1], out=new[1:])
+        rank[o] = np.cumsum(new, dtype=np.int32) + np.int32(top)
+        top, last = int(rank[o[-1]]), k[-1]
+    return order, rank
+
+
+def suffix_array(h: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes sorted by their first `depth` words, rank of each suffix: equal for an equal prefix). h: the word hashes, taken out of their list.
+
+    A prefix that the end cuts short ranks before its continuations. Arrays of 32 bits, as a task sorts under 2**31 words.
+    """
+    key = h.pop()
+    n = len(key)
+    order, rank = _ranked(key)
+    done = 1
     while done < depth:
         step = min(done, depth - done)  # overlapping halves give the exact depth
-        second = np.zeros(n, np.int64)
-        second[: n - step] = rank[step:] + 1 if step < n else 0
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        rank[order] = np.cumsum(np.concatenate([[False], k[1:] != k[:-1]]))
+        del order, key
+        key = rank.astype(np.int64)
+        key *= n + 2
+        if step < n:
+            key[: n - step] += rank[step:]
+            key[: n - step] += 1
+        del rank
+        order, rank = _ranked(key)
         done += step
     return order, rank
 
 
-def repeated(page: np.ndarray, order: np.ndarray, rank: np.ndarray, min_pages: int) -> np.ndarray:
-    """Which suffixes share their prefix with suffixes of at least min_pages distinct pages in all."""
+def repeated(page: np.ndarray, order: np.ndarray, rank: np.ndarray, valid: np.ndarray, min_pages: int) -> np.ndarray:
+    """Which valid suffixes share their prefix with valid suffixes of at least min_pages distinct pages in all."""
+    out = np.zeros(len(page), bool)
+    order = order[valid[order]]
+    r = rank[order]
+    same = r[1:] == r[:-1]
+    several = np.zeros(len(order), bool)
+    several[1:] |= same
+    several[:-1] |= same
+    order = order if min_pages < 2 else order[several]  # those that occur once are done with
     r, p = rank[order], page[order]
     again = np.lexsort((p, r))
     r, p, order = r[again], p[again], order[again]
-    first = np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] != p[:-1])]) if len(r) else np.zeros(0, bool)
-    pages = np.bincount(r, first, minlength=int(r.max()) + 1 if len(r) else 0)
-    out = np.zeros(len(page), bool)
-    out[order] = pages[r] >= min_pages
+    if len(r):
+        new = np.concatenate([[True], r[1:] != r[:-1]])
+        group = np.cumsum(new) - 1
+        pages = np.bincount(group, new | np.concatenate([[True], p[1:] != p[:-1]]))
+        out[order] = pages[group] >= min_pages
     return out
 
 
 def covered(starts: np.ndarray, width: int) -> np.ndarray:
     """Positions that lie in a window of this width from a marked start."""
-    n = len(starts)
-    step = np.zeros(n + 1, np.int64)
-    step[:n] += starts
-    ends = np.minimum(np.flatnonzero(starts) + width, n)
-    np.subtract.at(step, ends, 1)
-    return np.cumsum(step[:n]) > 0
+    out, done = starts.copy(), 1
+    while done < width:
+        step = min(done, width - done)
+        out[step:] |= out[:-step].copy()
+        done += step
+    return out
 
 
 def runs(words: list[str], gone: np.ndarray) -> str:
@@ -122,26 +153,51 @@ def runs(words: list[str], gone: np.ndarray) -> str:
     return "\n".join(" ".join(words[a:b]) for a, b in zip(edges[::2], edges[1::2]))
 
 
-def _host_task(pdf: pd.DataFrame, min_words: int, min_pages: int) -> pd.DataFrame:
-    h, first, cut = token_hashes(pa.array(pdf["text"], pa.large_string()))
+def cut_host(page_id: pa.Array, texts: pa.Array, min_words: int, min_pages: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which words of a host's pages are boilerplate, first word of each page plus the total)."""
+    h, first = host_hashes(texts)
     size = np.diff(first)
-    same, page = np.unique(pdf["page_id"].astype("object").where(pdf["page_id"].notna(), "null").astype(str), return_inverse=True)
-    row = np.repeat(np.arange(len(size)), size)
-    # each row ends with a symbol that occurs nowhere else
-    at = np.arange(len(h)) + row
-    ids = np.empty(len(h) + len(size), np.int64)
-    _, small = np.unique(h, return_inverse=True)
-    ids[at] = small
-    closing = first[1:] + np.arange(len(size))
-    ids[closing] = (int(small.max()) + 1 if len(small) else 0) + np.arange(len(size))
-    owner = np.repeat(page, size + 1)
-    order, rank = suffix_array(ids, min_words)
-    hit = repeated(owner, order, rank, min_pages)
-    room = np.repeat(closing, size + 1) - np.arange(len(ids)) >= min_words  # the prefix lies within the page
-    gone = covered(hit & room, min_words)[at]
-    return pd.DataFrame(
-        {"page_id": pdf["page_id"], "host": pdf["host"], "n_words": size.astype(np.int32), "n_removed": np.add.reduceat(np.append(gone, False), first[:-1]).astype(np.int32) * (size > 0), "text": [runs(w, gone[a:b]) for w, a, b in zip(cut, first[:-1], first[1:])]}
-    )
+    ids = page_id.fill_null(0).to_numpy(zero_copy_only=False)
+    _, page = np.unique(ids, return_inverse=True)
+    page = np.where(page_id.is_null().to_numpy(zero_copy_only=False), len(ids), page).astype(np.int32)
+    # a prefix lies within its page
+    n, taken = len(h), [h]
+    del h
+    order, rank = suffix_array(taken, min_words)
+    valid = np.repeat(first[1:].astype(np.int32), size) - np.arange(n, dtype=np.int32) >= min_words
+    hit = repeated(np.repeat(page, size), order, rank, valid, min_pages)
+    del order, rank
+    return covered(hit, min_words), first
+
+
+def _host_task(batches: Iterator[pa.RecordBatch], min_words: int, min_pages: int) -> Iterator[pa.RecordBatch]:
+    """Pages sorted by host: each host is gathered, cut and given out in small batches."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        ids, host, texts = t.column("page_id").combine_chunks(), t.column("host").combine_chunks(), t.column("text").cast(pa.large_string()).combine_chunks()
+        del t
+        gone, first = cut_host(ids, texts, min_words, min_pages)
+        for lo in range(0, len(ids), 500):
+            hi = min(lo + 500, len(ids))
+            rows = [(gone[first[i] : first[i + 1]], texts[i].as_py()) for i in range(lo, hi)]
+            yield pa.RecordBatch.from_arrays(
+                [ids.slice(lo, hi - lo), host.slice(lo, hi - lo), pa.array([len(g) for g, _ in rows], pa.int32()), pa.array([int(g.sum()) for g, _ in rows], pa.int32()), pa.array([runs(t.split(" ") if t else [], g) for g, t in rows], pa.string())], names=RESULT.names
+            )
+
+    for batch in batches:
+        host = batch.column("host").to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(host[1:] != host[:-1]) + 1).tolist(), len(host)]
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            if lo == hi:
+                continue
+            if held and held[-1].column("host")[0].as_py() != host[lo]:
+                yield from flush()
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield from flush()
 
 
 def _sharded(pages: DataFrame, min_words: int, min_pages: int) -> DataFrame:
@@ -151,18 +207,24 @@ def _sharded(pages: DataFrame, min_words: int, min_pages: int) -> DataFrame:
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in C.blocks(batch, "text"):
-                h, first, _ = token_hashes(b.column("text"))
+                h, first = token_hashes(b.column("text"))
+                host = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in b.column("host").to_pylist()], U64)
                 g = C.kgrams(h, min_words)
                 count = np.maximum(np.diff(first) - min_words + 1, 0)
                 start = np.cumsum(count) - count
                 at = np.arange(int(count.sum())) - np.repeat(start, count)
                 row = np.repeat(np.arange(b.num_rows), count)
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(row)) for c in ("host", "page_id", "rid")), pa.array(g[first[:-1][row] + at].view(np.int64)), pa.array(at.astype(np.int32))], names=["host", "page_id", "rid", "prefix", "at"])
+                prefix = C.mix(g[first[:-1][row] + at] ^ host[row])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(row)) for c in ("page_id", "rid")), pa.array(prefix.view(np.int64)), pa.array(at.astype(np.int32))], names=["page_id", "rid", "prefix", "at"])
 
-    every = rows.select("host", "page_id", "rid", "text").transform(C.mapped, suffixes, "host string, page_id long, rid long, prefix long, at int")
+    every = rows.select("host", "page_id", "rid", "text").transform(C.mapped, suffixes, "page_id long, rid long, prefix long, at int")
+    page = F.coalesce("page_id", F.lit(-(2**63)))
     # partial aggregation keeps a prefix of millions of pages from gathering in one task
-    common = every.groupBy("host", "prefix").agg((F.approx_count_distinct("page_id") * 0 + F.count_distinct(F.coalesce("page_id", F.lit(-(2**63)))) if min_pages > 2 else F.when(F.min(F.coalesce("page_id", F.lit(-(2**63)))) < F.max(F.coalesce("page_id", F.lit(-(2**63)))), 2).otherwise(1)).alias("n")).filter(F.col("n") >= min_pages)
-    hits = every.join(common.select("host", "prefix"), ["host", "prefix"], "left_semi").groupBy("rid").agg(F.collect_list("at").alias("hits"))
+    some = every.groupBy("prefix").agg(F.min(page).alias("lo"), F.max(page).alias("hi")).filter("lo < hi" if min_pages > 1 else "true").select("prefix")
+    if min_pages > 2:
+        some = every.join(some, "prefix", "left_semi").groupBy("prefix").agg(F.count_distinct(page).alias("n")).filter(F.col("n") >= min_pages).select("prefix")
+    common = C.saved(some, "prefixes")
+    hits = every.join(F.broadcast(common) if common.count() <= C.SMALL_IDS else common, "prefix", "left_semi").groupBy("rid").agg(F.collect_list("at").alias("hits"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,11 +255,11 @@ def extract(pages: DataFrame, min_words: int = MIN_WORDS, min_pages: int = MIN_P
     parsed = C.saved(pages.select(F.col("page_id").cast("long"), host.alias("host"), "html").transform(C.mapped, parse, "page_id long, host string, n int, text string"), "visible")
     large = [r[0] for r in parsed.groupBy("host").agg(F.sum("n").alias("n")).filter(F.col("n") > host_words).select("host").collect()]
 
-    def task(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _host_task(pdf, min_words, min_pages)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _host_task(batches, min_words, min_pages)
 
     small = parsed.filter(~F.col("host").isin(large)) if large else parsed
-    out = small.groupBy("host").applyInPandas(task, RESULT)
+    out = small.select("page_id", "host", "text").repartition("host").sortWithinPartitions("host").transform(C.mapped, task, RESULT)
     if large:
         out = out.unionByName(_sharded(parsed.filter(F.col("host").isin(large)).select("page_id", "host", "text"), min_words, min_pages))
     return out
