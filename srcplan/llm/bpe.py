@@ -28,8 +28,10 @@ from srcplan.llm import common as C
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.IntegerType())])
-#: Pieces remembered by a worker before those not used since are dropped; bounds memory only.
-REMEMBERED = 100_000
+#: Pieces remembered by a worker before those not used since are dropped, and pairs whose rank is; bound memory only.
+REMEMBERED, PAIRS = 250_000, 400_000
+#: Text encoded at once; its new pieces share one index.
+BLOCK_BYTES = 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -190,8 +192,8 @@ class Encoder:
         cut = [pieces_of(t) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
-            if len(self.pairs) > 10 * REMEMBERED:
-                self.pairs.clear()
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
         known = self.known
         new = set().union(*cut).difference(known) if cut else set()
         if again := new & self.older.keys():
@@ -238,7 +240,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(sent.value)
         for batch in batches:
-            for b in C.blocks(batch, "text"):
+            for b in C.blocks(batch, "text", BLOCK_BYTES):
                 ids = enc.encode(b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([None if x is None else len(x) for x in ids], pa.int32())], names=ENCODED.names)
 
@@ -265,7 +267,7 @@ def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(sent.value)
         for batch in batches:
-            for b in C.blocks(batch, "text"):
+            for b in C.blocks(batch, "text", BLOCK_BYTES):
                 ids = enc.encode(b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([None if x is None else len(x) for x in ids], pa.int32()), pa.array([enc.decode(x) for x in ids], pa.string())], names=schema.names
