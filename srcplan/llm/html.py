@@ -247,19 +247,28 @@ def extract(pages: DataFrame, min_words: int = MIN_WORDS, min_pages: int = MIN_P
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in C.blocks(batch, "html"):
-                texts = [visible(x) for x in b.column("html").to_pylist()]
-                n = pa.array([t.count(" ") + 1 if t else 0 for t in texts], pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), n, pa.array(texts, pa.string())], names=["page_id", "host", "n", "text"])
+                yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), pa.array([visible(x) for x in b.column("html").to_pylist()], pa.string())], names=["page_id", "host", "text"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in C.blocks(batch, "html"):
+                n = [t.count(" ") + 1 if (t := visible(x)) else 0 for x in b.column("html").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(n, pa.int64())], names=["host", "n"])
 
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    parsed = C.saved(pages.select(F.col("page_id").cast("long"), host.alias("host"), "html").transform(C.mapped, parse, "page_id long, host string, n int, text string"), "visible")
-    large = [r[0] for r in parsed.groupBy("host").agg(F.sum("n").alias("n")).filter(F.col("n") > host_words).select("host").collect()]
+    known = pages.select(F.col("page_id").cast("long"), host.alias("host"), "html")
+    # pages are parsed twice, as that takes less than to keep their texts on disk in between
+    sizes = known.select("host", "html").transform(C.mapped, count, "host string, n long").groupBy("host").agg(F.sum("n").alias("n"))
+    large = [r[0] for r in sizes.filter(F.col("n") > host_words).select("host").collect()]
+
+    def parsed(own: DataFrame) -> DataFrame:
+        return own.transform(C.mapped, parse, "page_id long, host string, text string")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _host_task(batches, min_words, min_pages)
 
-    small = parsed.filter(~F.col("host").isin(large)) if large else parsed
-    out = small.select("page_id", "host", "text").repartition("host").sortWithinPartitions("host").transform(C.mapped, task, RESULT)
+    small = known.filter(~F.col("host").isin(large)) if large else known
+    out = parsed(small).repartition("host").sortWithinPartitions("host").transform(C.mapped, task, RESULT)
     if large:
-        out = out.unionByName(_sharded(parsed.filter(F.col("host").isin(large)).select("page_id", "host", "text"), min_words, min_pages))
+        out = out.unionByName(_sharded(parsed(known.filter(F.col("host").isin(large))), min_words, min_pages))
     return out
