@@ -7,8 +7,9 @@ resume after it. `write_warc` writes pages as resource records, a file for each
 a task that is run again leaves whole files only. Paths may be of any file system that Arrow knows.
 
 Defined results: an empty payload gives one row with an empty chunk. A null html is written as an empty payload, null id and url as empty headers;
-repeated rows give records of their own. A payload cut off by the end of its file ends in a row with `complete` false, as does a file
-whose headers can't be read. Extra columns are ignored; an empty table gives no file and no row.
+repeated rows give records of their own. Header lines may have any length. A payload cut off by the end of its file ends in a row with `complete`
+false. A header that can't be read gives such a row too, and reading goes on at the next line that begins like a record. Extra columns are ignored; an
+empty table gives no file and no row.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from srcplan.llm import common as C
 CHUNK_BYTES = 16384
 READ_BYTES = 1 << 18
 FILE_BYTES = 64 << 20
+MARK = b"WARC/"
 CHUNKS = T.StructType(
     [
         T.StructField("record_id", T.StringType()),
@@ -92,12 +94,33 @@ class Bytes:
         at = 0
         while (end := self.held.find(b"\n", at)) < 0:
             at = len(self.held)
-            if at > 1 << 20 or not self._more():
+            if not self._more():
                 return None
         out = bytes(self.held[:end]).rstrip(b"\r")
         del self.held[: end + 1]
         return out
 
+    def begins(self) -> bool | None:
+        """Whether a record begins here, after empty lines; None at the end of the file."""
+        while True:
+            while len(self.held) < len(MARK) and self._more():
+                pass
+            empty = len(self.held[:64]) - len(self.held[:64].lstrip(b"\r\n"))
+            if not empty:
+                return self.held.startswith(MARK) if self.held else None
+            del self.held[:empty]
+
+    def skip(self) -> None:
+        """Drops what comes before the next line that begins like a record, without holding it."""
+        if self.begins():
+            return
+        while (at := self.held.find(b"\n" + MARK)) < 0:
+            del self.held[: max(0, len(self.held) - len(MARK))]
+            if not self._more():
+                self.held.clear()
+                return
+        del self.held[: at + 1]
+
     def take(self, n: int) -> bytes:
         """n bytes, fewer at the end of the file."""
         while len(self.held) < n and self._more():
@@ -110,23 +133,19 @@ class Bytes:
 def records(raw: Callable[[int], bytes], chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple]:
     """The rows of CHUNKS of one file."""
     src = Bytes(raw)
-    while True:
-        line = src.line()
-        while line == b"":
-            line = src.line()
-        if line is None:
-            if src.held:
-                yield (None, None, None, 0, b"", 0, None, True, False)
-            return
+    while (good := src.begins()) is not None:
         head: dict[str, str] = {}
-        good = line.startswith(b"WARC/")
-        while (line := src.line()) not in (None, b""):
+        line = src.line() if good else b""
+        while good and (line := src.line()) not in (None, b""):
             name, _, value = line.partition(b":")
             head[name.strip().decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
         size = head.get("content-length", "")
-        if not good or line is None or not size.isdigit():
+        if line is None or not size.isdigit():
             yield (head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), 0, b"", 0, None, True, False)
-            return
+            if line is None:
+                return
+            src.skip()
+            continue
         left, done, k, digest = int(size), 0, 0, hashlib.sha256()
         ids = head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri")
         while True:
@@ -158,7 +177,7 @@ def read_warc(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES) ->
                     rows, held = [], 0
                     for row in records(f.read, chunk_bytes):
                         rows.append(row)
-                        held += len(row[4]) + 200
+                        held += len(row[4]) + sum(len(x or "") for x in row[:3]) + 200
                         if held > 2 << 20:
                             yield _batch(rows)
                             rows, held = [], 0

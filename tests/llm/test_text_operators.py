@@ -287,3 +287,23 @@ def test_warc_round_trip(spark):
     n = got.groupBy("record_id", "target_uri").agg(F.sum(F.length("payload")).alias("n"), F.count_if("last").alias("r")).collect()
     assert {(r["record_id"], r["target_uri"]): (r["n"], r["r"]) for r in n} == {("<urn:page:1>", "http://a"): (50_000, 1), ("<urn:page:2>", "http://b"): (5, 2), ("<urn:page:3>", ""): (0, 1), ("<urn:page:>", "http://c d"): (2, 1), ("<urn:page:4>", "http://l"): (len(LONG), 1)}
     assert warc.page_chunks(df.limit(0)).count() == 0
+
+
+def test_warc_long_urls(spark):
+    long = "http://a/" + "x" * 4_000_000
+    pages = [(1, "http://b", "first"), (2, long, "y" * 40_000), (3, "http://c", "after"), (4, long + "z", ""), (5, None, "last")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    rows = warc.page_chunks(df).collect()
+    assert all(r["complete"] for r in rows)
+    assert {r["record_id"]: r["target_uri"] for r in rows} == {f"<urn:page:{i}>": u or "" for i, u, _ in pages}
+    assert _joined(rows) == {f"<urn:page:{i}>": h.encode() for i, _, h in pages}
+
+
+def test_warc_goes_on_after_unreadable_headers(spark, tmp_path):
+    one, two, three = (_record("response", f"u:{k}", b"body") for k in (1, 2, 3))
+    data = b"junk" * 500_000 + b"\r\n" + one + _record("response", "u:9", b"lost").replace(b"Content-Length: 4", b"Content-Length: x") + two + b"no record\n\n\nWARC" + b"\r\n" + three
+    (tmp_path / "a.warc").write_bytes(data)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(data + b"WARC/1.0"))
+    rows = warc.read_warc(spark, str(tmp_path)).collect()
+    assert Counter((r["record_id"], bytes(r["payload"])) for r in rows if r["complete"]) == {(f"<u:{k}>", b"body"): 2 for k in (1, 2, 3)}
+    assert Counter(r["record_id"] for r in rows if not r["complete"]) == {None: 5, "<u:9>": 2}
