@@ -15,8 +15,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines that many documents have; all documents stay, n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
+    """Cuts lines that many documents have, also where they are over half of a document with text of its own; all documents stay, n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs, spare=False)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

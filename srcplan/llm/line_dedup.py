@@ -7,7 +7,9 @@ bit indexes a 16-bit fingerprint and a 16-bit saturating count. Documents probe
 together they are sent to every worker. Beyond `small_bytes` the hashes of lines go to the shards instead, and only those that hit come back.
 
 A line that is in `min_docs` rows or more is removed wherever it is, unless that would take more than half of its document's
-characters: such a document is a copy, not one that carries boilerplate, and is left whole for near-dedup to decide.
+characters: such a document is left whole. The SQL of the query has this exemption. With `spare` false, as in the pipeline, only documents made
+wholly of common lines (copies) are left to near-dedup. From others that would lose over half, a common line is cut too, except that one text keeps
+it if no copy does, the one of the least hash, so that near copies do not all lose what they share.
 
 Defined results: null and empty texts come back as they are; a repeated line within a document counts once; repeated
 rows count as documents of their own. Every input row gives one row, with all columns; only `text` changes. Empty tables give
@@ -16,7 +18,7 @@ empty results. Lines of any length are hashed whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -147,16 +149,21 @@ def build_index(docs: DataFrame, min_chars: int = MIN_CHARS, shards: int | None
     return C.saved(hashes.transform(C.mapped, combine, "shard int, h binary, n binary").groupBy("shard").applyInPandas(build, INDEX), "lines")
 
 
+def _heavy(text: str, lines: list[str], drop: np.ndarray) -> bool:
+    """Whether over half of the text would go."""
+    return 2 * sum(len(x) for x, d in zip(lines, drop) if d) > len(text)
+
+
 def _cut(text: str, drop: np.ndarray) -> tuple[str, int]:
     """The text without the lines that drop marks, and how many went; whole where over half of it would go."""
     lines = text.split("\n")
-    if 2 * sum(len(x) for x, d in zip(lines, drop) if d) > len(text):
+    if _heavy(text, lines, drop):
         return text, 0
     return "\n".join(x for x, d in zip(lines, drop) if not d), int(drop.sum())
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, small_bytes: int = SMALL_BYTES, shards: int | None = None, removed: str | None = None, ask_lines: int = ASK_LINES) -> DataFrame:
-    """docs with common lines cut from text; removed names a further column for the number of lines cut."""
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, small_bytes: int = SMALL_BYTES, shards: int | None = None, removed: str | None = None, ask_lines: int = ASK_LINES, spare: bool = True) -> DataFrame:
+    """docs with common lines cut from text; removed names a further column for the number of lines cut. spare: leave all documents whole that would lose over half."""
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = [c for c in docs.columns if c != removed]
@@ -166,10 +173,26 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     carried = docs.select(F.struct(*docs.columns).alias("row"), "text", line_hashes(F.col("text"), min_chars).alias("h"))
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("text", T.StringType()), T.StructField("cut", T.IntegerType())])
 
+    def hits_of(marks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where the lines of each text end, the texts that have a marked line)."""
+        ends = np.cumsum(counts)
+        hit = np.flatnonzero(np.add.reduceat(np.concatenate([marks, [False]]), np.concatenate([[0], ends[:-1]]).astype(np.int64)) * (counts > 0)) if len(counts) else np.zeros(0, np.int64)
+        return ends, hit
+
+    def heavy_of(b: pa.RecordBatch, marks: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        """The marked lines of the texts that would lose over half."""
+        ends, hit = hits_of(marks, counts)
+        rows, h = [], b.column("h").flatten().fill_null(0).to_numpy(zero_copy_only=False)
+        for i in hit:
+            at, text = slice(ends[i] - counts[i], ends[i]), b.column("text")[int(i)].as_py()
+            lines = text.split("\n")
+            if _heavy(text, lines, marks[at]):
+                rows.append((text, all(d or not x.strip() for x, d in zip(lines, marks[at])), np.unique(h[at][marks[at]]).tolist()))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.bool_(), pa.list_(pa.int64())))], names=["text", "whole", "lines"])
+
     def batch_of(b: pa.RecordBatch, marks: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         """marks: of each line of all texts; counts: lines of each text."""
-        ends = np.cumsum(counts)
-        hit = np.flatnonzero(np.add.reduceat(np.concatenate([marks, [False]]), np.concatenate([[0], ends[:-1]]).astype(np.int64)) * (counts > 0)) if len(counts) else []
+        ends, hit = hits_of(marks, counts)
         texts, cut = b.column("text"), np.zeros(len(counts), np.int32)
         if len(hit):
             texts = texts.to_pylist()
@@ -180,7 +203,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     if size <= small_bytes:
         sent = spark.sparkContext.broadcast([tuple(r) for r in index.collect()])
 
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def probe(batches: Iterator[pa.RecordBatch], emit: Callable) -> Iterator[pa.RecordBatch]:
             tables = {s: PerfectHash.of(*arrays) for s, *arrays in sent.value}
             for batch in batches:
                 for b in C.blocks(batch, "text"):
@@ -196,9 +219,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
                         own = at[order[edges[k] : edges[k + 1]]]
                         if int(k) in tables:
                             marks[own] = tables[int(k)].count(h[own]) >= min_docs
-                    yield batch_of(b, marks, col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+                    yield emit(b, marks, col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
 
-        out = carried.transform(C.mapped, probe, schema)
+        marked, apply = carried, probe
     else:
         rows = C.saved(carried.withColumn("rid", F.monotonically_increasing_id()), "rows")
 
@@ -220,20 +243,44 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
         asked = asked.withColumn("part", F.pmod(F.xxhash64("rid", "at"), F.lit(parts)).cast("int"))
         told = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("shard", "part", *INDEX.names[1:])
         found = asked.groupBy("shard", "part").cogroup(told.groupBy("shard", "part")).applyInPandas(ask, "rid long, at int").groupBy("rid").agg(F.collect_list("at").alias("hits"))
+        found = found if spare else C.saved(found, "hits")
 
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cut(batches: Iterator[pa.RecordBatch], emit: Callable) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 counts = b.column("h").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 marks = np.zeros(int(counts.sum()), bool)
                 for start, at in zip(np.cumsum(counts) - counts, b.column("hits").to_pylist()):
                     marks[[start + i for i in at or ()]] = True
-                yield batch_of(b, marks, counts)
-
-        out = rows.join(found, "rid", "left").select("row", "text", "h", "hits").transform(C.mapped, cut, schema)
+                yield emit(b, marks, counts)
+
+        marked, apply = rows.join(found, "rid", "left").select("row", "text", "h", "hits"), cut
+    out = marked.transform(C.mapped, lambda batches: apply(batches, batch_of), schema)
+    if not spare:
+        heavy = marked.transform(C.mapped, lambda batches: apply(batches, heavy_of), "text string, whole boolean, lines array<long>")
+        heavy = C.saved(heavy.select(F.xxhash64("text").alias("key"), "whole", F.explode("lines").alias("line")), "heavy")
+        drop = losers(heavy.select("key", "line", (~F.col("whole")).alias("late")), heavy.filter("not whole").select("key", "line"))
+        out = without_lines(out, drop)
     kept = [F.col("text").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names]
     return out.select(*kept, *([F.col("cut").alias(removed)] if removed else []))
 
 
+def losers(held: DataFrame, asked: DataFrame) -> DataFrame:
+    """(key, drop): the lines of asked (key, line) for each text that is not the first of held (key, line, late) that has the line."""
+    first = held.groupBy("line").agg(F.min(F.struct("late", "key")).getField("key").alias("first"))
+    return asked.distinct().join(first, "line").filter("key <> first").groupBy("key").agg(F.collect_list("line").alias("drop"))
+
+
+def without_lines(rows: DataFrame, drop: DataFrame) -> DataFrame:
+    """rows (row, text, cut) without the lines that drop (key, drop) has for the hash of a text."""
+    drop = C.saved(drop, "drop")
+    sent = F.broadcast(drop) if (drop.agg(F.sum(F.size("drop") + 2)).first()[0] or 0) <= C.SMALL_IDS else drop
+    out = rows.withColumn("key", F.xxhash64("text")).join(sent, "key", "left")
+    lines = F.split("text", "\n", -1)
+    left = F.filter(lines, lambda x: ~F.array_contains("drop", F.xxhash64(F.trim(x))))
+    some = F.col("drop").isNotNull()
+    return out.select("row", F.when(some, F.array_join(left, "\n")).otherwise(F.col("text")).alias("text"), F.when(some, F.size(lines) - F.size(left)).otherwise(F.col("cut")).alias("cut"))
+
+
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
 p AS (SELECT rid, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d),

@@ -216,6 +216,26 @@ def test_line_dedup_equals_brute_force(spark, small):
     assert line_dedup.dedup_lines(df.limit(0), small_bytes=small).count() == 0
 
 
+@pytest.mark.parametrize("small", [10**9, 0])
+def test_heavy_documents_lose_common_lines(spark, small):
+    a, b, c = (f"notice number {k} that is on many pages of the site" for k in range(3))
+    light = [f"{x}\n" + f"own text of document {d} " * 20 for d, x in enumerate([a, b] * 5)]
+    heavy = [f"{a}\n{b}\nown line of heavy document {d}" for d in range(4)] + [f"{a}\n{b}\nshort {d}" for d in range(3)]
+    near = [f"{c}\n{c} and more\n{c} and the rest\nedited line of near copy {d}" for d in range(6)]
+    copies = [f"{a}\n\n{b}"] * 3 + [a]
+    texts = light + heavy + near + copies
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate([*texts, None, ""])], "doc_id long, text string, drop string")
+    got = [r for r in line_dedup.dedup_lines(df, small_bytes=small, shards=3, removed="n", spare=False).orderBy("doc_id").collect()]
+    text = [r["text"] for r in got]
+    assert text[:10] == [t.split("\n")[1] for t in light]
+    assert text[10:17] == [t.split("\n")[2] for t in heavy]  # the copies hold their common lines
+    assert Counter(t == n for t, n in zip(text[17:23], near)) == {True: 1, False: 5}  # what near copies share stays once
+    assert all(t in (n, n.split("\n")[3]) for t, n in zip(text[17:23], near))
+    assert text[23:] == [*copies, None, ""] and [r["n"] for r in got[:17]] == [1] * 10 + [2] * 7
+    out = corpus_pipeline.lines(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS), "")
+    assert [(r["text"], r["n_chars"]) for r in out.orderBy("doc_id").collect()] == [(t, len(t)) for t in text[:-2]]
+
+
 # ---- 10 BPE
 
 TEXTS = ["", "Hello, world! It's 2024; they'll go.", "  two  spaces\n\n\ttabs \r\n end ", "Ünïcödé naïve — “quotes” 你好 мир 🙂🙂", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa" * 40, " wide　space nb", "x" * 3000 + " " + "ab" * 2000, "'S 'Ve don't I'M", "١٢٣ ½ Ⅷ", "\x1c\x1d\x1e\x1f\x85 ​ "]
