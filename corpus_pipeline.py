@@ -31,8 +31,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens."""
-    return bpe.encode(docs)
+    """doc_id, ids, n_tokens; a line of 50 words or more that several of the documents left have is encoded with one of them only."""
+    return bpe.encode(line_dedup.passages_once(docs))
 
 
 STAGES = [("language ID", language_id), ("line dedup", lines), ("MinHash near-dedup", near_duplicates), ("benchmark decontamination", decontamination), ("BPE encoding", encoding)]

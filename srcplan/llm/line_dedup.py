@@ -11,6 +11,9 @@ characters: such a document is left whole. The SQL of the query has this exempti
 wholly of common lines (copies) are left to near-dedup. From others that would lose over half, a common line is cut too, except that one text keeps
 it if no copy does, the one of the least hash, so that near copies do not all lose what they share.
 
+`passages_once` takes long lines from 2 texts on: one of `long_words` words (between white space) or more stays in the text of the least hash only.
+It is meant for documents that near-dedup has left, whose copies would else be cut to pieces. Rows of one text keep a line alike.
+
 Defined results: null and empty texts come back as they are; a repeated line within a document counts once; repeated
 rows count as documents of their own. Every input row gives one row, with all columns; only `text` changes. Empty tables give
 empty results. Lines of any length are hashed whole.
@@ -30,6 +33,7 @@ from pyspark.sql import types as T
 from srcplan.llm import common as C
 
 MIN_DOCS, MIN_CHARS = 5, 20
+LONG_WORDS = 50
 #: Lines that ask one shard at once, where the arrays are not sent.
 ASK_LINES = 2_000_000
 #: Arrays of up to so many bytes are sent to all workers (about 5 bytes a distinct line).
@@ -264,6 +268,16 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     return out.select(*kept, *([F.col("cut").alias(removed)] if removed else []))
 
 
+def passages_once(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
+    """docs with each line of long_words words or more in one text only."""
+    long = lambda x: (F.length(x) >= 2 * long_words - 1) & (F.size(F.split(F.trim(x), r"\s+")) >= long_words)
+    hashes = F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), long), lambda x: F.xxhash64(F.trim(x))))
+    held = C.saved(docs.select(F.xxhash64("text").alias("key"), F.explode(hashes).alias("line")), "passages")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", F.lit(0).alias("cut"))
+    out = without_lines(rows, losers(held.withColumn("late", F.lit(False)), held))
+    return out.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
 def losers(held: DataFrame, asked: DataFrame) -> DataFrame:
     """(key, drop): the lines of asked (key, line) for each text that is not the first of held (key, line, late) that has the line."""
     first = held.groupBy("line").agg(F.min(F.struct("late", "key")).getField("key").alias("first"))

@@ -236,6 +236,38 @@ def test_heavy_documents_lose_common_lines(spark, small):
     assert [(r["text"], r["n_chars"]) for r in out.orderBy("doc_id").collect()] == [(t, len(t)) for t in text[:-2]]
 
 
+def _passages():
+    rng = random.Random(7)
+    long = [" ".join(f"p{k}w{rng.randrange(10**6)}" for _ in range(50 + k)) for k in range(4)]
+    under = " ".join(f"u{i}" for i in range(49))
+    own = [" ".join(f"d{d}x{k}" for k in range(80)) for d in range(8)]
+    texts = [f"{own[0]}\n{long[0]}", f"{own[1]}\n  {long[0]} \nend", f"{long[1]}\n{own[2]}\n{under}", f"{own[3]}\n{long[1]}\n{long[2]}", f"{own[4]}\n{long[2]}\n{long[1]}\n{under}", f"{own[5]}\n{long[3]}\n{long[3]}", own[6]]
+    return long, under, own, texts
+
+
+def test_long_lines_stay_once(spark):
+    long, under, own, texts = _passages()
+    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate([*texts, None, "", texts[6]])], "doc_id long, text string, key string")
+    got = line_dedup.passages_once(df)
+    assert got.columns == df.columns
+    text = {r["doc_id"]: r["text"] for r in got.collect()}
+    lines = {i: [x.strip() for x in (t or "").split("\n")] for i, t in text.items()}
+    for x in long:  # once, and in the same document as before
+        assert [i for i in lines if x in lines[i]] and sum(x in v for v in lines.values()) == 1
+    assert all(own[i] in lines[i] for i in range(7)) and sum(under in v for v in lines.values()) == 2
+    assert text[5] == texts[5] and text[6] == text[9] == own[6] and text[7] is None and text[8] == ""
+    assert line_dedup.passages_once(df.limit(0)).count() == 0
+
+
+@needs_vocabulary
+def test_passages_are_encoded_once(spark):
+    long, _, _, texts = _passages()
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    enc = bpe.Encoder(bpe.read_ranks(bpe.VOCABULARY))
+    out = [enc.decode(list(r["ids"])) for r in corpus_pipeline.encoding(spark, df, "").collect()]
+    assert len(out) == len(texts) and all(sum(x in t for t in out) == 1 for x in long)
+
+
 # ---- 10 BPE
 
 TEXTS = ["", "Hello, world! It's 2024; they'll go.", "  two  spaces\n\n\ttabs \r\n end ", "Ünïcödé naïve — “quotes” 你好 мир 🙂🙂", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa" * 40, " wide　space nb", "x" * 3000 + " " + "ab" * 2000, "'S 'Ve don't I'M", "١٢٣ ½ Ⅷ", "\x1c\x1d\x1e\x1f\x85 ​ "]
