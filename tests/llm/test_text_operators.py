@@ -163,6 +163,24 @@ def test_model_equals_plain_kneser_ney():
         assert sum(p(ctx + x) for x in {*"".join(texts), "Ā"}) == pytest.approx(1, abs=1e-6)
 
 
+def test_characters_stay_apart():
+    """Characters that share a 12-bit hash do not share counts."""
+    at = np.arange(0x4E00, 0x9FA0, dtype=np.uint32)
+    folded = (at * np.uint32(0x9E3779B1) >> np.uint32(8)) % np.uint32(1792)
+    same = [chr(c) for c in at[folded == folded[0]]]
+    assert len(same) > 5
+    code, _ = perplexity.codes(same)
+    assert len(np.unique(code)) == len(same)
+    texts = [same[0] * 3 + "一二三四五" + t for t in same[:3]] * 3
+    code, n = np.unique(perplexity.codes(texts)[0], return_counts=True)
+    *arrays, base = perplexity.fit(code, n)
+    m, p = perplexity.Model(*(a.tobytes() for a in arrays), base), _kneser_ney(texts)
+    for t in (texts[0], same[4] * 3 + "一二三四五" + same[5], "\U0001f600\U0010ffff一"):
+        s = "\x01" * 4 + t
+        assert m.score(perplexity.codes([t])[0]) == pytest.approx([math.log(p(s[i : i + 5])) for i in range(len(t))], abs=1e-4)
+    assert m.score(perplexity.codes([same[0] * 3])[0]).sum() > m.score(perplexity.codes([same[4] * 3])[0]).sum() + 3
+
+
 def test_perplexity_edges(spark):
     rng = random.Random(4)
     words = {"en": "the of and to in that was his with they from have this".split(), "fr": "le la les des une dans pour qui que est sont avec".split()}
