@@ -95,11 +95,10 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 SMALL_IDS = 2_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not among ids (one column); a null id matches a null doc_id."""
-    ids = saved(ids.select(F.col(ids.columns[0]).alias("_id")).distinct(), "ids")
-    sent = F.broadcast(ids) if ids.count() <= SMALL_IDS else ids
-    return docs.join(sent, docs["doc_id"].cast("long").eqNullSafe(sent["_id"]), "left_anti")
+def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of docs whose key, a long, is not among ids (one column)."""
+    ids = saved(ids.select(F.col(ids.columns[0]).alias(key)).distinct(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, key, "left_anti")
 
 
 # ---- hashing and tokens

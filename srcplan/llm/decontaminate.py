@@ -7,13 +7,13 @@ holds a whole window on either side, and the kept k-gram of a window depends on
 `k + window - 1` words or more is found; runs shorter than that are not reported.
 
 Defined results: a null or empty text, or one with fewer than `k + window - 1` words, has no hit. A null id keeps its
-hits under a null id. Repeated rows count once in the result, since hits are distinct; an item that occurs twice
+hits under a null id. Repeated rows count once in the result, since hits are distinct, but decontaminate judges each row by its own text, whatever its id; an item that occurs twice
 in a document gives two hits. Empty tables give an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -124,7 +124,20 @@ def _rows(ids: list, items: list, found: list[tuple[int, int, int, int, int]]) -
     )
 
 
-def _broadcast(docs: DataFrame, bench: DataFrame, k: int, window: int) -> DataFrame:
+Hits = list[tuple[int, int, int, int, int]]
+
+
+def _found(b: pa.RecordBatch, ids: list, found: Hits) -> pa.RecordBatch:
+    return _rows(b.column("doc_id").to_pylist(), ids, found)
+
+
+def _judged(b: pa.RecordBatch, ids: list, found: Hits) -> pa.RecordBatch:
+    clean = np.ones(b.num_rows, bool)
+    clean[[x[0] for x in found]] = False
+    return pa.RecordBatch.from_arrays([b.column("row"), pa.array(clean)], names=["row", "clean"])
+
+
+def _broadcast(docs: DataFrame, bench: DataFrame, k: int, window: int, schema: T.StructType, emit: Callable[[pa.RecordBatch, list, Hits], pa.RecordBatch]) -> DataFrame:
     rows = bench.collect()  # bounded: the caller checked its size
     sent = docs.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
 
@@ -134,10 +147,9 @@ def _broadcast(docs: DataFrame, bench: DataFrame, k: int, window: int) -> DataFr
         for batch in batches:
             for b in C.blocks(batch, "text"):
                 h, first, *_ = C.words(b.column("text"))
-                if found := index.hits(h, first):
-                    yield _rows(b.column("doc_id").to_pylist(), ids, found)
+                yield emit(b, ids, index.hits(h, first))
 
-    return docs.transform(C.mapped, run, HITS)
+    return docs.transform(C.mapped, run, schema)
 
 
 def _prints(df: DataFrame, key: str, k: int, window: int) -> DataFrame:
@@ -173,18 +185,32 @@ def _joined(docs: DataFrame, bench: DataFrame, k: int, window: int) -> DataFrame
     return met.transform(C.mapped, run, HITS)
 
 
+def _bench(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """(items that have a text, their characters)."""
+    bench = benchmark.select(F.col("item_id").cast("long"), "text").filter(F.col("text").isNotNull())
+    return bench, bench.agg(F.sum(F.length("text"))).first()[0] or 0
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, small_chars: int = SMALL_CHARS) -> DataFrame:
     """All maximal shared runs of at least k + window - 1 words: doc_id, item_id, doc_start, item_start, n_words (in words)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    bench = benchmark.select(F.col("item_id").cast("long"), "text").filter(F.col("text").isNotNull())
-    size = bench.agg(F.sum(F.length("text"))).first()[0] or 0
-    hits = _broadcast(docs, bench, k, window) if size <= small_chars else _joined(docs, bench, k, window)
-    return hits.distinct()
+    bench, size = _bench(benchmark)
+    return (_broadcast(docs, bench, k, window, HITS, _found) if size <= small_chars else _joined(docs, bench, k, window)).distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, small_chars: int = SMALL_CHARS) -> DataFrame:
-    """The documents without any hit; documents with a null id are judged together."""
-    return C.without(docs, contamination(docs, benchmark, k, window, small_chars).select("doc_id"))
+    """The rows of docs without any hit in their own text, with all their columns."""
+    bench, size = _bench(benchmark)
+    if size <= small_chars:
+        carried = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"])
+        schema = T.StructType([T.StructField("row", docs.schema), T.StructField("clean", T.BooleanType())])
+        return _broadcast(carried, bench, k, window, schema, _judged).filter("clean").select("row.*")
+    name = "_id"
+    while name in docs.columns:
+        name += "_"
+    rows = C.saved(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+    hits = _joined(rows.select(F.col(name).alias("doc_id"), "text"), bench, k, window)
+    return C.without(rows, hits.select("doc_id"), name).select(*docs.columns)
 
 
 ORACLE = f"""

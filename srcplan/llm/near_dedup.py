@@ -2,17 +2,22 @@
 
 A document is its sequence of word hashes. Each k-mer of words is labelled with which occurrence of that k-mer it is, and each of
 `sketches` hash functions picks the `picks` labelled k-mers of least hash; their hash in text order is one sketch. Two
-documents meet if they agree in a sketch, which is likelier the closer they are in edit distance, not only in content. Pairs that meet
+documents meet if they agree in a sketch, which is likelier the closer they are in edit distance, not only in content. Texts under SHORT words have sketches of
+four single words instead, as few of their 3-mers survive an edit; texts near that length have both. Pairs that meet
 are verified: the edit distance of their words, computed within the band that the threshold allows, must leave a similarity
 1 - distance / longer length of at least `threshold`. Groups are the connected components of verified pairs.
 
-Every bucket is searched whole: first all members against the smallest, then all pairs that are not yet in one group, so that a group of thousands
-of copies costs one comparison a copy and no pair is left out but those whose outcome changes nothing.
+A bucket is the documents that agree in a sketch. Buckets of up to `bucket` members give all their pairs. A larger one is searched around a leader: every
+member is aligned with the leader, and sketched again by what it has besides the leader's words (by labelled words, or by labelled pairs of
+words where hardly a word is left). Members whose rests agree form the buckets of the next level, unless all of them are known to be in one group. So
+a group of thousands of copies costs one comparison a copy, thousands of different pages with one boilerplate are told apart by what is their own, and no
+bucket is gathered in a task. What `levels` leaders do not separate is compared in full. Rests are sketches too: a pair of a
+large bucket that nothing else brings together is found with high probability, as any pair is.
 Documents with the same words are grouped by a 128-bit hash of the sequence beforehand and only one of them is compared.
 
-Defined results: rows with a null doc_id and texts without a word (null, empty, only signs) are in no group. Repeated
-doc_ids are one document, whose text is the smallest of theirs; ties between representatives go to the smallest doc_id. Documents with fewer than k words have one k-mer,
-all their words. Empty tables give empty results. Other columns are ignored.
+Defined results: rows with a null doc_id and texts without a word (null, empty, only signs) are in no group. Rows that repeat a doc_id are
+documents of their own; the result has them under that doc_id, and keep_one leaves one row of a group. Ties between representatives go to the smallest doc_id.
+Documents with fewer than k words have one k-mer, all their words. Empty tables give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,8 +25,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +34,11 @@ from pyspark.sql import types as T
 from srcplan.llm import common as C
 
 K, PICKS, SKETCHES, THRESHOLD = 3, 3, 64, 0.8
+#: Texts under SHORT words have sketches of SHORT_PICKS single words; those from LONG words on have sketches of k-mers. A pair within the threshold has one kind in common.
+SHORT, LONG, SHORT_PICKS, SHORT_SKETCHES = 64, 48, 4, 32
+#: Members of a bucket of which all pairs are aligned, and leaders that a larger one has at most, one after the other.
+BUCKET, LEVELS = 8, 8
+REST_SKETCHES = 32
 U64 = np.uint64
 TOP = U64(0xFFFFFFFF00000000)
 
@@ -37,16 +47,23 @@ def _odd(n: int, seed: int) -> np.ndarray:
     return C.mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed)) | U64(1)
 
 
-def sketch(h: np.ndarray, first: np.ndarray, k: int, picks: int, sketches: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows of those texts that have words, their sketches, 128-bit hash of their words)."""
+def whole_hashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """128-bit hash of the words of each text that has any."""
+    n = np.diff(first)
+    begin = first[:-1][n > 0]
+    if not len(begin):
+        return np.zeros((0, 2), U64)
+    place = (np.arange(len(h)) - np.repeat(first[:-1], n)).astype(U64)
+    return np.stack([np.add.reduceat(C.mix(h * U64(m) + C.mix(place + U64(s))), begin) for m, s in ((0xA24BAED4963EE407, 1), (0x9FB21C651E98DF25, 2))], 1)
+
+
+def sketch(h: np.ndarray, first: np.ndarray, k: int, picks: int, sketches: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of those texts that have words, their sketches)."""
     n = np.diff(first)
     some = np.flatnonzero(n > 0)
     if not len(some):
-        return some, np.zeros((0, sketches), U64), np.zeros((0, 2), U64)
+        return some, np.zeros((0, sketches), U64)
     size, begin = n[some], first[:-1][some]
-    # whole sequence: sums of position-dependent hashes
-    place = (np.arange(len(h)) - np.repeat(first[:-1], n)).astype(U64)
-    whole = np.stack([np.add.reduceat(C.mix(h * U64(m) + C.mix(place + U64(s))), begin) for m, s in ((0xA24BAED4963EE407, 1), (0x9FB21C651E98DF25, 2))], 1)
     count = np.maximum(size - k + 1, 1)
     start = np.cumsum(count) - count
     at = np.arange(int(count.sum())) - np.repeat(start - begin, count)
@@ -54,7 +71,8 @@ def sketch(h: np.ndarray, first: np.ndarray, k: int, picks: int, sketches: int)
     long = np.repeat(size >= k, count)
     if long.any():
         g[long] = C.kgrams(h, k)[at[long]]
-    g[start[size < k]] = whole[size < k, 0]
+    if not long.all():
+        g[start[size < k]] = whole_hashes(h, first)[size < k, 0]
     # label each k-mer with its occurrence
     doc = np.repeat(np.arange(len(some)), count)
     key = C.mix(g ^ C.mix(doc.astype(U64) + U64(77)))
@@ -69,7 +87,7 @@ def sketch(h: np.ndarray, first: np.ndarray, k: int, picks: int, sketches: int)
         u = C.mix(g)
     local = (np.arange(len(u)) - np.repeat(start, count)).astype(U64)
     out = np.empty((len(some), sketches), U64)
-    seeds, odds = _odd(sketches, 11), _odd(sketches, 12)
+    seeds, odds = _odd(sketches, 11 + 100 * k), _odd(sketches, 12 + 100 * k)
     for s in range(sketches):
         w = (((u ^ seeds[s]) * odds[s]) & TOP) | local
         got = []
@@ -85,7 +103,7 @@ def sketch(h: np.ndarray, first: np.ndarray, k: int, picks: int, sketches: int)
             x = np.where(there, u[start + np.where(there, pos[:, p], U64(0)).astype(np.int64)], U64(0))
             value = C.mix(value * U64(0xC2B2AE3D27D4EB4F) + x)
         out[:, s] = value
-    return some, out, whole
+    return some, out
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -151,119 +169,234 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     return banded_distance(a, b, most) <= most
 
 
+def chosen(h: np.ndarray, first: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first) of the texts to keep."""
+    n = np.diff(first)
+    return h[np.repeat(keep, n)], np.concatenate([[0], np.cumsum(n[keep])])
+
+
+def keys_of(h: np.ndarray, first: np.ndarray, k: int, picks: int, sketches: int) -> tuple[np.ndarray, list[bytes]]:
+    """(rows of those texts that have words, the keys of their buckets)."""
+    n = np.diff(first)
+    parts: list[list[bytes]] = [[] for _ in n]
+    for keep, args in ((n < SHORT, (1, SHORT_PICKS, min(sketches, SHORT_SKETCHES))), (n >= LONG, (k, picks, sketches))):
+        at = np.flatnonzero(keep)
+        some, s = sketch(*chosen(h, first, keep), *args)
+        for i, row in zip(at[some], s):
+            parts[i].append(row.tobytes())
+    some = np.flatnonzero(n > 0)
+    return some, [b"".join(parts[i]) for i in some]
+
+
 def _sketches(docs: DataFrame, k: int, picks: int, sketches: int) -> DataFrame:
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("w1", T.LongType()), T.StructField("w2", T.LongType()), T.StructField("s", T.BinaryType())])
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("w1", T.LongType()), T.StructField("w2", T.LongType()), T.StructField("s", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in C.blocks(batch, "text", 1 << 20):
                 h, first, *_ = C.words(b.column("text"))
-                some, s, whole = sketch(h, first, k, picks, sketches)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(pa.array(some)), pa.array(np.diff(first)[some].astype(np.int32)), pa.array(whole[:, 0].view(np.int64)), pa.array(whole[:, 1].view(np.int64)), pa.array([r.tobytes() for r in s], pa.binary())], names=schema.names
-                )
+                some, s = keys_of(h, first, k, picks, sketches)
+                whole = whole_hashes(h, first)
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(some)), pa.array(np.diff(first)[some].astype(np.int32)), pa.array(whole[:, 0].view(np.int64)), pa.array(whole[:, 1].view(np.int64)), pa.array(s, pa.binary())], names=schema.names)
 
     return docs.transform(C.mapped, run, schema)
 
 
-def _buckets(reps: DataFrame) -> DataFrame:
-    """(doc_id, n, key) for each sketch of each representative."""
+def _buckets(rows: DataFrame) -> DataFrame:
+    """(key, id, n, label) for each key in s."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            s = np.frombuffer(b"".join(b.column("s").to_pylist()), np.int64)
-            m = len(s) // b.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(c).to_numpy(), m)) for c in ("doc_id", "n")] + [pa.array(s)], names=["doc_id", "n", "key"])
+            m = pc.divide(pc.binary_length(b.column("s")), 8).to_numpy(zero_copy_only=False)
+            keys = np.frombuffer(b"".join(b.column("s").to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.repeat(b.column(c).to_numpy(), m)) for c in ("id", "n", "label"))], names=["key", "id", "n", "label"])
 
-    return reps.select("doc_id", "n", "s").transform(C.mapped, run, "doc_id long, n int, key long")
+    return rows.select("id", "n", "label", "s").transform(C.mapped, run, "key long, id long, n int, label long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root) for each end of the edges (a, b): the smallest id that can be reached. Hash-to-min with jumps; every round is written to the shared folder."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = C.saved(both.distinct(), "edges")
-    roots = C.saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "roots")
-    while True:
-        near = both.join(roots.select(F.col("id").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("id")).agg(F.min("r").alias("r"))
-        hooked = roots.join(near, "id").select("id", F.least("root", "r").alias("new"), "root")
-        # a root that learnt of a smaller one passes it to all that point to it
-        best = hooked.groupBy(F.col("root").alias("r0")).agg(F.min("new").alias("r1"))
-        step = C.saved(hooked.join(best, hooked["root"] == best["r0"]).select("id", F.least("new", "r1").alias("root"), F.col("root").alias("was")), "roots")
-        roots = step.select("id", "root")
-        if step.filter("root != was").isEmpty():
-            return roots
+    """(id, root) for each end of the edges (a, b): the smallest id that can be reached.
 
-
-def _candidates(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, words) of those documents that met another, written to the shared folder. words: 32 bits of each word's hash."""
-    n = ids.count()
-    some = docs.join(F.broadcast(ids) if n <= C.SMALL_IDS else ids, "doc_id", "left_semi")
+    In every round each id takes its smallest neighbour, two steps of that are followed, and the edges are contracted; what a round leaves is written to the shared folder.
+    """
+    live = C.saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    total = None
+    while True:
+        up = live.select(F.col("b").alias("id"), F.col("a").alias("to")).union(live.select(F.col("a").alias("id"), F.col("b").alias("to"))).groupBy("id").agg(F.least("id", F.min("to")).alias("p"))
+        up = C.saved(up, "parents")
+        top = up.select(F.col("id").alias("p"), F.col("p").alias("root"))
+        up = C.saved(up.join(top, "p").select("id", "root"), "parents")
+        total = up if total is None else C.saved(total.join(up.select(F.col("id").alias("root"), F.col("root").alias("r")), "root", "left").select("id", F.coalesce("r", "root").alias("root")), "roots")
+        live = live.join(up.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(up.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
+        live = C.saved(live.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        if live.isEmpty():
+            return total
+
+
+def _words(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, words) of those documents that met another, written to the shared folder. words: 32 bits of each word's hash."""
+    ids = C.saved(ids, "met")
+    some = docs.join(F.broadcast(ids) if ids.count() <= C.SMALL_IDS else ids, "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in C.blocks(batch, "text"):
                 h, first, *_ = C.words(b.column("text"))
                 low = (h >> U64(32)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([low[first[i] : first[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], names=["doc_id", "words"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([low[first[i] : first[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], names=["id", "words"])
+
+    return C.saved(some.transform(C.mapped, run, "id long, words binary"), "words")
 
-    return C.saved(some.transform(C.mapped, run, "doc_id long, words binary"), "words")
 
+def occurrences(words: np.ndarray) -> np.ndarray:
+    """64-bit labels: each word with which occurrence of it this is."""
+    order = np.argsort(words, kind="stable")
+    w = words[order]
+    new = np.concatenate([[True], w[1:] != w[:-1]]) if len(w) else np.zeros(0, bool)
+    out = np.empty(len(w), U64)
+    out[order] = (np.arange(len(w)) - np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))).astype(U64)
+    return C.mix(words.astype(U64) | out << U64(32))
 
-def _verify(pairs: DataFrame, words: DataFrame, threshold: float, chunk: int = 64) -> DataFrame:
-    """The pairs (a, b) that align. Members meet the words of their leader a in groups of bounded size."""
 
-    def check(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ok = []
-        if len(left) and len(right):
-            lead = np.frombuffer(right["text"].iloc[0], np.uint32)
-            ok = [similar(lead, np.frombuffer(x, np.uint32), threshold) for x in left["words"]]
-        return left.loc[ok, ["a", "b"]] if len(ok) else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+def pairs_of(words: np.ndarray) -> np.ndarray:
+    """32-bit hashes of neighbouring words."""
+    return (C.mix(words[:-1].astype(U64) << U64(32) | words[1:].astype(U64)) >> U64(32)).astype(np.uint32)
 
-    number = pairs.groupBy("a").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
-    members = pairs.join(number, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).select("a", "b", "part")
-    left = members.join(words.select(F.col("doc_id").alias("b"), "words"), "b").select("a", "b", "part", "words")
-    right = number.join(words.select(F.col("doc_id").alias("a"), "words"), "a").select(F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("chunk"), F.col("words").alias("text"))
-    return left.groupBy("a", "part").cogroup(right.groupBy("lead", "chunk")).applyInPandas(check, "a long, b long")
 
+class Leader:
+    """What a leader's words leave of a member."""
 
-def near_duplicates(docs: DataFrame, k: int = K, picks: int = PICKS, sketches: int = SKETCHES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, group_id (the smallest doc_id of the group) for each document that has a near duplicate."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text").filter(F.col("doc_id").isNotNull())
+    def __init__(self, words: np.ndarray) -> None:
+        self.one, self.two = np.sort(occurrences(words)), np.sort(occurrences(pairs_of(words)))
+
+    @staticmethod
+    def _rest(known: np.ndarray, own: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+        return own[known[at] != own] if len(known) else own
+
+    def rests(self, words: np.ndarray, threshold: float) -> list[np.ndarray]:
+        """[rest by words, rest by pairs of words]; empty where the other kind is enough. Of two texts within the threshold, one kind is there for both."""
+        one, slack = self._rest(self.one, occurrences(words)), (1 - threshold) * len(words)
+        return [one if len(one) > 0.7 * slack else one[:0], self._rest(self.two, occurrences(pairs_of(words))) if len(one) <= 2.2 * slack else one[:0]]
+
+
+def _verify(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """pairs (a, b, n, label, hot) with ok, whether they align, and for hot pairs s, the keys of b by what a leaves of it."""
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("a", "b")), T.StructField("n", T.IntegerType()), T.StructField("label", T.LongType()), T.StructField("hot", T.BooleanType()), T.StructField("ok", T.BooleanType()), T.StructField("s", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead, leader = None, None
+        for b in batches:
+            a, hot = b.column("a").to_pylist(), b.column("hot").to_pylist()
+            own, ok = [], np.zeros(b.num_rows, bool)
+            keys: list[list[bytes]] = [[] for _ in a]
+            rests: tuple[list, list] = ([], [])
+            for i, (x, y) in enumerate(zip(b.column("wa").to_pylist(), b.column("wb").to_pylist())):
+                p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                ok[i] = similar(p, q, threshold)
+                if hot[i]:
+                    if lead != a[i]:
+                        lead, leader = a[i], Leader(p)
+                    own.append(i)
+                    for kind, r in zip(rests, leader.rests(q, threshold)):
+                        kind.append(r)
+            seed = C.mix(np.array([a[i] for i in own], np.int64).view(U64))
+            for kind, rest in enumerate(rests):
+                if own:
+                    some, s = sketch(np.concatenate(rest), np.concatenate([[0], np.cumsum([len(r) for r in rest])]), 1, PICKS, REST_SKETCHES)
+                    s = C.mix(s ^ (seed[some] + U64(kind))[:, None])
+                    for j, row in zip(some, s):
+                        keys[own[j]].append(row.tobytes())
+            for j, i in enumerate(own):
+                if not keys[i] and not ok[i]:  # nothing is left of it, and yet it does not align
+                    keys[i].append(C.mix(seed[j : j + 1] + U64(9)).tobytes())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in schema.names[:5]), pa.array(ok), pa.array([b"".join(k) for k in keys], pa.binary())], names=schema.names)
+
+    met = pairs.join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b").join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
+    return met.select("a", "b", "n", "label", "hot", "wa", "wb").transform(C.mapped, run, schema)
+
+
+def _pairs(rows: DataFrame, threshold: float, bucket: int) -> DataFrame:
+    """Of the buckets (key, id, n, label): distinct pairs (a, b, n, label, hot), n and label of b.
+
+    All pairs of small buckets, and hot ones of a leader with each member of larger buckets. Members of one label are known to be in one group.
+    """
+    # a leader is a member that is in no group yet, if there is one
+    found = rows.groupBy("key").agg(F.count("*").alias("m"), F.coalesce(F.min(F.when(F.col("label") == F.col("id"), F.col("id"))), F.min("id")).alias("lead"), F.bit_xor(F.xxhash64("id", "label")).alias("same"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    # of buckets with the same members one is enough
+    found = C.saved(found.filter("lo <> hi").groupBy("m", "lead", "same").agg(F.min("key").alias("key")).select("key", "m", "lead"), "buckets")
+    members = rows.join(found, "key")
+    hot = members.filter((F.col("m") > bucket) & (F.col("id") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("id").alias("b"), "n", "label", F.lit(True).alias("hot"))
+    if not bucket:  # no leader is left: all pairs, by a join that splits large buckets
+        x, y = (members.select("key", F.struct("id", "n", "label").alias(c)) for c in "xy")
+        few, hot = x.join(y, "key").filter("x.id < y.id"), hot.limit(0)
+    else:
+        few = _few(members.filter(F.col("m") <= bucket), bucket)
+    near = F.abs(F.col("x.n") - F.col("y.n")) <= F.floor((1 - threshold) * F.greatest("x.n", "y.n") + 1e-9)
+    few = few.filter(near & (F.col("x.label") != F.col("y.label"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("y.n").alias("n"), F.col("y.label").alias("label"), F.lit(False).alias("hot"))
+    return C.saved(few.union(hot).groupBy("a", "b").agg(F.max("n").alias("n"), F.min("label").alias("label"), F.max("hot").alias("hot")), "pairs")
+
+
+def _few(members: DataFrame, bucket: int) -> DataFrame:
+    """All pairs (x, y) of members of small buckets."""
+    few = members.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "n", "label"))).alias("m"))
+    return few.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.slice("m", F.col("i") + 2, bucket)).alias("y"))
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str, bool]:
+    """(docs with an id for each row, the name of that column, whether it is doc_id): rows of repeated doc_ids are numbered in a table of the shared folder; a null doc_id has no id."""
+    name = "_id"
+    while name in docs.columns:
+        name += "_"
+    ids = docs.select(F.col("doc_id").cast("long").alias("id")).filter("id is not null")
+    if ids.groupBy("id").count().filter("count > 1").isEmpty():
+        return docs.withColumn(name, F.col("doc_id").cast("long")), name, True
+    return C.saved(docs.withColumn(name, F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "rows"), name, False
+
+
+def groups(docs: DataFrame, k: int = K, picks: int = PICKS, sketches: int = SKETCHES, threshold: float = THRESHOLD, bucket: int = BUCKET, levels: int = LEVELS, seen: list | None = None) -> DataFrame:
+    """(id, root, links) of docs (id, text) with unique ids: the smallest id of the group, and how many links were verified between its text and others or are to its copies. seen: gets the number of pairs that were aligned at each level."""
     drawn = C.saved(_sketches(docs, k, picks, sketches), "sketches")
-    repeated = drawn.count() != drawn.select("doc_id").distinct().count()
-    if repeated:
-        docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-        drawn = C.saved(_sketches(docs, k, picks, sketches), "sketches")
-    one = drawn.groupBy("w1", "w2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"))
-    same = drawn.select("doc_id", "w1", "w2").join(one.filter("m > 1"), ["w1", "w2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).filter("a != b").distinct()
-    reps = drawn.join(one.select(F.col("rep").alias("doc_id"), "w1", "w2"), ["doc_id", "w1", "w2"], "left_semi")
-    met = C.saved(_buckets(reps).groupBy("key").agg(F.sort_array(F.collect_set("doc_id")).alias("ids")).filter(F.size("ids") > 1).select("ids").distinct(), "buckets")
-    sizes = reps.select("doc_id", "n")
-
-    def long_enough(pairs: DataFrame) -> DataFrame:
-        """Leaves out pairs whose lengths alone rule them out."""
-        na, nb = sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-        return pairs.join(na, "a").join(nb, "b").filter(F.abs(F.col("na") - F.col("nb")) <= F.floor((1 - threshold) * F.greatest("na", "nb") + 1e-9)).select("a", "b")
-
-    stars = long_enough(met.select(F.element_at("ids", 1).alias("a"), F.explode(F.slice("ids", 2, F.size("ids"))).alias("b")).distinct())
-    stars = C.saved(stars, "stars")
-    words = _candidates(docs, met.select(F.explode("ids").alias("doc_id")).distinct())
-    good = C.saved(_verify(stars, words, threshold).union(same), "good")
-    roots = components(good)
-    # pairs of one bucket that are not in one group yet
-    member = met.withColumn("bucket", F.monotonically_increasing_id()).select("bucket", F.explode("ids").alias("id"))
-    member = member.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    mixed = member.groupBy("bucket").agg(F.collect_list(F.struct("id", "root")).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("m")
-    rest = mixed.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).filter("x.id < y.id and x.root != y.root").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    rest = C.saved(long_enough(rest.join(stars, ["a", "b"], "left_anti")), "rest")
-    more = C.saved(_verify(rest, words, threshold), "more")
-    if not more.isEmpty():
-        roots = components(good.union(more))
-    return roots.select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"))
+    one = C.saved(drawn.groupBy("w1", "w2").agg(F.min("id").alias("rep"), F.min_by(F.struct("n", "s"), "id").alias("x"), F.count("*").alias("m")), "texts")
+    reps = one.select(F.col("rep").alias("id"), "x.n", F.col("rep").alias("label"), "x.s")
+    rows, good, words = _buckets(reps), None, None
+    for level in range(levels + 1):
+        pairs = _pairs(rows, threshold, bucket if level < levels else 0)
+        if words is None:
+            words = _words(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        done = C.saved(_verify(pairs, words, threshold), "aligned")
+        good = done.filter("ok").select("a", "b") if good is None else good.union(done.filter("ok").select("a", "b"))
+        if seen is not None:
+            seen.append(done.count())
+        label = F.when(F.col("ok") & (F.col("label") == F.col("b")), F.col("a")).otherwise(F.col("label"))
+        rows = C.saved(_buckets(done.filter("hot").select(F.col("b").alias("id"), "n", label.alias("label"), "s")), "rests")
+        if rows.isEmpty():
+            break
+    good = C.saved(good.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "good")
+    degree = good.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    roots = components(good).withColumnRenamed("id", "rep").join(degree, "rep")
+    texts = one.select("rep", "w1", "w2", "m").join(roots, "rep", "left").filter("m > 1 or root is not null")
+    texts = texts.select("w1", "w2", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"))
+    return drawn.select("id", "w1", "w2").join(texts, ["w1", "w2"]).select("id", "root", "links")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, group_id (the smallest doc_id of the group) and n_links for each document that has a near duplicate.
+
+    n_links: copies of its text besides itself, and different texts that were verified to be near. Texts that are known to be in one group need not be compared, so this counts the links
+    that hold the group together, not all pairs.
+    """
+    rows, key, own = _keyed(docs.select(F.col("doc_id").cast("long"), "text"))
+    out = groups(rows.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), "text"), **options)
+    if own:
+        return out.select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"), F.col("links").alias("n_links"))
+    out = C.saved(out.join(rows.select(F.col(key).alias("id"), "doc_id"), "id"), "groups")
+    least = out.groupBy("root").agg(F.min("doc_id").alias("group_id"))
+    return out.join(least, "root").select("doc_id", "group_id", F.col("links").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents without those that have a near duplicate of smaller doc_id; documents without an id stay."""
-    return C.without(docs, near_duplicates(docs, **options).filter("doc_id != group_id").select("doc_id"))
+    rows, key, _ = _keyed(docs)
+    out = groups(rows.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), "text"), **options)
+    return C.without(rows, out.filter("id != root").select("id"), key).select(*docs.columns)
