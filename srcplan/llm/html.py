@@ -5,22 +5,25 @@ their first `min_words` words (prefix doubling; deeper order changes nothing her
 length that lies within its page form the repeats; a repeat that occurs on `min_pages` distinct pages or more is boilerplate, and
 all words that it covers are removed. What is left of a page are its unique runs, one a line.
 
-The suffix array of a host of up to `host_words` words is built by one task. For larger hosts the suffixes are sharded by a hash of their first
-`min_words` words, so that equal ones meet, and each shard is sorted for itself; which suffixes are repeats comes back to the pages. Both ways give the same.
+A host of more than `part_words` words is divided in parts by hash of page_id. Workers build the suffix array of the pages of a part that they meet, and give out its distinct
+prefixes by hash, each with at most `min_pages` of its pages. These sorted runs are merged by range of the hash, which tells the prefixes on enough pages of the host, and each
+part's pages are cut by those that the part has. So no task holds more than a part, and a boilerplate that all pages have is one entry of a run.
 
 Defined results: a null url or one without a host belongs to the host ''. Null and empty html, and pages without visible words, give an empty text and 0 words.
 Rows are pages of their own only by page_id: repeated rows of a page_id are one page for the count of distinct pages, and each gives a row. A null page_id is one page. Empty tables give empty
-results. Other columns are ignored. Unclosed comments, scripts and tags run to the end of the page.
+results. Other columns are ignored. Unclosed comments, scripts, tags and quotes run to the end of the page; reading takes time in proportion to the page, whatever it holds.
+Titles are not shown; a head ends where its elements do, so that a page may leave out any of its optional tags.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -30,22 +33,31 @@ from pyspark.sql import types as T
 from srcplan.llm import common as C
 
 MIN_WORDS, MIN_PAGES = 8, 2
-#: Words of a host that one task sorts (about 40 bytes each); larger hosts are sharded.
-HOST_WORDS = 16_000_000
+#: Words of a part of a host, which one task holds (about 40 bytes each), on average.
+PART_WORDS = 1_000_000
+#: Words of large hosts that a worker gathers before it sorts them.
+RUN_WORDS = 2_000_000
 U64 = np.uint64
 RESULT = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("host", T.StringType()), T.StructField("n_words", T.IntegerType()), T.StructField("n_removed", T.IntegerType()), T.StructField("text", T.StringType())])
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b)|\Z)", re.S | re.I)
-_INLINE = re.compile(r"</?(?:a|abbr|b|bdi|bdo|cite|code|em|font|i|kbd|mark|q|s|samp|small|span|strong|sub|sup|tt|u|var|wbr)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*(?:>|\Z)")
+# what stands between a tag's name and its end; quotes count after an equals sign, and nothing is tried twice
+_REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|))*+(?:>|\Z)"""
+_MARKUP = re.compile(
+    rf"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?P<raw>script|style|title|noscript|template|textarea|svg|iframe)(?=[\s/>]|\Z){_REST}(?:(?<=/>)|.*?(?:</(?P=raw)(?=[\s/>]|\Z){_REST}|\Z))"
+    rf"|</?(?P<inline>a|abbr|b|bdi|bdo|cite|code|em|font|i|kbd|mark|q|s|samp|small|span|strong|sub|sup|tt|u|var|wbr)(?=[\s/>]|\Z){_REST}|</?[a-zA-Z]{_REST}|<[!?/][^>]*+(?:>|\Z)",
+    re.S | re.I,
+)
+
+
+def _space(m: re.Match) -> str:
+    return "" if m["inline"] else " "
 
 
 def visible(page: str | None) -> str:
     """The words of a page that a reader sees, with one blank between any two."""
     if not page:
         return ""
-    page = _TAG.sub(" ", _INLINE.sub("", _HIDDEN.sub(" ", page)))
-    return " ".join(entities.unescape(page).split())
+    return " ".join(entities.unescape(_MARKUP.sub(_space, page)).split())
 
 
 _BYTE = C.mix(np.arange(256, dtype=U64) + U64(0x51ED270B)) | U64(1)
@@ -153,33 +165,71 @@ def runs(words: list[str], gone: np.ndarray) -> str:
     return "\n".join(" ".join(words[a:b]) for a, b in zip(edges[::2], edges[1::2]))
 
 
-def cut_host(page_id: pa.Array, texts: pa.Array, min_words: int, min_pages: int) -> tuple[np.ndarray, np.ndarray]:
-    """(which words of a host's pages are boilerplate, first word of each page plus the total)."""
+def _pages(page_id: pa.Array) -> np.ndarray:
+    """32-bit hashes of page ids; a null is a page of its own."""
+    ids = page_id.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
+    ids = C.mix(ids + U64(0x9E3779B97F4A7C15))
+    ids[page_id.is_null().to_numpy(zero_copy_only=False)] = U64(0x5DEECE66D5DEECE6)
+    return (ids >> U64(32)).astype(np.uint32)
+
+
+def _sorted_suffixes(page_id: pa.Array, texts: pa.Array, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order and rank of the suffixes, which prefixes lie within their page, page of each word, hash of each prefix, first word of each page plus the total)."""
     h, first = host_hashes(texts)
-    size = np.diff(first)
-    ids = page_id.fill_null(0).to_numpy(zero_copy_only=False)
-    _, page = np.unique(ids, return_inverse=True)
-    page = np.where(page_id.is_null().to_numpy(zero_copy_only=False), len(ids), page).astype(np.int32)
-    # a prefix lies within its page
-    n, taken = len(h), [h]
+    n, size = len(h), np.diff(first)
+    prefix = np.zeros(n, U64)
+    prefix[: max(0, n - min_words + 1)] = C.kgrams(h, min_words)
+    taken = [h]
     del h
     order, rank = suffix_array(taken, min_words)
     valid = np.repeat(first[1:].astype(np.int32), size) - np.arange(n, dtype=np.int32) >= min_words
-    hit = repeated(np.repeat(page, size), order, rank, valid, min_pages)
-    del order, rank
+    return order, rank, valid, np.repeat(_pages(page_id), size), prefix, first
+
+
+def run_of(page_id: pa.Array, texts: pa.Array, min_words: int, min_pages: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct prefixes of some pages by their hash, ascending, each with up to min_pages of its pages."""
+    order, rank, valid, page, prefix, _ = _sorted_suffixes(page_id, texts, min_words)
+    order = order[valid[order]]
+    r, p = rank[order], page[order]
+    again = np.lexsort((p, r))
+    r, p, order = r[again], p[again], order[again]
+    if not len(r):
+        return np.zeros(0, U64), np.zeros(0, np.uint32)
+    new = np.concatenate([[True], r[1:] != r[:-1]])
+    other = new | np.concatenate([[True], p[1:] != p[:-1]])
+    nth = np.cumsum(other)
+    keep = other & (nth - np.maximum.accumulate(np.where(new, nth, 0)) < min_pages)
+    h, p = prefix[order[keep]], p[keep]
+    by = np.argsort(h, kind="stable")
+    return h[by], p[by]
+
+
+def cut_host(page_id: pa.Array, texts: pa.Array, min_words: int, min_pages: int, common: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(which words of the pages are boilerplate, first word of each page plus the total). common: the repeated prefixes of a host of several parts, ascending."""
+    if common is None:
+        order, rank, valid, page, _, first = _sorted_suffixes(page_id, texts, min_words)
+        return covered(repeated(page, order, rank, valid, min_pages), min_words), first
+    h, first = host_hashes(texts)
+    hit = np.zeros(len(h), bool)
+    g = C.kgrams(h, min_words)
+    hit[: len(g)] = common[np.minimum(np.searchsorted(common, g), len(common) - 1)] == g
+    hit &= np.repeat(first[1:], np.diff(first)) - np.arange(len(h)) >= min_words
     return covered(hit, min_words), first
 
 
 def _host_task(batches: Iterator[pa.RecordBatch], min_words: int, min_pages: int) -> Iterator[pa.RecordBatch]:
-    """Pages sorted by host: each host is gathered, cut and given out in small batches."""
+    """Pages sorted by host and part, after the part's common prefixes: each part is gathered, cut and given out in small batches."""
     held: list[pa.RecordBatch] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
         held.clear()
-        ids, host, texts = t.column("page_id").combine_chunks(), t.column("host").combine_chunks(), t.column("text").cast(pa.large_string()).combine_chunks()
+        marks = pc.drop_null(t.column("common")).to_pylist()
+        t = t.filter(pc.is_null(t.column("common")))
+        ids, host, texts = (t.column(c).combine_chunks() for c in ("page_id", "host", "text"))
+        texts = texts.cast(pa.large_string())
         del t
-        gone, first = cut_host(ids, texts, min_words, min_pages)
+        gone, first = cut_host(ids, texts, min_words, min_pages, np.sort(np.frombuffer(b"".join(marks), U64)) if marks else None)
         for lo in range(0, len(ids), 500):
             hi = min(lo + 500, len(ids))
             rows = [(gone[first[i] : first[i + 1]], texts[i].as_py()) for i in range(lo, hi)]
@@ -188,66 +238,75 @@ def _host_task(batches: Iterator[pa.RecordBatch], min_words: int, min_pages: int
             )
 
     for batch in batches:
-        host = batch.column("host").to_numpy(zero_copy_only=False)
-        edges = [0, *(np.flatnonzero(host[1:] != host[:-1]) + 1).tolist(), len(host)]
+        host, part = batch.column("host").to_numpy(zero_copy_only=False), batch.column("part").to_numpy()
+        edges = [0, *(np.flatnonzero((host[1:] != host[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(host)]
         for lo, hi in zip(edges[:-1], edges[1:]):
             if lo == hi:
                 continue
-            if held and held[-1].column("host")[0].as_py() != host[lo]:
+            if held and (held[-1].column("host")[0].as_py(), held[-1].column("part")[0].as_py()) != (host[lo], part[lo]):
                 yield from flush()
             held.append(batch.slice(lo, hi - lo))
     if held:
         yield from flush()
 
 
-def _sharded(pages: DataFrame, min_words: int, min_pages: int) -> DataFrame:
-    """The same for hosts too large for one task."""
-    rows = C.saved(pages.withColumn("rid", F.monotonically_increasing_id()), "pages")
+def _common(pages: DataFrame, min_words: int, min_pages: int, run_words: int) -> DataFrame:
+    """(host, part, common): of pages (page_id, host, text, part, parts), the prefixes of each part that are on min_pages pages of the host."""
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int, int], list[pa.RecordBatch]] = {}
+        words = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (host, part, parts), own in held.items():
+                t = pa.Table.from_batches(own).combine_chunks()
+                h, p = run_of(t.column("page_id").combine_chunks(), t.column("text").cast(pa.large_string()).combine_chunks(), min_words, min_pages)
+                edges = np.searchsorted((h >> U64(32)) * U64(parts) >> U64(32), np.arange(parts + 1, dtype=U64))
+                some = np.flatnonzero(np.diff(edges))
+                cut = [slice(edges[k], edges[k + 1]) for k in some]
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(some), pa.string()), pa.array([part] * len(some), pa.int32()), pa.array(some.astype(np.int32)), pa.array([h[c].tobytes() for c in cut], pa.binary()), pa.array([p[c].tobytes() for c in cut], pa.binary())], names=["host", "part", "range", "h", "p"])
+            held.clear()
 
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in C.blocks(batch, "text"):
-                h, first = token_hashes(b.column("text"))
-                host = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in b.column("host").to_pylist()], U64)
-                g = C.kgrams(h, min_words)
-                count = np.maximum(np.diff(first) - min_words + 1, 0)
-                start = np.cumsum(count) - count
-                at = np.arange(int(count.sum())) - np.repeat(start, count)
-                row = np.repeat(np.arange(b.num_rows), count)
-                prefix = C.mix(g[first[:-1][row] + at] ^ host[row])
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(row)) for c in ("page_id", "rid")), pa.array(prefix.view(np.int64)), pa.array(at.astype(np.int32))], names=["page_id", "rid", "prefix", "at"])
-
-    every = rows.select("host", "page_id", "rid", "text").transform(C.mapped, suffixes, "page_id long, rid long, prefix long, at int")
-    page = F.coalesce("page_id", F.lit(-(2**63)))
-    # partial aggregation keeps a prefix of millions of pages from gathering in one task
-    some = every.groupBy("prefix").agg(F.min(page).alias("lo"), F.max(page).alias("hi")).filter("lo < hi" if min_pages > 1 else "true").select("prefix")
-    if min_pages > 2:
-        some = every.join(some, "prefix", "left_semi").groupBy("prefix").agg(F.count_distinct(page).alias("n")).filter(F.col("n") >= min_pages).select("prefix")
-    common = C.saved(some, "prefixes")
-    hits = every.join(F.broadcast(common) if common.count() <= C.SMALL_IDS else common, "prefix", "left_semi").groupBy("rid").agg(F.collect_list("at").alias("hits"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for text, at in zip(b.column("text").to_pylist(), b.column("hits").to_pylist()):
-                words = text.split(" ") if text else []
-                starts = np.zeros(len(words), bool)
-                starts[at or []] = True
-                gone = covered(starts, min_words)
-                out.append((len(words), int(gone.sum()), runs(words, gone)))
-            n, m, texts = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), pa.array(n, pa.int32()), pa.array(m, pa.int32()), pa.array(texts, pa.string())], names=RESULT.names)
-
-    return rows.join(hits, "rid", "left").select("page_id", "host", "text", "hits").transform(C.mapped, cut, RESULT)
-
-
-def extract(pages: DataFrame, min_words: int = MIN_WORDS, min_pages: int = MIN_PAGES, host_words: int = HOST_WORDS) -> DataFrame:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("host", "part", "parts"))))
+            own = defaultdict(list)
+            for i, k in enumerate(keys):
+                own[k].append(i)
+            for k, rows in own.items():
+                held.setdefault(k, []).append(batch.select(["page_id", "text"]).take(pa.array(rows)))
+            words += pc.sum(pc.count_substring(batch.column("text"), " ")).as_py() or 0
+            if words > run_words:
+                yield from flush()
+                words = 0
+        yield from flush()
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = [np.frombuffer(x, U64) for x in pdf["h"]]
+        every, p = np.concatenate(h), np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["p"]])
+        order = np.lexsort((p, every))
+        every, p = every[order], p[order]
+        new = np.concatenate([[True], every[1:] != every[:-1]])
+        several = np.bincount(np.cumsum(new) - 1, new | np.concatenate([[True], p[1:] != p[:-1]])) >= min_pages
+        common = every[new][several]
+        out = []
+        for part, own in pdf.groupby("part").indices.items():
+            x = np.unique(np.concatenate([h[i] for i in own]))
+            x = x[np.isin(x, common, assume_unique=True)]
+            if len(x):
+                out.append((pdf["host"].iloc[0], part, x.tobytes()))
+        return pd.DataFrame(out, columns=["host", "part", "common"])
+
+    runs_ = pages.transform(C.mapped, sort, "host string, part int, range int, h binary, p binary")
+    return C.saved(runs_.groupBy("host", "range").applyInPandas(merge, "host string, part int, common binary"), "common")
+
+
+def extract(pages: DataFrame, min_words: int = MIN_WORDS, min_pages: int = MIN_PAGES, part_words: int = PART_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """page_id, host, n_words, n_removed and the unique runs as text, for every row."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in C.blocks(batch, "html"):
-                yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), pa.array([visible(x) for x in b.column("html").to_pylist()], pa.string())], names=["page_id", "host", "text"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array([visible(x) for x in b.column("html").to_pylist()], pa.string())], names=[*names, "text"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,20 +314,25 @@ def extract(pages: DataFrame, min_words: int = MIN_WORDS, min_pages: int = MIN_P
                 n = [t.count(" ") + 1 if (t := visible(x)) else 0 for x in b.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(n, pa.int64())], names=["host", "n"])
 
+    names = ["page_id", "host", "part", "parts"]
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     known = pages.select(F.col("page_id").cast("long"), host.alias("host"), "html")
-    # pages are parsed twice, as that takes less than to keep their texts on disk in between
+    # pages are parsed again, as that takes less than to keep their texts on disk in between
     sizes = known.select("host", "html").transform(C.mapped, count, "host string, n long").groupBy("host").agg(F.sum("n").alias("n"))
-    large = [r[0] for r in sizes.filter(F.col("n") > host_words).select("host").collect()]
+    large = C.saved(sizes.filter(F.col("n") > part_words).select("host", F.ceil(F.col("n") / max(1, part_words)).cast("int").alias("parts")), "hosts")
+    n = large.count()
+    sent = F.broadcast(large) if n <= C.SMALL_IDS else large
+    divided = known.join(sent, "host", "left") if n else known.withColumn("parts", F.lit(None).cast("int"))
+    divided = divided.withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("page_id"), F.col("parts"))).otherwise(0).cast("int"))
 
     def parsed(own: DataFrame) -> DataFrame:
-        return own.transform(C.mapped, parse, "page_id long, host string, text string")
+        return own.select(*names, "html").transform(C.mapped, parse, "page_id long, host string, part int, parts int, text string")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _host_task(batches, min_words, min_pages)
 
-    small = known.filter(~F.col("host").isin(large)) if large else known
-    out = parsed(small).repartition("host").sortWithinPartitions("host").transform(C.mapped, task, RESULT)
-    if large:
-        out = out.unionByName(_sharded(parsed(known.filter(F.col("host").isin(large))), min_words, min_pages))
-    return out
+    every = parsed(divided).select("host", "part", "page_id", "text", F.lit(None).cast("binary").alias("common"))
+    if n:
+        common = _common(parsed(divided.filter("parts is not null")), min_words, min_pages, run_words)
+        every = every.union(common.select("host", "part", F.lit(None).cast("long"), F.lit(None).cast("string"), "common"))
+    return every.repartition("host", "part").sortWithinPartitions("host", "part").transform(C.mapped, task, RESULT)

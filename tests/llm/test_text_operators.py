@@ -61,21 +61,42 @@ def _pages():
     return pages
 
 
-@pytest.mark.parametrize("host_words", [10**9, 0])
-def test_html_equals_brute_force(spark, host_words):
+@pytest.mark.parametrize("part_words", [10**9, 50, 1])
+def test_html_equals_brute_force(spark, part_words):
     pages = _pages()
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, host string")
     for words, least in ((3, 2), (5, 3)):
-        got = html.extract(df, words, least, host_words)
+        got = html.extract(df, words, least, part_words, 60)
         assert sorted(_rows(got, "page_id", "host", "n_words", "n_removed", "text"), key=str) == _brute_html(pages, words, least)
     assert html.extract(df.limit(0)).count() == 0
 
 
 def test_visible_text():
-    assert html.visible("<p>a<b>b</b> &amp; c</p><style>x</style><div>d<br>e</div><script>f") == "ab & c d e"
+    for page, text in (
+        ("<p>a<b>b</b> &amp; c</p><style>x</style><div>d<br>e</div><script>f", "ab & c d e"),
+        ("<html><head><title>t</title><p>hello world body text</p>", "hello world body text"),
+        ("<html><head><meta charset=x><title>t > u</title></head><body class=a>x</body>", "x"),
+        ('<p title="a>b" data-x=\'c>"d\'>x</p>', "x"),
+        ("<p don't>it's</p> 1 < 2 <3 a<b", "it's 1 < 2 <3 a"),
+        ("a<!-->b<!-- c > d --!>e<!-- open", "a b e"),
+        ("<script>if (a </b) '</scripty>'</SCRIPT x='>'>y<svg/>z<svg><title>n</title></svg>w", "y z w"),
+        ("x<p title=\"open>y", "x"),
+        ("<abc>x</abc><article>y", "x y"),
+        ("<!doctype html><?xml x?>a</>b</ p>c", "a b c"),
+    ):
+        assert html.visible(page) == text, page
     assert html.visible(None) == html.visible("") == ""
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<script ", "<p x=", "<p x='", '<p x="', "<!-", "<!--", "</script", "<script></script", "<", "</a", "<svg><", "&", "<a x= ", "=", "<b =\t"])
+def test_pages_are_read_in_time_in_proportion(piece):
+    import time
+
+    began = time.perf_counter()
+    html.visible(piece * (10_000_000 // len(piece)))
+    assert time.perf_counter() - began < 15
+
+
 # ---- 2 language
 
 
