@@ -203,15 +203,16 @@ def _sketches(docs: DataFrame, k: int, picks: int, sketches: int) -> DataFrame:
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
-    """(key, id, n, label) for each key in s."""
+    """(key, id, n) and, if rows have it, label, for each key in s."""
+    names = [c for c in ("id", "n", "label") if c in rows.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = pc.divide(pc.binary_length(b.column("s")), 8).to_numpy(zero_copy_only=False)
             keys = np.frombuffer(b"".join(b.column("s").to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.repeat(b.column(c).to_numpy(), m)) for c in ("id", "n", "label"))], names=["key", "id", "n", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.repeat(b.column(c).to_numpy(), m)) for c in names)], names=["key", *names])
 
-    return rows.select("id", "n", "label", "s").transform(C.mapped, run, "key long, id long, n int, label long")
+    return rows.select(*names, "s").transform(C.mapped, run, "key long, id long, n int" + ", label long" * ("label" in names))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -319,13 +320,17 @@ def _verify(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
 def _pairs(rows: DataFrame, threshold: float, bucket: int) -> DataFrame:
     """Of the buckets (key, id, n, label): distinct pairs (a, b, n, label, hot), n and label of b.
 
-    All pairs of small buckets, and hot ones of a leader with each member of larger buckets. Members of one label are known to be in one group.
+    All pairs of small buckets, and hot ones of a leader with each member of larger buckets. Members of one label are known to be in one group; without labels, each is by itself.
     """
     # a leader is a member that is in no group yet, if there is one
-    found = rows.groupBy("key").agg(F.count("*").alias("m"), F.coalesce(F.min(F.when(F.col("label") == F.col("id"), F.col("id"))), F.min("id")).alias("lead"), F.bit_xor(F.xxhash64("id", "label")).alias("same"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    # of buckets with the same members one is enough
-    found = C.saved(found.filter("lo <> hi").groupBy("m", "lead", "same").agg(F.min("key").alias("key")).select("key", "m", "lead"), "buckets")
-    members = rows.join(found, "key")
+    if "label" in rows.columns:
+        found = rows.groupBy("key").agg(F.count("*").alias("m"), F.coalesce(F.min(F.when(F.col("label") == F.col("id"), F.col("id"))), F.min("id")).alias("lead"), F.bit_xor(F.xxhash64("id", "label")).alias("same"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    else:
+        found = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("lead"), F.bit_xor(F.xxhash64("id")).alias("same")).filter("m > 1")
+    # of buckets with the same members one is enough; many members of one bucket are split by the join
+    found = C.saved(found.groupBy("m", "lead", "same").agg(F.min("key").alias("key")).select("key", "m", "lead"), "buckets")
+    members = rows.join(found.hint("merge"), "key")
+    members = members if "label" in rows.columns else members.withColumn("label", F.col("id"))
     hot = members.filter((F.col("m") > bucket) & (F.col("id") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("id").alias("b"), "n", "label", F.lit(True).alias("hot"))
     if not bucket:  # no leader is left: all pairs, by a join that splits large buckets
         x, y = (members.select("key", F.struct("id", "n", "label").alias(c)) for c in "xy")
@@ -358,7 +363,7 @@ def groups(docs: DataFrame, k: int = K, picks: int = PICKS, sketches: int = SKET
     """(id, root, links) of docs (id, text) with unique ids: the smallest id of the group, and how many links were verified between its text and others or are to its copies. seen: gets the number of pairs that were aligned at each level."""
     drawn = C.saved(_sketches(docs, k, picks, sketches), "sketches")
     one = C.saved(drawn.groupBy("w1", "w2").agg(F.min("id").alias("rep"), F.min_by(F.struct("n", "s"), "id").alias("x"), F.count("*").alias("m")), "texts")
-    reps = one.select(F.col("rep").alias("id"), "x.n", F.col("rep").alias("label"), "x.s")
+    reps = one.select(F.col("rep").alias("id"), "x.n", "x.s")
     rows, good, words = _buckets(reps), None, None
     for level in range(levels + 1):
         pairs = _pairs(rows, threshold, bucket if level < levels else 0)
