@@ -1,4 +1,8 @@
-"""From raw documents to token ids: each stage takes what the one before it kept, as a table, and its decisions take effect."""
+"""From raw documents to token ids: each stage takes what the one before it kept, as a table, and its decisions take effect.
+
+Defined results: a null or empty text has no language and goes with the first stage. Rows with a null doc_id are judged like others, but near-dedup leaves them; rows that repeat a doc_id are
+documents of their own. A text of which line dedup leaves nothing stays as an empty text, with no tokens. Further columns are carried until the last stage. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -15,8 +19,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines that many documents have, also where they are over half of a document with text of its own; all documents stay, n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs, spare=False)
+    """Cuts lines that many documents have from all but one text; all documents stay, n_chars follows the text. Long lines of few documents are left to near-dedup, which needs copies whole, and to the last stage."""
+    out = line_dedup.dedup_lines(docs, long_docs=line_dedup.MIN_DOCS)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

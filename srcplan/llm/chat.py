@@ -5,7 +5,7 @@ reply is the target, and only the target is trainable. The turns of a conversati
 text (nulls first). A turn is rendered as <|role|>, a line end, its text, <|end|> and a line end; the prompt ends with the header of the reply.
 
 Defined results: a null role is `unknown`, a null text is empty, a null conv_id is a conversation of its own. Roles compare in lower case without blanks around
-them. Repeated rows are turns of their own. A conversation that begins with an assistant turn gives an example whose prompt is
+them, and every run of characters in them besides a-z, 0-9, - and _ is rendered as one _, so that no role can pose as a turn either. Repeated rows are turns of their own. A conversation that begins with an assistant turn gives an example whose prompt is
 the header only; one without assistant turns gives none. Marks of the template within a text are broken up by a space,
 so that no text can pose as another turn. Empty tables give an empty result. Other columns are ignored.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 
 def _role(c: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(c)), F.lit("unknown"))
+    return F.regexp_replace(F.coalesce(F.lower(F.trim(c)), F.lit("unknown")), "[^a-z0-9_-]+", "_")
 
 
 def _text(c: Column) -> Column:
@@ -45,7 +45,7 @@ def expand(conversations: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(lower(trim(role)), 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text,
+  SELECT conv_id, turn, regexp_replace(coalesce(lower(trim(role)), 'unknown'), '[^a-z0-9_-]+', '_', 'g') AS role, replace(coalesce(text, ''), '<|', '< |') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS pos FROM conversations),
 r AS (
   SELECT *, coalesce(string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '') OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before FROM t)

@@ -3,7 +3,7 @@
 A text becomes the frequencies of its hashed character 1- to 3-grams (lower case, everything but letters as one
 blank). A first set of one-versus-one machines picks the language family, a second one the language within it; each machine
 casts a vote and the sum of margins breaks ties. Machines are fitted on the driver to a bounded sample of labelled
-rows (`per_language` of each language, those with the smallest hash of their doc_id); texts are classified whole by workers.
+rows: of each language the `per_language` different texts with the smallest hash, as far as they have `sample_chars` characters together, or the first of them; texts are classified whole by workers.
 
 A document is rejected if it has fewer than `min_letters` letters, or if the margin of its language against the closest rival
 (other families and languages of its own) is below `min_margin`.
@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,8 +45,8 @@ FAMILIES = {
     "sinitic": "zh yue",
 }
 FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs.split()}
-#: Size of the labelled sample for each language; the only bound on what is fitted.
-PER_LANGUAGE = 600
+#: Size of the labelled sample for each language, in texts and in characters; the only bounds on what is fitted.
+PER_LANGUAGE, SAMPLE_CHARS = 600, 4_000_000
 DIMENSIONS = 1 << 13
 MIN_LETTERS, MIN_MARGIN = 8, 0.1
 RESULT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("family", T.StringType()), T.StructField("language", T.StringType()), T.StructField("margin", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
@@ -168,17 +168,27 @@ class Model:
         return family.tolist(), language.tolist(), margin, (letters >= self.min_letters) & (margin >= self.min_margin)
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> pd.DataFrame:
-    """At most per_language labelled rows (text, lang) of each language: those whose doc_id hashes lowest."""
-    known = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null and doc_id is not null")
-    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
-    if not sizes:
-        return pd.DataFrame({"text": [], "lang": []})
-    # a hash below this bound leaves a little more than is needed of each language, so that few texts are moved
-    bound = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, (per_language * 1.5 + 60) / n)))])
-    drawn = known.withColumn("h", F.xxhash64("doc_id")).filter((F.col("h") / F.lit(float(2**64)) + 0.5) < bound[F.col("lang")])
-    rows = drawn.toPandas().sort_values(["lang", "h", "doc_id", "text"])
-    return rows.groupby("lang").head(per_language)[["text", "lang"]]
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_chars: int = SAMPLE_CHARS) -> pd.DataFrame:
+    """At most per_language different labelled texts (text, lang) of each language: those that hash lowest, up to sample_chars characters."""
+    known = docs.select("text", "lang").filter("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
+    share = {r[0]: min(1.0, (per_language * 1.5 + 60) / r[1]) for r in known.groupBy("lang").count().collect()}
+    taken: list[pd.DataFrame] = []
+    while share:
+        # a hash below this bound leaves a little more than is needed of each language, so that few texts are moved; where texts repeat, a larger share is looked through
+        bound = F.create_map(*[x for lang, v in share.items() for x in (F.lit(lang), F.lit(v))])
+        drawn = known.filter(F.col("lang").isin(list(share)) & ((F.col("h") / F.lit(float(2**64)) + 0.5) <= bound[F.col("lang")])).groupBy("lang", "h").agg(F.min("text").alias("text"))
+        order = Window.partitionBy("lang").orderBy("h")
+        drawn = drawn.withColumn("k", F.row_number().over(order)).withColumn("chars", F.sum(F.length("text")).over(order)).filter((F.col("k") <= per_language) & ((F.col("k") == 1) | (F.col("chars") <= sample_chars)))
+        # the last row of a language tells whether its bounds were reached
+        rows = drawn.select("lang", "k", "chars", "text").toPandas()
+        for lang, v in list(share.items()):
+            own = rows[rows["lang"] == lang].sort_values("k")
+            if v >= 1 or len(own) >= per_language or len(own) and own["chars"].iloc[-1] > sample_chars / 2:
+                taken.append(own[["text", "lang"]])
+                del share[lang]
+            else:
+                share[lang] = min(1.0, 8 * v)
+    return pd.concat(taken).sort_values("lang", kind="stable", ignore_index=True) if taken else pd.DataFrame({"text": [], "lang": []})
 
 
 def fit(labelled: pd.DataFrame, min_letters: int = MIN_LETTERS, min_margin: float = MIN_MARGIN) -> Model:

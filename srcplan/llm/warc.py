@@ -8,7 +8,8 @@ a task that is run again leaves whole files only. Paths may be of any file syste
 
 Defined results: an empty payload gives one row with an empty chunk. A null html is written as an empty payload, null id and url as empty headers;
 repeated rows give records of their own. Header lines may have any length. A payload cut off by the end of its file ends in a row with `complete`
-false. A header that can't be read gives such a row too, and reading goes on at the next line that begins like a record. Extra columns are ignored; an
+false, and so does one cut off where a gzip member can't be read. A header that can't be read gives such a row too, and reading goes on at the next line that begins like a record, after damaged
+gzip at the next member; each gap gives one such row at least. Extra columns are ignored; an
 empty table gives no file and no row.
 """
 
@@ -32,6 +33,7 @@ CHUNK_BYTES = 16384
 READ_BYTES = 1 << 18
 FILE_BYTES = 64 << 20
 MARK = b"WARC/"
+GZIP = b"\x1f\x8b\x08"
 CHUNKS = T.StructType(
     [
         T.StructField("record_id", T.StringType()),
@@ -56,20 +58,22 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 class Bytes:
-    """Reads a file as one stream of bytes, through gzip if it begins with its mark."""
+    """Reads a file as one stream of bytes, through gzip if it begins with its mark. gap: whether what follows is lost, torn: whether that begins within a member; go_on() then looks for the next gzip member."""
 
     def __init__(self, raw: Callable[[int], bytes]) -> None:
-        self.raw, self.held, self.ended = raw, bytearray(), False
+        self.raw, self.held, self.ended, self.gap, self.torn = raw, bytearray(), False, False, False
         first = raw(READ_BYTES)
-        self.gz = zlib.decompressobj(31) if first[:2] == b"\x1f\x8b" else None
-        self.waiting = first
+        # a file whose first member is damaged is told by a mark further on
+        self.gz = zlib.decompressobj(31) if GZIP in first and not first.lstrip(b"\r\n").startswith(MARK) or first[:2] == GZIP[:2] else None
+        self.waiting, self.fresh = first, True
 
     def _more(self) -> bool:
-        while not self.ended:
+        while not self.ended and not self.gap:
             data, self.waiting = self.waiting, b""
             data = data or self.raw(READ_BYTES)
             if not data:
                 self.ended = True
+                self.gap = self.torn = self.gz is not None and not self.fresh  # a member that the end of the file cuts off
                 return False
             if self.gz is None:
                 self.held += data
@@ -77,11 +81,13 @@ class Bytes:
             try:
                 out = self.gz.decompress(data, READ_BYTES)
             except zlib.error:
-                self.ended = True
+                # the mark of the member that failed is not taken for the next one
+                self.waiting, self.gap, self.torn = data[self.fresh :], True, not self.fresh
                 return False
+            self.fresh = False
             if self.gz.eof:
                 self.waiting = self.gz.unused_data
-                self.gz = zlib.decompressobj(31)
+                self.gz, self.fresh = zlib.decompressobj(31), True
             else:
                 self.waiting = self.gz.unconsumed_tail
             if out:
@@ -89,6 +95,19 @@ class Bytes:
                 return True
         return False
 
+    def go_on(self) -> None:
+        """Past a gap: drops what is held and reads from the next mark of a gzip member."""
+        self.held.clear()
+        self.gap, self.torn, self.gz, self.fresh = False, False, zlib.decompressobj(31), True
+        data = self.waiting
+        while (at := data.find(GZIP)) < 0:
+            more = self.raw(READ_BYTES)
+            if not more:
+                self.waiting, self.ended = b"", True
+                return
+            data = data[-len(GZIP) + 1 :] + more
+        self.waiting = data[at:]
+
     def line(self) -> bytes | None:
         """The next line without its end, None at the end of the file."""
         at = 0
@@ -110,16 +129,23 @@ class Bytes:
                 return self.held.startswith(MARK) if self.held else None
             del self.held[:empty]
 
-    def skip(self) -> None:
-        """Drops what comes before the next line that begins like a record, without holding it."""
+    def skip(self) -> bool:
+        """Drops what comes before the next line that begins like a record, without holding it; False if there is none before the end or a gap."""
         if self.begins():
-            return
+            return True
         while (at := self.held.find(b"\n" + MARK)) < 0:
             del self.held[: max(0, len(self.held) - len(MARK))]
             if not self._more():
                 self.held.clear()
-                return
+                return False
         del self.held[: at + 1]
+        return True
+
+    def sound(self) -> bool:
+        """Whether the member of a record that was just read ends well, as far as its end follows here."""
+        while len(self.held) < 5 and not self.fresh and self._more():
+            pass
+        return not self.torn or len(self.held) > 4
 
     def take(self, n: int) -> bytes:
         """n bytes, fewer at the end of the file."""
@@ -133,33 +159,42 @@ class Bytes:
 def records(raw: Callable[[int], bytes], chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple]:
     """The rows of CHUNKS of one file."""
     src = Bytes(raw)
-    while (good := src.begins()) is not None:
+    while True:
+        good = src.begins()
+        if good is None:
+            if not src.gap:
+                return
+            yield (None, None, None, 0, b"", 0, None, True, False)
+            src.go_on()
+            continue
         head: dict[str, str] = {}
         line = src.line() if good else b""
         while good and (line := src.line()) not in (None, b""):
             name, _, value = line.partition(b":")
             head[name.strip().decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
-        size = head.get("content-length", "")
-        if line is None or not size.isdigit():
-            yield (head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), 0, b"", 0, None, True, False)
-            if line is None:
+        size, ids = head.get("content-length", ""), tuple(head.get(f"warc-{x}") for x in ("record-id", "type", "target-uri"))
+        if line is None or not (size.isascii() and size.isdigit()):
+            yield (*ids, 0, b"", 0, None, True, False)
+            if line is None and not src.gap:
                 return
-            src.skip()
+            if line is None or not src.skip():
+                src.go_on() if src.gap else None
             continue
         left, done, k, digest = int(size), 0, 0, hashlib.sha256()
-        ids = head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri")
         while True:
             part = src.take(min(chunk_bytes, left))
             digest.update(part)
             done += len(part)
             short = len(part) < min(chunk_bytes, left)
             left -= len(part)
-            yield (*ids, k, part, done, digest.hexdigest(), left == 0 or short, not short)
+            yield (*ids, k, part, done, digest.hexdigest(), left == 0 or short, not short and (left > 0 or src.sound()))
             if left == 0 or short:
                 break
             k += 1
         if short:
-            return
+            if not src.gap:
+                return
+            src.go_on()
 
 
 def read_warc(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -167,7 +202,7 @@ def read_warc(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES) ->
     fs, local = filesystem(path)
     found = sorted(x.path for x in fs.get_file_info(pafs.FileSelector(local, recursive=True, allow_not_found=True)) if x.is_file and x.path.rpartition(".")[2] in ("warc", "gz") and not x.base_name.startswith((".", "_")))
     prefix = path[: len(path) - len(local)] if path.endswith(local) else ""
-    files = spark.createDataFrame([(f"{prefix}{p}",) for p in found], "path string").repartition(max(1, len(found)), "path") if found else spark.createDataFrame([], "path string")
+    files = spark.createDataFrame([(f"{prefix}{p}",) for p in found], "path string").repartition(len(found)) if found else spark.createDataFrame([], "path string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
