@@ -200,7 +200,7 @@ def graph_walk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parse_go(spark: SparkSession, d: str) -> DataFrame:
-    """The functions of Go samples, one file for each document: sources are texts here, so the samples stand in for code."""
+    """The functions of Go sources, one file for each document, made from its numbers as the tables hold no code."""
     return parse.functions(samples.files(T.table(spark, d, "documents"), "go")).select("file", "name", "receiver", "line", "end_line", "complexity", "nesting", "params", "ignored_errors", "typed")
 
 
@@ -246,18 +246,38 @@ _TREE = "tr(node_id, parent_id, ord) AS (SELECT 'r' || r_regionkey, NULL, r_regi
 _RED = "text"
 for _e, _r in text.REDACTIONS:
     _RED = f"regexp_replace({_RED}, '{_e.replace(chr(39), chr(39) * 2)}', '{_r.replace('$1', chr(92) + '1')}', 'g')"
-#: What the samples hold, read off by hand.
-_NODES = "root,,; import,react,root_1; import,./log@,root_1; comp,Panel,root_1; hook,useState,comp_4; state,state:useState,comp_4; hook,useState,comp_4; state,state:useState,comp_4; hook,useEffect,comp_4; effect,,comp_4; jsx,Card,comp_4; jsx,Empty,comp_4; jsx,Row,comp_4; jsx,Row,comp_4; "
-_NODES += "event,handleKey,comp_4; prop,title,comp_4; prop,rows,comp_4; export,Panel,comp_4; comp,Small,root_1; jsx,Row,comp_19; prop,id,comp_19; hook,useReady,root_1"
-_NODE_ROWS = ", ".join(f"({n}, '{p}', '{'component' if p == 'comp' else p}', '{name}', {repr(parent) if parent else 'NULL'})" for n, (p, name, parent) in enumerate((x.strip().split(",") for x in _NODES.split(";")), 1))
+_PARTS = f"WITH {samples.PARTS_SQL}"
+# the order of building: root, imports, the component with hooks and their states, effects, elements, handlers, props, export, the other component, hooks outside
+_X = lambda prefix, name, owner, kind="": f"{{'prefix': '{prefix}', 'kind': '{kind or prefix}', 'name': {name}, 'owner': '{owner}'}}"
+_TIMES = lambda n, *x: f"flatten(list_transform(range({n}), lambda i: [{', '.join(x)}]))"
+_NODES = ", ".join(
+    (
+        f"[{_X('root', repr(''), '')}, {_X('import', repr('react'), 'r')}, {_X('import', repr('./log') + ' || doc_id', 'r')}, {_X('comp', repr('Panel') + ' || doc_id', 'r', 'component')}]",
+        _TIMES("a", _X("hook", "'useState'", "1"), _X("state", "'state:useState'", "1")),
+        _TIMES("b", _X("hook", "'useEffect'", "1")),
+        _TIMES("b", _X("effect", "''", "1")),
+        f"[{_X('jsx', repr('Card'), '1')}, {_X('jsx', repr('Empty'), '1')}]",
+        _TIMES("p", _X("jsx", "'Row'", "1")),
+        _TIMES("(c > 1)::INT", _X("event", "'handleIt'", "1")),
+        f"[{_X('prop', repr('title'), '1')}]",
+        _TIMES("p", _X("prop", "'p' || i", "1")),
+        _TIMES("(d > 0)::INT", _X("export", "'Panel' || doc_id", "1")),
+        f"[{_X('comp', repr('Small'), 'r', 'component')}, {_X('jsx', repr('Row'), '2')}, {_X('prop', repr('id'), '2')}, {_X('hook', repr('useReady'), 'r')}]",
+    )
+)
 SQL = {
-    "parse_go": """SELECT 'src/f' || doc_id || '.go' AS file, CASE name WHEN 'drop' THEN 'drop' || (doc_id % 9) ELSE name END AS name, receiver, line, end_line, complexity, nesting, params, ignored_errors, true AS typed
-FROM documents, (VALUES ('Find', '(s *Store)', 8, 22, 8, 3, 2, 0), ('drop', '', 24, 27, 1, 0, 2, 3)) v(name, receiver, line, end_line, complexity, nesting, params, ignored_errors)""",
-    "parse_rust": """SELECT 'src/f' || doc_id || '.rs' AS file, CASE name WHEN 'raw' THEN 'raw' || (doc_id % 9) ELSE name END AS name, receiver, line, end_line, complexity, nesting, 2 AS params, name = 'find' AS is_pub, name = 'find' AS is_async, name = 'raw' AS is_unsafe
-FROM documents, (VALUES ('find', 'Store', 5, 16, 6, 5), ('raw', '', 19, 19, 1, 0)) v(name, receiver, line, end_line, complexity, nesting)""",
-    "parse_tsx": """SELECT 'src/f' || doc_id || '.tsx' AS file, v.*, name = 'Panel' AS has_keydown, name = 'Small' AS has_analytics, name = 'Panel' AS exported, name = 'Panel' AS default_export FROM documents,
-(VALUES ('Panel', 'function', 4, 15, 'useState,useState,useEffect', 'Card,Empty,Row,Row', 2, 1, 3, 1), ('Small', 'arrow', 17, 17, '', 'Row', 0, 0, 0, 0)) v(name, kind, start_line, end_line, hooks, jsx, states, effects, conditionals, loops)""",
-    "node_graph": f"""SELECT 'src/f' || doc_id || '.tsx' AS file, seq, prefix || '_' || seq AS node_id, kind, replace(name, '@', CAST(doc_id % 9 AS VARCHAR)) AS name, parent_id FROM documents, (VALUES {_NODE_ROWS}) v(seq, prefix, kind, name, parent_id)""",
+    "parse_go": f"""{_PARTS}, f AS (SELECT *, 9 + 3 * a + 2 * b + CASE WHEN c > 0 THEN c + 1 ELSE 0 END + CASE WHEN d > 0 THEN 3 * d + 3 ELSE 0 END AS stop FROM pt)
+SELECT 'src/f' || doc_id || '.go' AS file, 'Find' || doc_id AS name, '(s *Store)' AS receiver, 7 AS line, stop AS end_line, 1 + 2 * a + b + c + CASE WHEN d > 0 THEN 2 * d + 1 ELSE 0 END AS complexity, greatest((a > 0)::INT, b, c, (d > 0)::INT) AS nesting, 1 + p AS params, 0 AS ignored_errors, true AS typed FROM f
+UNION ALL SELECT 'src/f' || doc_id || '.go', 'drop' || doc_id, '', stop + 2, stop + 3 + e + p + CASE WHEN c > 1 THEN 4 ELSE 0 END, CASE WHEN c > 1 THEN 2 ELSE 1 END, 0, 1, e + 2 * p, true FROM f""",
+    "parse_rust": f"""{_PARTS}, f AS (SELECT *, 8 + 3 * a + 2 * b + CASE WHEN c > 0 THEN c + 2 ELSE 0 END + 3 * d AS stop FROM pt)
+SELECT 'src/f' || doc_id || '.rs' AS file, 'find' || doc_id AS name, 'Store' AS receiver, 5 AS line, stop AS end_line, 1 + a + b + c + d AS complexity, greatest(1, CASE WHEN a > 0 OR d > 0 THEN 3 END, 1 + 2 * b, CASE WHEN c > 0 THEN 2 END) AS nesting, 1 + p AS params, d % 2 = 1 AS is_pub, e > 0 AS is_async, false AS is_unsafe FROM f
+UNION ALL SELECT 'src/f' || doc_id || '.rs', 'raw' || doc_id, '', stop + 3, stop + 3, 1, 0, 2, false, false, true FROM f""",
+    "parse_tsx": f"""{_PARTS}, f AS (SELECT *, 10 + a + b + c + d + e + (c > 1)::INT + (e > 0)::INT + p AS stop FROM pt)
+SELECT 'src/f' || doc_id || '.tsx' AS file, 'Panel' || doc_id AS name, 'function' AS kind, 4 AS start_line, stop AS end_line, array_to_string(list_concat(list_transform(range(a), lambda i: 'useState'), list_transform(range(b), lambda i: 'useEffect')), ',') AS hooks, 'Card,Empty' || repeat(',Row', p) AS jsx,
+a AS states, b AS effects, c + d AS conditionals, e AS loops, d > 1 AS has_keydown, e > 0 AS has_analytics, d > 0 AS exported, d % 2 = 1 AS default_export FROM f
+UNION ALL SELECT 'src/f' || doc_id || '.tsx', 'Small', 'arrow', stop + 2, stop + 2, '', 'Row', 0, 0, 0, 0, false, false, false, false FROM f""",
+    "node_graph": f"""{_PARTS}, n AS (SELECT doc_id, 11 + 2 * a + 2 * b + 2 * p + (c > 1)::INT + (d > 0)::INT - 3 AS small, flatten([{_NODES}]) AS x FROM pt), u AS (SELECT doc_id, small, unnest(x) AS x, generate_subscripts(x, 1) AS seq FROM n)
+SELECT 'src/f' || doc_id || '.tsx' AS file, CAST(seq AS INTEGER) AS seq, x.prefix || '_' || seq AS node_id, x.kind AS kind, x.name AS name, CASE x.owner WHEN 'r' THEN 'root_1' WHEN '1' THEN 'comp_4' WHEN '2' THEN 'comp_' || small END AS parent_id FROM u""",
     "rule_large_file": f"{_F}, {_LARGE} SELECT file_id, 'go.large-file' AS code, severity, message, path AS file FROM lg",
     "rule_repeated_elements": f"WITH {_COMP} SELECT * FROM el",
     "rule_flags": f"WITH {_COMP} SELECT page_id, kd AS has_keydown, an AS has_analytics FROM cp",
