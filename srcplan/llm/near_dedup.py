@@ -374,9 +374,12 @@ def groups(docs: DataFrame, k: int = K, picks: int = PICKS, sketches: int = SKET
         if seen is not None:
             seen.append(done.count())
         label = F.when(F.col("ok") & (F.col("label") == F.col("b")), F.col("a")).otherwise(F.col("label"))
-        rows = C.saved(_buckets(done.filter("hot").select(F.col("b").alias("id"), "n", label.alias("label"), "s")), "rests")
-        if rows.isEmpty():
+        # where all members align with their leader, there is nothing left to find
+        torn = C.saved(done.filter("hot and not ok").select("a").distinct(), "leaders")
+        if torn.isEmpty():
             break
+        rest = done.filter("hot").join(F.broadcast(torn) if torn.count() <= C.SMALL_IDS else torn, "a", "left_semi")
+        rows = C.saved(_buckets(rest.select(F.col("b").alias("id"), "n", label.alias("label"), "s")), "rests")
     good = C.saved(good.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "good")
     degree = good.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     roots = components(good).withColumnRenamed("id", "rep").join(degree, "rep")
