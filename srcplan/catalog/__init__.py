@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from srcplan.catalog import code, diffs, planning
+from srcplan.catalog import code, diffs, documents, planning
 
-_PARTS = (diffs, code, planning)
+_PARTS = (diffs, code, planning, documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

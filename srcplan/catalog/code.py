@@ -15,8 +15,8 @@ MAX_LINES, BUDGET, SMALL_BUDGET = 20, 120, 4000
 
 
 def rule_large_file(spark: SparkSession, d: str) -> DataFrame:
-    f = T.source_files(spark, d).withColumn("lang", F.lit("go"))
-    return rules.file_findings(f, {"large-file": MAX_LINES}).select("file_id", "code", "severity", "message", "file")
+    f = T.source_files(spark, d).withColumn("lang", F.when(F.col("file_id") % 3 == 0, "rust").otherwise("go"))
+    return rules.file_findings(f, {"large-file": MAX_LINES}).select("file_id", "code", "severity", "message", "file", "line")
 
 
 def _tags(spark: SparkSession, d: str) -> DataFrame:
@@ -33,6 +33,10 @@ def rule_flags(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "pages").select("page_id", keys.alias("has_keydown"), tracks.alias("has_analytics"))
 
 
+def _prop(name: str, kind: str) -> F.Column:
+    return F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type"))
+
+
 def _components(spark: SparkSession, d: str) -> DataFrame:
     """A page as a component: tags stand for elements, list items for hooks, links for state, headings for effects."""
     keys, tracks = rules.flags(F.col("html"))
@@ -47,7 +51,7 @@ def _components(spark: SparkSession, d: str) -> DataFrame:
         text.line_count(F.col("html")).alias("lines"),
         F.filter("tags", lambda x: x == "li").alias("hooks"),
         F.col("tags").alias("jsx"),
-        F.array().cast("array<struct<name:string,type:string>>").alias("props"),
+        F.when(F.col("page_id") % 3 == 0, F.array(_prop("a", ""), _prop("b", ""))).when(F.col("page_id") % 3 == 1, F.array(_prop("a", ""), _prop("b", "string"))).otherwise(F.array().cast("array<struct<name:string,type:string>>")).alias("props"),
         n("a").alias("states"),
         n("h2").alias("effects"),
         n("p").alias("conditionals"),
@@ -63,7 +67,8 @@ def rule_mixed_responsibilities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def component_findings(spark: SparkSession, d: str) -> DataFrame:
-    return rules.component_findings(_components(spark, d)).groupBy("code", "severity").agg(F.count("*").alias("n"))
+    limits = {"large-component": 3, "too-many-hooks": 4, "too-many-state-vars": 5, "complex-conditionals": 4, "too-many-effects": 1}
+    return rules.component_findings(_components(spark, d), limits).select(F.col("component_id").cast("long").alias("page_id"), "code", "severity", "message", "file", "line", "end_line", "component")
 
 
 def component_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -81,17 +86,17 @@ def function_findings(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("l_suppkey") % 2 == 0, "go").otherwise("rust").alias("lang"),
         F.concat(F.lit("src/f"), "l_partkey").alias("file"),
         F.concat(F.lit("fn"), "l_orderkey").alias("name"),
-        F.lit("").alias("receiver"),
+        F.when(F.col("l_linenumber") % 3 == 0, F.when(F.col("l_suppkey") % 2 == 0, "(s *S)").otherwise("S")).otherwise("").alias("receiver"),
         F.col("l_linenumber").alias("line"),
-        F.col("l_linenumber").alias("end_line"),
+        (F.col("l_linenumber") + 9).alias("end_line"),
         (F.floor("l_quantity") * 5).cast("int").alias("lines"),
         F.floor("l_quantity").cast("int").alias("complexity"),
         F.round(F.col("l_discount") * 100).cast("int").alias("nesting"),
         F.round(F.col("l_tax") * 200).cast("int").alias("params"),
         (F.col("l_partkey") % 3).cast("int").alias("ignored_errors"),
-        F.lit(True).alias("typed"),
+        (F.col("l_partkey") % 2 == 0).alias("typed"),
     )
-    return rules.function_findings(f).groupBy("code", "severity").agg(F.count("*").alias("n"), F.min("message").alias("first_message"))
+    return rules.function_findings(f).select("code", "severity", "message", "file", "line", "end_line", "symbol", F.col("metadata")["confidence"].alias("confidence"))
 
 
 def summary_severity(spark: SparkSession, d: str) -> DataFrame:
@@ -164,7 +169,7 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def slugs(spark: SparkSession, d: str) -> DataFrame:
-    return T.table(spark, d, "part").select("p_partkey", text.slug(F.concat("p_name", F.lit(" "), "p_type")).alias("slug"))
+    return T.table(spark, d, "part").select("p_partkey", text.slug(F.when(F.col("p_partkey") % 10 == 0, "?! -").otherwise(F.concat("p_name", F.lit(" "), "p_type"))).alias("slug"))
 
 
 def range_anti_join(spark: SparkSession, d: str) -> DataFrame:
@@ -278,29 +283,31 @@ a AS states, b AS effects, c + d AS conditionals, e AS loops, d > 1 AS has_keydo
 UNION ALL SELECT 'src/f' || doc_id || '.tsx', 'Small', 'arrow', stop + 2, stop + 2, '', 'Row', 0, 0, 0, 0, false, false, false, false FROM f""",
     "node_graph": f"""{_PARTS}, n AS (SELECT doc_id, 11 + 2 * a + 2 * b + 2 * p + (c > 1)::INT + (d > 0)::INT - 3 AS small, flatten([{_NODES}]) AS x FROM pt), u AS (SELECT doc_id, small, unnest(x) AS x, generate_subscripts(x, 1) AS seq FROM n)
 SELECT 'src/f' || doc_id || '.tsx' AS file, CAST(seq AS INTEGER) AS seq, x.prefix || '_' || seq AS node_id, x.kind AS kind, x.name AS name, CASE x.owner WHEN 'r' THEN 'root_1' WHEN '1' THEN 'comp_4' WHEN '2' THEN 'comp_' || small END AS parent_id FROM u""",
-    "rule_large_file": f"{_F}, {_LARGE} SELECT file_id, 'go.large-file' AS code, severity, message, path AS file FROM lg",
+    "rule_large_file": f"{_F}, {_LARGE} SELECT file_id, CASE WHEN file_id % 3 = 0 THEN 'rust' ELSE 'go' END || '.large-file' AS code, severity, message, path AS file, 1 AS line FROM lg",
     "rule_repeated_elements": f"WITH {_COMP} SELECT * FROM el",
     "rule_flags": f"WITH {_COMP} SELECT page_id, kd AS has_keydown, an AS has_analytics FROM cp",
     "rule_mixed_responsibilities": f"""WITH {_COMP} SELECT page_id, 'medium' AS severity, 'Component "Page' || page_id || '" has ~' || r || ' detected responsibilities' AS message FROM roles WHERE r >= 3""",
-    "component_findings": f"""WITH {_COMP}, f AS (SELECT 'react.large-component' AS code, CASE WHEN lines > 400 THEN 'high' WHEN lines > 300 THEN 'medium' ELSE 'low' END AS severity FROM cp WHERE lines > 200
-UNION ALL SELECT 'react.too-many-hooks', 'low' FROM cp WHERE hooks > 5 UNION ALL SELECT 'react.too-many-state-vars', 'medium' FROM cp WHERE states > 4 UNION ALL SELECT 'react.too-many-effects', 'medium' FROM cp WHERE effects > 2
-UNION ALL SELECT 'react.complex-conditionals', 'low' FROM cp WHERE conditionals > 5 UNION ALL SELECT 'react.mixed-responsibilities', 'medium' FROM roles WHERE r >= 3 UNION ALL SELECT 'react.repeated-jsx', 'low' FROM el)
-SELECT code, severity, count(*) AS n FROM f GROUP BY ALL""",
+    "component_findings": f"""WITH {_COMP}, c AS (SELECT *, 'Component "Page' || page_id || '"' AS who FROM roles), f AS (SELECT page_id, 'react.large-component' AS code, CASE WHEN lines > 6 THEN 'high' WHEN lines > 4 THEN 'medium' ELSE 'low' END AS severity, who || ' is ' || lines || ' lines (limit: 3)' AS message, 1 AS line, lines AS end_line FROM c WHERE lines > 3
+UNION ALL SELECT page_id, 'react.too-many-hooks', 'low', who || ' has ' || hooks || ' hooks (limit: 4)', NULL, NULL FROM c WHERE hooks > 4 UNION ALL SELECT page_id, 'react.too-many-state-vars', 'medium', who || ' has ' || states || ' state variables (limit: 5)', NULL, NULL FROM c WHERE states > 5
+UNION ALL SELECT page_id, 'react.too-many-effects', 'medium', who || ' has ' || effects || ' useEffect calls (limit: 1)', NULL, NULL FROM c WHERE effects > 1 UNION ALL SELECT page_id, 'react.complex-conditionals', 'low', who || ' has ' || conditionals || ' conditional expressions (limit: 4)', NULL, NULL FROM c WHERE conditionals > 4
+UNION ALL SELECT page_id, 'react.mixed-responsibilities', 'medium', who || ' has ~' || r || ' detected responsibilities', NULL, NULL FROM c WHERE r >= 3 UNION ALL SELECT page_id, 'react.missing-prop-types', 'low', who || ' has 2 props but no TypeScript types found', NULL, NULL FROM c WHERE page_id % 3 = 0 AND page_id IN (SELECT page_id FROM tg)
+UNION ALL SELECT page_id, 'react.repeated-jsx', 'low', 'JSX element <' || element || '> repeated ' || n || ' times in component "Page' || page_id || '"', NULL, NULL FROM el)
+SELECT f.*, url AS file, 'Page' || page_id AS component FROM f JOIN (SELECT page_id, url FROM pages) USING (page_id)""",
     "component_labels": f"""WITH {_COMP} SELECT page_id, array_to_string(list_filter([CASE WHEN states > 3 THEN 'local-state-management' END, CASE WHEN effects > 2 THEN 'side-effects' END, CASE WHEN kd THEN 'keyboard-events' END, CASE WHEN an THEN 'analytics' END,
 CASE WHEN conditionals > 5 THEN 'complex-rendering-logic' END, CASE WHEN loops > 3 THEN 'list-rendering' END], lambda x: x IS NOT NULL), ',') AS labels FROM cp""",
     "recipe_matches": f"""WITH {_COMP}, m AS (SELECT page_id, 'react.split-large-component' AS recipe, lines / 500.0 AS confidence FROM cp WHERE lines >= 200
 UNION ALL SELECT DISTINCT page_id, 'react.extract-repeated-jsx', 0.9 FROM el
 UNION ALL SELECT page_id, 'react.extract-custom-hook', CASE WHEN hooks > 5 OR (effects > 1 AND states > 2) THEN 0.75 ELSE 0.85 END FROM cp WHERE hooks > 5 OR (effects > 1 AND states > 2) OR (kd AND states > 0)
-UNION ALL SELECT page_id, 'react.reduce-state-vars', 0.7 FROM cp WHERE states > 4 UNION ALL SELECT page_id, 'react.consolidate-effects', 0.6 FROM cp WHERE effects > 2)
+UNION ALL SELECT page_id, 'react.reduce-state-vars', 0.7 FROM cp WHERE states > 4 UNION ALL SELECT page_id, 'react.consolidate-effects', 0.6 FROM cp WHERE effects > 2 UNION ALL SELECT page_id, 'react.add-prop-types', 0.6 FROM cp WHERE page_id % 3 = 0 AND lines > 30)
 SELECT page_id, recipe, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM m""",
-    "function_findings": """WITH f AS (SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'go' ELSE 'rust' END AS lang, 'src/f' || l_partkey AS file, 'fn' || l_orderkey AS who, CAST(floor(l_quantity) AS INT) * 5 AS lines, CAST(floor(l_quantity) AS INT) AS cc,
-CAST(round(l_discount * 100) AS INT) AS nest, CAST(round(l_tax * 200) AS INT) AS params, l_partkey % 3 AS ign FROM lineitem),
-x AS (SELECT lang || '.long-function' AS code, CASE WHEN lines > 160 THEN 'high' WHEN lines > 120 THEN 'medium' ELSE 'low' END AS severity, 'Function ' || who || ' in "' || file || '" is ' || lines || ' lines (limit: 80)' AS message FROM f WHERE lines > 80
-UNION ALL SELECT lang || '.high-complexity', CASE WHEN cc > 20 THEN 'high' WHEN cc > 15 THEN 'medium' ELSE 'low' END, 'Function ' || who || ' has cyclomatic complexity ' || cc || ' (limit: 10)' FROM f WHERE cc > 10
-UNION ALL SELECT lang || '.deep-nesting', CASE WHEN nest > 7 THEN 'high' WHEN nest > 5 THEN 'medium' ELSE 'low' END, 'Function ' || who || ' has nesting depth ' || nest || ' (limit: 4)' FROM f WHERE nest > 4
-UNION ALL SELECT lang || '.too-many-params', CASE WHEN lang = 'rust' AND params > 10 THEN 'medium' ELSE 'low' END, 'Function ' || who || ' has ' || params || ' parameters (limit: 5)' FROM f WHERE params > 5
-UNION ALL SELECT lang || '.ignored-error', 'medium', 'Function ' || who || ' ignores ' || ign || ' error(s) with _' FROM f WHERE lang = 'go' AND ign > 0)
-SELECT code, severity, count(*) AS n, min(message) AS first_message FROM x GROUP BY ALL""",
+    "function_findings": """WITH f AS (SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'go' ELSE 'rust' END AS lang, 'src/f' || l_partkey AS file, CASE WHEN l_linenumber % 3 <> 0 THEN '' WHEN l_suppkey % 2 = 0 THEN '(s *S).' ELSE 'S::' END || 'fn' || l_orderkey AS symbol, l_linenumber AS line, CAST(floor(l_quantity) AS INT) * 5 AS lines, CAST(floor(l_quantity) AS INT) AS cc,
+CAST(round(l_discount * 100) AS INT) AS nest, CAST(round(l_tax * 200) AS INT) AS params, l_partkey % 3 AS ign, CASE WHEN l_partkey % 2 = 0 THEN 'high' ELSE 'medium' END AS sure FROM lineitem),
+x AS (SELECT lang || '.long-function' AS code, CASE WHEN lines > 160 THEN 'high' WHEN lines > 120 THEN 'medium' ELSE 'low' END AS severity, 'Function ' || symbol || ' in "' || file || '" is ' || lines || ' lines (limit: 80)' AS message, file, line, line + 9 AS end_line, symbol, NULL AS confidence FROM f WHERE lines > 80
+UNION ALL SELECT lang || '.high-complexity', CASE WHEN cc > 20 THEN 'high' WHEN cc > 15 THEN 'medium' ELSE 'low' END, 'Function ' || symbol || ' has cyclomatic complexity ' || cc || ' (limit: 10)', file, line, NULL, symbol, NULL FROM f WHERE cc > 10
+UNION ALL SELECT lang || '.deep-nesting', CASE WHEN nest > 7 THEN 'high' WHEN nest > 5 THEN 'medium' ELSE 'low' END, 'Function ' || symbol || ' has nesting depth ' || nest || ' (limit: 4)', file, line, NULL, symbol, NULL FROM f WHERE nest > 4
+UNION ALL SELECT lang || '.too-many-params', CASE WHEN lang = 'rust' AND params > 10 THEN 'medium' ELSE 'low' END, 'Function ' || symbol || ' has ' || params || ' parameters (limit: 5)', file, line, NULL, symbol, NULL FROM f WHERE params > 5
+UNION ALL SELECT lang || '.ignored-error', 'medium', 'Function ' || symbol || ' ignores ' || ign || ' error(s) with _', file, line, NULL, symbol, sure FROM f WHERE lang = 'go' AND ign > 0)
+SELECT code, severity, message, file, CAST(line AS INTEGER) AS line, CAST(end_line AS INTEGER) AS end_line, symbol, confidence FROM x""",
     "summary_severity": f"{_D} SELECT count(DISTINCT file) AS files, count(*) AS findings, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM fd",
     "summary_codes": f"{_D} SELECT code, count(*) AS n FROM fd GROUP BY 1",
     "summary_worst_files": f"{_D} SELECT file, count(*) AS n FROM fd GROUP BY 1 ORDER BY n DESC, file LIMIT 10",
@@ -320,7 +327,7 @@ SELECT path, lines, CAST(findings AS BIGINT) AS findings, CASE WHEN file_id % 3
 SELECT page_id, CASE WHEN len(x) > 2 THEN '<redacted>/' || CASE WHEN x[-2] = '' THEN '' ELSE x[-2] || '/' END || x[-1] WHEN len(x) = 2 THEN '<redacted>/' || x[-1] ELSE x[1] END AS path FROM p""",
     "sanitize_path": "SELECT doc_id, 'synthetic/' || replace(replace(source, 'private', 'synthetic'), 'secret', 'synthetic') || '/my-synthetic-' || doc_id AS path FROM documents",
     "content_hash": "SELECT doc_id, CASE WHEN text = '' THEN '' ELSE sha256(text) END AS content_hash, left(sha256(text), 16) AS snippet_hash FROM documents",
-    "slugs": "SELECT p_partkey, left(regexp_replace(regexp_replace(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9 _-]', '', 'g'), '[ _-]+', '-', 'g'), '-+$', ''), 40) AS slug FROM part",
+    "slugs": "SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'target' ELSE left(regexp_replace(regexp_replace(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9 _-]', '', 'g'), '[ _-]+', '-', 'g'), '-+$', ''), 40) END AS slug FROM part",
     "range_anti_join": f"{_F}, p AS (SELECT path AS file, file_id, unnest(range(1, lines + 1)) AS line FROM src) SELECT file, CAST(line AS INTEGER) AS line FROM p WHERE NOT (file_id % 2 = 0 AND (line BETWEEN 2 AND 4 OR line BETWEEN 10 AND 15))",
     "symbol_first_wins": """WITH t AS (SELECT p_type AS name, 'n_' || min(p_partkey) AS target FROM part GROUP BY 1), r AS (SELECT CASE WHEN p_partkey % 10 = 0 THEN 'none' ELSE p_type END AS name, 'r_' || p_partkey AS ref_id FROM part)
 SELECT ref_id, name, target FROM r LEFT JOIN t USING (name)""",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from srcplan.functions import lineage
+
 
 def _node(prefix: str, kind: str, name: Column, parent: Column, **attrs: Column) -> Column:
     some = [x for k, v in attrs.items() for x in (F.lit(k), v.cast("string"))]
@@ -64,24 +66,39 @@ def resolve(references: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
 
 
 def merge(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Vertices of both; for an id that both have, the right one."""
+    """Vertices (node_id, ...) of both; for an id that both have, the right one."""
     return left.join(right.select("node_id"), "node_id", "left_anti").unionByName(right)
 
 
-def walk(edges: DataFrame, most: int = 32) -> DataFrame:
+def merge_children(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Edges (parent_id, node_id, ord) of both, numbered anew below each parent: the left one's children, then the right one's."""
+    every = left.select("parent_id", "node_id", "ord", F.lit(0).alias("side")).union(right.select("parent_id", "node_id", "ord", F.lit(1)))
+    return every.select("parent_id", "node_id", F.row_number().over(Window.partitionBy("parent_id").orderBy("side", "ord", "node_id")).alias("ord"))
+
+
+def merge_symbols(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Symbols (name, node_id) of both; for a name that both have, the left one."""
+    return left.select("name", "node_id").union(right.join(left.select("name"), "name", "left_anti").select("name", "node_id"))
+
+
+def walk(edges: DataFrame) -> DataFrame:
     """(node_id, depth, path) in depth first order by path; edges: node_id, parent_id (null for roots), ord. Nodes that no root reaches are roots of their own, last.
 
-    One join a level, so the work follows the depth of the forest, which `most` bounds.
+    In every round each path is joined to that of the node where it begins, so a forest of depth n takes log2(n) rounds, and no depth or number of rows is too large.
     """
-    spark = edges.sparkSession
-    name = "srcplan_edges"
     e = edges.select("node_id", "parent_id", F.format_string("%010d", F.col("ord").cast("long")).alias("place"))
-    e.createOrReplaceTempView(name)
-    out = spark.sql(
-        f"""WITH RECURSIVE w(node_id, depth, path) MAX RECURSION LEVEL {most} AS (
-        SELECT node_id, 0, concat('0/', place) FROM {name} WHERE parent_id IS NULL
-        UNION ALL SELECT e.node_id, w.depth + 1, concat(w.path, '/', e.place) FROM w JOIN {name} e ON e.parent_id = w.node_id) SELECT * FROM w"""
-    )
+    now = lineage.cut(e.select("node_id", F.col("parent_id").alias("up"), F.lit(0).alias("depth"), F.col("place").alias("path")))
+    while True:
+        known = now.filter("up is null")
+        top = now.select(F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("above"), F.col("path").alias("before"))
+        # a parent that is no node leads nowhere
+        joined = now.filter("up is not null").join(top, "up").select("node_id", F.col("next").alias("up"), (F.col("depth") + F.col("above") + 1).cast("int").alias("depth"), F.concat("before", F.lit("/"), "path").alias("path"))
+        done = known.count()
+        now = lineage.cut(known.unionByName(joined))
+        # a round that reaches no further node leaves those on cycles
+        if now.filter("up is null").count() == done:
+            break
+    out = now.filter("up is null").select("node_id", "depth", F.concat(F.lit("0/"), "path").alias("path"))
     lost = e.join(out.select("node_id"), "node_id", "left_anti").select("node_id", F.lit(0).alias("depth"), F.concat(F.lit("1/"), "place").alias("path"))
     return out.unionByName(lost)
 

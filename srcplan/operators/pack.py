@@ -30,11 +30,19 @@ def summaries(files: DataFrame, findings: DataFrame) -> DataFrame:
     n = findings.groupBy(F.col("file").alias("path")).agg(F.count("*").alias("findings"))
     f = files.join(n, "path", "left").withColumn("findings", F.coalesce("findings", F.lit(0)))
     base = F.when(F.col("findings") > 0, F.format_string("%d lines, %d diagnostics", "lines", "findings")).otherwise(F.format_string("%d lines", "lines"))
-    module = F.format_string("Module with %s" + ", %d hooks" + ", %d imports", base, "hooks", "imports")
-    exports = F.format_string("Exports %s (%s" + ", %d components" + ", %d hooks)", F.array_join("components", ", "), base, F.size("components"), "hooks")
+    module = F.format_string("Module with %s, %d hooks, %d imports", base, "hooks", "imports")
+    exports = F.format_string("Exports %s (%s, %d components, %d hooks)", F.array_join("components", ", "), base, F.size("components"), "hooks")
     return f.select("path", "lines", "findings", F.when(F.size("components") == 0, module).otherwise(exports).alias("summary"))
 
 
+def for_task(files: DataFrame, plans: DataFrame, tasks: DataFrame, keys: tuple[str, ...] = ("diff_id",)) -> tuple[DataFrame, DataFrame]:
+    """(files, plans) for each of the tasks (keys..., task_id, goal, allowed_files): the files whose path the task names exactly, and the plans with the task's goal, if it has one. Findings and steps stay whole."""
+    allowed = tasks.select(*keys, "task_id", F.explode("allowed_files").alias("path")).distinct()
+    scoped = files.join(tasks.select(*keys, "task_id"), list(keys)).join(allowed, [*keys, "task_id", "path"], "left_semi")
+    goals = tasks.select(*keys, "task_id", F.nullif("goal", F.lit("")).alias("_goal"))
+    return scoped, plans.join(goals, list(keys)).withColumn("goal", F.coalesce("_goal", "goal")).drop("_goal")
+
+
 def private(df: DataFrame, mode: str, path: str, content: str) -> DataFrame:
     """mode: private (as is), redacted (paths and contents), public (paths only)."""
     if mode == "redacted":

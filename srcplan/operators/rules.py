@@ -7,12 +7,13 @@ conditionals, loops, has_keydown, has_analytics, props (array of name and type).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from srcplan.functions import text
+
 LIMITS = {"large-file": 500, "long-function": 80, "high-complexity": 10, "deep-nesting": 4, "too-many-params": 5}
 COMPONENT_LIMITS = {"large-component": 200, "repeated-jsx": 3, "too-many-hooks": 5, "too-many-state-vars": 4, "too-many-effects": 2, "complex-conditionals": 5}
-LIMIT = " (limit: %d)"
 FINDING = "code string, severity string, message string, file string, line int, end_line int, symbol string, component string, suggestion string, metadata map<string,string>"
 
 
@@ -39,6 +40,16 @@ def _found(df: DataFrame, candidates: list[tuple[Column, Column]], keep: tuple[s
     return df.select(*keep, F.posexplode(each).alias("rule_no", "f")).select(*keep, "rule_no", "f.*")
 
 
+def ordered(findings: DataFrame, lang: str, keys: tuple[str, ...], *tie: str) -> DataFrame:
+    """Adds place, from 1 on within keys, in the order in which the analysis of a language gives findings.
+
+    Components (lang ts): severity, code, message, then tie, which stands for the order they were found in. Functions (go, rust): severity and code, then file, line, symbol, message and tie.
+    """
+    rest = ("code", "message") if lang == "ts" else ("code", "file", "line", "symbol", "message")
+    w = Window.partitionBy(*keys).orderBy(text.severity_rank(F.col("severity")), *rest, *tie)
+    return findings.withColumn("place", F.row_number().over(w))
+
+
 def _quoted(c: Column) -> Column:
     return F.concat(F.lit('"'), c, F.lit('"'))
 
@@ -72,19 +83,19 @@ def function_findings(functions: DataFrame, limits: dict[str, int] | None = None
             ),
             (
                 c("complexity") > lim["high-complexity"],
-                _finding(code=code("high-complexity"), severity=by_size(c("complexity"), lim["high-complexity"]), message=F.format_string("Function %s has cyclomatic complexity %d" + LIMIT, who, "complexity", lim["high-complexity"]), suggestion=F.lit("Use guard clauses and smaller functions."), **common),
+                _finding(code=code("high-complexity"), severity=by_size(c("complexity"), lim["high-complexity"]), message=F.format_string("Function %s has cyclomatic complexity %d (limit: %d)", who, "complexity", lim["high-complexity"]), suggestion=F.lit("Use guard clauses and smaller functions."), **common),
             ),
             (
                 c("nesting") > lim["deep-nesting"],
-                _finding(code=code("deep-nesting"), severity=by_depth(c("nesting"), lim["deep-nesting"]), message=F.format_string("Function %s has nesting depth %d" + LIMIT, who, "nesting", lim["deep-nesting"]), suggestion=F.lit("Return early or move inner logic out."), **common),
+                _finding(code=code("deep-nesting"), severity=by_depth(c("nesting"), lim["deep-nesting"]), message=F.format_string("Function %s has nesting depth %d (limit: %d)", who, "nesting", lim["deep-nesting"]), suggestion=F.lit("Return early or move inner logic out."), **common),
             ),
             (
                 c("params") > lim["too-many-params"],
-                _finding(code=code("too-many-params"), severity=params, message=F.format_string("Function %s has %d parameters" + LIMIT, who, "params", lim["too-many-params"]), suggestion=F.lit("Group parameters in one type."), **common),
+                _finding(code=code("too-many-params"), severity=params, message=F.format_string("Function %s has %d parameters (limit: %d)", who, "params", lim["too-many-params"]), suggestion=F.lit("Group parameters in one type."), **common),
             ),
             (
                 F.lit(ignored_errors != "off") & (c("lang") == "go") & (c("ignored_errors") > 0),
-                _finding(code=code("ignored-error"), severity=F.lit("medium"), message=F.format_string("Function %s ignores" + " %d error(s) with _", who, "ignored_errors"), suggestion=F.lit("Handle or return the error."), metadata=F.create_map(F.lit("confidence"), sure, F.lit("reason"), F.lit("error return value ignored with _")), **common),
+                _finding(code=code("ignored-error"), severity=F.lit("medium"), message=F.format_string("Function %s ignores %d error(s) with _", who, "ignored_errors"), suggestion=F.lit("Handle or return the error."), metadata=F.create_map(F.lit("confidence"), sure, F.lit("reason"), F.lit("error return value ignored with _")), **common),
             ),
         ],
     )

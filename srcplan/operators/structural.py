@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from srcplan.functions import paths
 
@@ -101,9 +103,18 @@ def cohesion(files: DataFrame, in_row: int = IN_ROW) -> DataFrame:
     return linked(files, in_row).select("diff_id", "variance")
 
 
+def suggested(grouped: DataFrame) -> DataFrame:
+    """(diff_id, suggested): the clusters of a diff by their first and last file, as findings name them."""
+    ends = grouped.groupBy("diff_id", "cluster").agg(F.format_string("[%s...%s]", F.min_by("path", "file_idx"), F.max_by("path", "file_idx")).alias("s"))
+    return ends.groupBy("diff_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cluster", "s"))), lambda x: x["s"]), ", ").alias("suggested"))
+
+
 def clusters(files: DataFrame, in_row: int = IN_ROW) -> DataFrame:
     """(diff_id, cluster, file_idx, path) for diffs of low cohesion: connected files by similarity, groups of two and more, numbered by their first file."""
 
+    schema = T.StructType([T.StructField("diff_id", files.schema["diff_id"].dataType), T.StructField("cluster", T.IntegerType()), T.StructField("file_idx", T.LongType()), T.StructField("path", T.StringType())])
+    kinds = [f.type for f in to_arrow_schema(schema)]
+
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Union-find within each row."""
         for batch in batches:
@@ -123,7 +134,7 @@ def clusters(files: DataFrame, in_row: int = IN_ROW) -> DataFrame:
                 number = {r: k + 1 for k, r in enumerate(sorted({find(x) for x in list(root)}))}
                 rows.extend((diff, number[find(x["file_idx"])], x["file_idx"], x["path"]) for x in files if x["file_idx"] in root)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=["diff_id", "cluster", "file_idx", "path"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=schema.names)
 
     low = linked(files, in_row).filter((F.col("variance") > LOW_COHESION) & (F.size("edges") > 0))
-    return low.select(F.col("diff_id").cast("long"), "f", "edges").mapInArrow(unite, "diff_id long, cluster int, file_idx int, path string")
+    return low.select("diff_id", "f", "edges").mapInArrow(unite, schema).withColumn("file_idx", F.col("file_idx").cast(files.schema["file_idx"].dataType))

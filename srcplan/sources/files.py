@@ -51,6 +51,41 @@ def plans(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PLAN).option("multiLine", True).json(path).select(F.col("_metadata.file_path").alias("plan"), "*")
 
 
+DECOMPOSITION = "strategy string, parentPlan string, tasks array<struct<id:string,goal:string,allowedFiles:array<string>,forbiddenFiles:array<string>,maxDiffLines:int,parallelizable:boolean,dependsOn:array<string>,verification:array<string>>>"
+RESULT = "status string, commands array<struct<name:string,command:string,status:string,exitCode:int,required:boolean>>"
+
+
+def decompositions(spark: SparkSession, path: str) -> DataFrame:
+    """(file, task_no, task_id, goal, allowed_files, ...) of decomposition documents, one a file: what pack.for_task and handoff.work_orders take."""
+    d = spark.read.schema(DECOMPOSITION).option("multiLine", True).json(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode("tasks").alias("n", "t"))
+    none = F.array().cast("array<string>")
+    listed = lambda c: F.coalesce(F.col(f"t.{c}"), none)
+    return d.select(
+        "file", (F.col("n") + 1).alias("task_no"), F.col("t.id").alias("task_id"), F.col("t.goal").alias("goal"), listed("allowedFiles").alias("allowed_files"), listed("forbiddenFiles").alias("forbidden_files"), F.col("t.maxDiffLines").alias("max_lines"),
+        F.coalesce("t.parallelizable", F.lit(False)).alias("parallelizable"), listed("dependsOn").alias("depends_on"), listed("verification").alias("verification"),
+    )
+
+
+def verifications(spark: SparkSession, path: str) -> DataFrame:
+    """(file, verification): the status of verification results, one a file, as handoff.receipts takes it; `unknown` where none is said."""
+    r = spark.read.schema(RESULT).option("multiLine", True).json(path)
+    return r.select(F.col("_metadata.file_path").alias("file"), F.coalesce(F.nullif("status", F.lit("")), F.lit("unknown")).alias("verification"))
+
+
+#: Files whose content readiness looks at; of others it is enough that they are there.
+TOLD = r"(^|/)(package\.json|Makefile|README\.md|AGENTS\.md|\.gitignore|Cargo\.toml|go\.mod|requirements\.txt|pyproject\.toml|tsconfig\.json|Dockerfile|vercel\.json|convex\.json|middleware\.ts|next\.config\.[jt]s|\.env[.a-z]*|[^/]*\.ya?ml|(launchkit|preflight|manifest)\.json)$"
+
+
+def repo_facts(spark: SparkSession, root: str) -> DataFrame:
+    """(repo, rel_path, is_dir, content) of the repositories that are the folders right below root: what readiness takes. Files of .git, node_modules and the like are left out; folders follow from their files."""
+    base = _literal(root.rstrip("/").removeprefix("file://").removeprefix("file:").lstrip("/"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/"), "^/*" + base + "/", "")
+    out = files.select(F.substring_index(path, "/", 1).alias("repo"), F.regexp_replace(path, "^[^/]*/", "").alias("rel_path"), path.contains("/").alias("inside"), "content").filter("inside")
+    out = out.filter(~F.exists(F.split("rel_path", "/"), lambda x: x.isin(".git", "node_modules", "target", "dist", "build")))
+    return out.select("repo", "rel_path", F.lit(False).alias("is_dir"), F.when(F.col("rel_path").rlike(TOLD), F.decode("content", "UTF-8")).alias("content"))
+
+
 def lines(files: DataFrame) -> DataFrame:
     """(path, line, text). An empty file has no line here, though it counts as one."""
     return files.filter(F.length("content") > 0).select("path", F.posexplode(F.split("content", "\n", -1)).alias("n", "text")).select("path", (F.col("n") + 1).alias("line"), "text")
