@@ -111,7 +111,10 @@ class PerfectHash:
 
 
 def _long(line: Column, words: int) -> Column:
-    return (F.length(line) >= 2 * words - 1) & (F.size(F.split(F.trim(line), " +")) >= words)
+    # runs of blanks need an expression, single ones are counted
+    t = F.trim(line)
+    n = F.when(t.contains("  "), F.size(F.split(t, " +"))).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1)
+    return (F.length(line) >= 2 * words - 1) & (n >= words)
 
 
 def line_hashes(text: Column, min_chars: int, long_words: int) -> Column:
