@@ -76,10 +76,17 @@ def verifications(spark: SparkSession, path: str) -> DataFrame:
 TOLD = r"(^|/)(package\.json|Makefile|README\.md|AGENTS\.md|\.gitignore|Cargo\.toml|go\.mod|requirements\.txt|pyproject\.toml|tsconfig\.json|Dockerfile|vercel\.json|convex\.json|middleware\.ts|next\.config\.[jt]s|\.env[.a-z]*|[^/]*\.ya?ml|(launchkit|preflight|manifest)\.json)$"
 
 
+#: Names that begin with a dot and matter to readiness. Spark lists none unless it is told of them.
+DOTTED = "{.github,.agent,.opencode,.grp,.env*,.gitignore,.golangci.y*ml,.eslintrc*}"
+
+
 def repo_facts(spark: SparkSession, root: str) -> DataFrame:
     """(repo, rel_path, is_dir, content) of the repositories that are the folders right below root: what readiness takes. Files of .git, node_modules and the like are left out; folders follow from their files."""
     base = _literal(root.rstrip("/").removeprefix("file://").removeprefix("file:").lstrip("/"))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    dotted = f"{root.rstrip('/')}/*/{DOTTED}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(dotted)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([root, *([dotted] if there else [])])
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/"), "^/*" + base + "/", "")
     out = files.select(F.substring_index(path, "/", 1).alias("repo"), F.regexp_replace(path, "^[^/]*/", "").alias("rel_path"), path.contains("/").alias("inside"), "content").filter("inside")
     out = out.filter(~F.exists(F.split("rel_path", "/"), lambda x: x.isin(".git", "node_modules", "target", "dist", "build")))
