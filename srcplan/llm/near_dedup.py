@@ -9,7 +9,7 @@ are verified: the edit distance of their words, computed within the band that th
 
 A bucket is the documents that agree in a sketch. Buckets of up to `bucket` members give all their pairs. A larger one is searched around a leader: every
 member is aligned with the leader, and sketched again by what it has besides the leader's words (by labelled words, or by labelled pairs of
-words where hardly a word is left). Members whose rests agree form the buckets of the next level, unless all of them are known to be in one group. So
+words where hardly a word is left). Members whose rests agree form the buckets of the next level, unless all of them are in one group by what was aligned so far, and no pair is aligned twice. So
 a group of thousands of copies costs one comparison a copy, thousands of different pages with one boilerplate are told apart by what is their own, and no
 bucket is gathered in a task. What `levels` leaders do not separate is compared in full. Rests are sketches too: a pair of a
 large bucket that nothing else brings together is found with high probability, as any pair is.
@@ -282,19 +282,19 @@ class Leader:
 
 
 def _verify(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    """pairs (a, b, n, label, hot) with ok, whether they align, and for hot pairs s, the keys of b by what a leaves of it."""
+    """pairs (a, b, n, label, hot) with ok, whether they align, and for hot pairs s, the keys of b by what a leaves of it. A pair that is labelled as of one group is not aligned, and not ok."""
     schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("a", "b")), T.StructField("n", T.IntegerType()), T.StructField("label", T.LongType()), T.StructField("hot", T.BooleanType()), T.StructField("ok", T.BooleanType()), T.StructField("s", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, leader = None, None
         for b in batches:
-            a, hot = b.column("a").to_pylist(), b.column("hot").to_pylist()
+            a, hot, label = (b.column(c).to_pylist() for c in ("a", "hot", "label"))
             own, ok = [], np.zeros(b.num_rows, bool)
             keys: list[list[bytes]] = [[] for _ in a]
             rests: tuple[list, list] = ([], [])
             for i, (x, y) in enumerate(zip(b.column("wa").to_pylist(), b.column("wb").to_pylist())):
                 p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                ok[i] = similar(p, q, threshold)
+                ok[i] = label[i] != a[i] and similar(p, q, threshold)
                 if hot[i]:
                     if lead != a[i]:
                         lead, leader = a[i], Leader(p)
@@ -309,7 +309,7 @@ def _verify(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
                     for j, row in zip(some, s):
                         keys[own[j]].append(row.tobytes())
             for j, i in enumerate(own):
-                if not keys[i] and not ok[i]:  # nothing is left of it, and yet it does not align
+                if not keys[i] and not ok[i] and label[i] != a[i]:  # nothing is left of it, and yet it does not align
                     keys[i].append(C.mix(seed[j : j + 1] + U64(9)).tobytes())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in schema.names[:5]), pa.array(ok), pa.array([b"".join(k) for k in keys], pa.binary())], names=schema.names)
 
@@ -317,21 +317,22 @@ def _verify(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     return met.select("a", "b", "n", "label", "hot", "wa", "wb").transform(C.mapped, run, schema)
 
 
-def _pairs(rows: DataFrame, threshold: float, bucket: int) -> DataFrame:
-    """Of the buckets (key, id, n, label): distinct pairs (a, b, n, label, hot), n and label of b.
+def _pairs(rows: DataFrame, threshold: float, bucket: int, seen: DataFrame | None) -> DataFrame:
+    """Of the buckets (key, id, n, label): distinct pairs (a, b, n, label, hot), n and label of b, without those of seen (lo, hi).
 
     All pairs of small buckets, and hot ones of a leader with each member of larger buckets. Members of one label are known to be in one group; without labels, each is by itself.
     """
     # a leader is a member that is in no group yet, if there is one
     if "label" in rows.columns:
-        found = rows.groupBy("key").agg(F.count("*").alias("m"), F.coalesce(F.min(F.when(F.col("label") == F.col("id"), F.col("id"))), F.min("id")).alias("lead"), F.bit_xor(F.xxhash64("id", "label")).alias("same"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+        found = rows.groupBy("key").agg(F.count("*").alias("m"), F.coalesce(F.min(F.when(F.col("label") == F.col("id"), F.col("id"))), F.min("id")).alias("lead"), F.bit_xor(F.xxhash64("id", "label")).alias("same"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.when(F.col("label") == F.col("id"), F.lit(1))).alias("free"), F.min_by("label", "id").alias("own")).filter("lo <> hi")
+        found = found.withColumn("own", F.when(F.col("free").isNotNull(), F.col("lead")).otherwise(F.col("own")))
     else:
-        found = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("lead"), F.bit_xor(F.xxhash64("id")).alias("same")).filter("m > 1")
+        found = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("lead"), F.bit_xor(F.xxhash64("id")).alias("same")).filter("m > 1").withColumn("own", F.col("lead"))
     # of buckets with the same members one is enough; many members of one bucket are split by the join
-    found = C.saved(found.groupBy("m", "lead", "same").agg(F.min("key").alias("key")).select("key", "m", "lead"), "buckets")
+    found = C.saved(found.groupBy("m", "lead", "same", "own").agg(F.min("key").alias("key")).select("key", "m", "lead", "own"), "buckets")
     members = rows.join(found.hint("merge"), "key")
     members = members if "label" in rows.columns else members.withColumn("label", F.col("id"))
-    hot = members.filter((F.col("m") > bucket) & (F.col("id") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("id").alias("b"), "n", "label", F.lit(True).alias("hot"))
+    hot = members.filter((F.col("m") > bucket) & (F.col("id") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("id").alias("b"), "n", F.when(F.col("label") == F.col("own"), F.col("lead")).otherwise(F.col("label")).alias("label"), F.lit(True).alias("hot"))
     if not bucket:  # no leader is left: all pairs, by a join that splits large buckets
         x, y = (members.select("key", F.struct("id", "n", "label").alias(c)) for c in "xy")
         few, hot = x.join(y, "key").filter("x.id < y.id"), hot.limit(0)
@@ -339,7 +340,10 @@ def _pairs(rows: DataFrame, threshold: float, bucket: int) -> DataFrame:
         few = _few(members.filter(F.col("m") <= bucket), bucket)
     near = F.abs(F.col("x.n") - F.col("y.n")) <= F.floor((1 - threshold) * F.greatest("x.n", "y.n") + 1e-9)
     few = few.filter(near & (F.col("x.label") != F.col("y.label"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("y.n").alias("n"), F.col("y.label").alias("label"), F.lit(False).alias("hot"))
-    return C.saved(few.union(hot).groupBy("a", "b").agg(F.max("n").alias("n"), F.min("label").alias("label"), F.max("hot").alias("hot")), "pairs")
+    every = few.union(hot).groupBy("a", "b").agg(F.max("n").alias("n"), F.min("label").alias("label"), F.max("hot").alias("hot"))
+    if seen is not None:
+        every = every.join(seen, (F.least("a", "b") == seen["lo"]) & (F.greatest("a", "b") == seen["hi"]), "left_anti")
+    return C.saved(every, "pairs")
 
 
 def _few(members: DataFrame, bucket: int) -> DataFrame:
@@ -364,25 +368,29 @@ def groups(docs: DataFrame, k: int = K, picks: int = PICKS, sketches: int = SKET
     drawn = C.saved(_sketches(docs, k, picks, sketches), "sketches")
     one = C.saved(drawn.groupBy("w1", "w2").agg(F.min("id").alias("rep"), F.min_by(F.struct("n", "s"), "id").alias("x"), F.count("*").alias("m")), "texts")
     reps = one.select(F.col("rep").alias("id"), "x.n", "x.s")
-    rows, good, words = _buckets(reps), None, None
+    rows, good, words, past, roots = _buckets(reps), None, None, None, None
     for level in range(levels + 1):
-        pairs = _pairs(rows, threshold, bucket if level < levels else 0)
+        pairs = _pairs(rows, threshold, bucket if level < levels else 0, past)
         if words is None:
             words = _words(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         done = C.saved(_verify(pairs, words, threshold), "aligned")
-        good = done.filter("ok").select("a", "b") if good is None else good.union(done.filter("ok").select("a", "b"))
         if seen is not None:
-            seen.append(done.count())
-        label = F.when(F.col("ok") & (F.col("label") == F.col("b")), F.col("a")).otherwise(F.col("label"))
-        # where all members align with their leader, there is nothing left to find
-        torn = C.saved(done.filter("hot and not ok").select("a").distinct(), "leaders")
+            seen.append(done.filter("label <> a").count())
+        new = done.filter("ok").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        good = C.saved((new if good is None else good.union(new)).distinct(), "good")
+        roots = components(good)
+        # what a leader leaves of its members is of use where some of them are of other groups
+        hot = done.filter("hot").select("a", "b", "n", "s").join(roots.select(F.col("id").alias("b"), "root"), "b", "left").withColumn("label", F.coalesce("root", "b"))
+        hot = C.saved(hot.join(roots.select(F.col("id").alias("a"), F.col("root").alias("own")), "a", "left").withColumn("own", F.coalesce("own", "a")), "hot")
+        torn = C.saved(hot.filter("label <> own").select("a").distinct(), "leaders")
         if torn.isEmpty():
             break
-        rest = done.filter("hot").join(F.broadcast(torn) if torn.count() <= C.SMALL_IDS else torn, "a", "left_semi")
-        rows = C.saved(_buckets(rest.select(F.col("b").alias("id"), "n", label.alias("label"), "s")), "rests")
-    good = C.saved(good.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "good")
+        rest = hot.join(F.broadcast(torn) if torn.count() <= C.SMALL_IDS else torn, "a", "left_semi")
+        rows = C.saved(_buckets(rest.select(F.col("b").alias("id"), "n", "label", "s")), "rests")
+        tried = done.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+        past = tried if past is None else past.union(tried)
     degree = good.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    roots = components(good).withColumnRenamed("id", "rep").join(degree, "rep")
+    roots = roots.withColumnRenamed("id", "rep").join(degree, "rep")
     texts = one.select("rep", "w1", "w2", "m").join(roots, "rep", "left").filter("m > 1 or root is not null")
     texts = texts.select("w1", "w2", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"))
     return drawn.select("id", "w1", "w2").join(texts, ["w1", "w2"]).select("id", "root", "links")
