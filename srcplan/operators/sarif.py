@@ -34,7 +34,7 @@ def results(findings: DataFrame) -> DataFrame:
     """(diag_idx, rule_id, rule_index, message, level, uri, start_line, end_line) of each finding."""
     index = rules(findings).select(F.col("id").alias("code"), "rule_index")
     end = F.when(F.coalesce("end_line", F.lit(0)) > 0, F.col("end_line")).otherwise(F.col("line")) if "end_line" in findings.columns else F.col("line")
-    return findings.join(F.broadcast(index), "code").select(
+    return findings.join(index, "code").select(
         "diag_idx", F.col("code").alias("rule_id"), "rule_index", "message", level(F.col("severity")).alias("level"), F.col("file").alias("uri"), F.col("line").alias("start_line"), end.alias("end_line")
     )
 
