@@ -336,3 +336,22 @@ def extract(pages: DataFrame, min_words: int = MIN_WORDS, min_pages: int = MIN_P
         common = _common(parsed(divided.filter("parts is not null")), min_words, min_pages, run_words)
         every = every.union(common.select("host", "part", F.lit(None).cast("long"), F.lit(None).cast("string"), "common"))
     return every.repartition("host", "part").sortWithinPartitions("host", "part").transform(C.mapped, task, RESULT)
+
+
+#: The tables' pages are plain enough for SQL: no nested raw elements, no marks within quotes, and four kinds of entities.
+_RAW_SQL = "(?is)<!--.*?(?:--!?>|\\z)|" + "|".join(rf"<{x}(?:[\s/][^>]*)?>.*?(?:</{x}(?:[\s/][^>]*)?>|\z)" for x in "script style title noscript template textarea svg iframe".split())
+_INLINE_SQL = r"(?is)</?(?:a|abbr|b|bdi|bdo|cite|code|em|font|i|kbd|mark|q|s|samp|small|span|strong|sub|sup|tt|u|var|wbr)(?:[\s/][^>]*)?(?:>|\z)"
+ORACLE = f"""
+WITH p AS (SELECT row_number() OVER () AS rid, page_id, coalesce(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') AS host,
+  regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{_RAW_SQL}', ' ', 'g'), '{_INLINE_SQL}', '', 'g'), '(?s)<[a-zA-Z/!?][^>]*(?:>|\\z)', ' ', 'g') AS t FROM pages),
+e AS (SELECT rid, page_id, host, regexp_replace(replace(replace(replace(t, '&copy;', '\u00a9'), '&middot;', '\u00b7'), '&quot;', '"'), '&amp;?', '&', 'g') AS t FROM p),
+u AS (SELECT rid, page_id, host, list_filter(string_split_regex(t, '[\\s\u00a0]+'), lambda x: x <> '') AS w FROM e),
+g AS (SELECT rid, page_id, host, i, array_to_string(w[i : i + {MIN_WORDS - 1}], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - {MIN_WORDS - 2})) AS i FROM u)),
+c AS (SELECT host, k FROM g GROUP BY ALL HAVING count(DISTINCT page_id) >= {MIN_PAGES}),
+gone AS (SELECT DISTINCT rid, i + j AS i FROM (SELECT rid, i FROM g JOIN c USING (host, k)), (SELECT unnest(range({MIN_WORDS})) AS j)),
+x AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM u),
+s AS (SELECT x.rid, x.i, word, x.i - row_number() OVER (PARTITION BY x.rid ORDER BY x.i) AS island FROM x ANTI JOIN gone ON gone.rid = x.rid AND gone.i = x.i),
+r AS (SELECT rid, island, min(i) AS i, string_agg(word, ' ' ORDER BY i) AS run, count(*) AS n FROM s GROUP BY ALL),
+t AS (SELECT rid, string_agg(run, chr(10) ORDER BY i) AS text, sum(n) AS n FROM r GROUP BY rid)
+SELECT page_id, host, CAST(len(w) AS INTEGER) AS n_words, CAST(len(w) - coalesce(n, 0) AS INTEGER) AS n_removed, coalesce(text, '') AS text FROM u LEFT JOIN t USING (rid)
+"""

@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secret_scan": secrets.ORACLE, "op6_chat_formatting": chat.ORACLE, "op7_warc_chunks": warc.ORACLE, "op8_decontamination": decontaminate.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+    return {"op1_html_extraction": html.ORACLE, "op4_secret_scan": secrets.ORACLE, "op6_chat_formatting": chat.ORACLE, "op7_warc_chunks": warc.ORACLE, "op8_decontamination": decontaminate.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
