@@ -36,6 +36,15 @@ RULES: list[tuple[str, str]] = [
     ("google-api-key", r"\bAIza[0-9A-Za-z_-]{35}"),
     ("stripe-key", r"\b[rs]k_live_[0-9A-Za-z]{16,}\b"),
     ("openai-style-key", r"\bsk-[A-Za-z0-9_-]{20,}"),
+    ("gitlab-token", r"\bglpat-[A-Za-z0-9_-]{20,}"),
+    ("npm-token", r"\bnpm_[A-Za-z0-9]{36}\b"),
+    ("pypi-token", r"\bpypi-AgEIcHlwaS5vcmc[A-Za-z0-9_-]{50,}"),
+    ("sendgrid-key", r"\bSG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}"),
+    ("huggingface-token", r"\bhf_[A-Za-z0-9]{34,}\b"),
+    ("shopify-token", r"\bshp(?:at|ca|pa|ss)_[a-fA-F0-9]{32}\b"),
+    ("slack-webhook", r"https://hooks\.slack\.com/services/T[A-Z0-9]{8,}/B[A-Z0-9]{8,}/[A-Za-z0-9]{20,}"),
+    ("azure-storage-key", r"\bAccountKey=[A-Za-z0-9+/]{86}=="),
+    ("bearer-header", r"(?i)\bauthorization[\"']?[ \t]*:[ \t]*[\"']?bearer[ \t]+[A-Za-z0-9._~+/=-]{16,}"),
     ("private-key", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"),
     ("json-web-token", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     ("url-password", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{1,64}@[A-Za-z0-9.-]+"),

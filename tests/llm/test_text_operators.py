@@ -313,7 +313,7 @@ def _holds(query, text: bytes) -> bool:
     return (all if query[0] == "and" else any)(_holds(q, text) for q in query[1:])
 
 
-PIECES = ["AKIA" + "A1" * 8, "ghp_" + "a" * 36, "xoxb-" + "1" * 12, "sk_live_" + "z" * 16, "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "eyJ" + "a" * 10 + ".eyJ" + "b" * 10 + "." + "c" * 10, "ftp://me:pw@host.org", "API_KEY = 'abcdefgh'", "toKen:abcdefghi", "0123456789abcdef" * 2 + "01234567"]
+PIECES = ["glpat-" + "a1" * 10, "npm_" + "Z" * 36, "pypi-AgEIcHlwaS5vcmc" + "x" * 50, "SG." + "a" * 22 + "." + "b" * 43, "hf_" + "Q" * 34, "shpca_" + "0f" * 16, "https://hooks.slack.com/services/T" + "A" * 8 + "/B" + "B" * 8 + "/" + "c" * 24, "AccountKey=" + "k" * 86 + "==", "authorization: BEARER " + "t" * 20, "AKIA" + "A1" * 8, "ghp_" + "a" * 36, "xoxb-" + "1" * 12, "sk_live_" + "z" * 16, "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "eyJ" + "a" * 10 + ".eyJ" + "b" * 10 + "." + "c" * 10, "ftp://me:pw@host.org", "API_KEY = 'abcdefgh'", "toKen:abcdefghi", "0123456789abcdef" * 2 + "01234567"]
 
 
 @settings(max_examples=60, deadline=None)
