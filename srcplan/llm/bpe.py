@@ -227,6 +227,7 @@ _encoders: dict[int, Encoder] = {}
 def _encoder(raw: bytes) -> Encoder:
     """One encoder for all tasks of a worker, with the pieces that it remembers."""
     key = hash(raw)
+    C.CACHES["bpe"] = _encoders.clear
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = Encoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a})
@@ -244,7 +245,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 ids = enc.encode(b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([None if x is None else len(x) for x in ids], pa.int32())], names=ENCODED.names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").transform(C.mapped, run, ENCODED)
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(C.mapped, run, ENCODED, "bpe")
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -256,7 +257,7 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([enc.decode(x) for x in batch.column("ids").to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long"), "ids").transform(C.mapped, run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long"), "ids").transform(C.mapped, run, "doc_id long, text string", "bpe")
 
 
 def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -273,4 +274,4 @@ def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                     [b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([None if x is None else len(x) for x in ids], pa.int32()), pa.array([enc.decode(x) for x in ids], pa.string())], names=schema.names
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").transform(C.mapped, run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(C.mapped, run, schema, "bpe")

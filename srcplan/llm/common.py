@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -25,19 +26,40 @@ BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20
 
 
-def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """df.mapInArrow with batches of bounded size, unless the session names a size of its own."""
+#: What operators hold in a worker beyond a task, by name, and how to drop it.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def begin(keeps: str) -> None:
+    """Drops what other operators left in this worker, which lives on from stage to stage."""
+    pa.set_memory_pool(pa.system_memory_pool())  # gives back what a batch took
+    for name in [x for x in CACHES if x != keeps]:
+        CACHES.pop(name)()
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str, keeps: str = "") -> DataFrame:
+    """df.mapInArrow with batches of bounded size, unless the session names a size of its own. keeps: the name of what run leaves in CACHES."""
     conf = df.sparkSession.conf
     if re.sub(r"\D", "", str(conf.get(BATCH))) == str(64 << 20):  # the default
         conf.set(BATCH, str(BATCH_BYTES))
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.set_memory_pool(pa.system_memory_pool())  # gives back what a batch took
-        yield from run(batches)
+        begin(keeps)
+        try:
+            yield from run(batches)
+        finally:
+            release()
 
     return df.mapInArrow(bounded, schema)
 
 
+def release() -> None:
+    """Gives the memory that a task took back to the system, as workers live on; where the C library can't, it stays."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -39,6 +39,8 @@ SHORT, LONG, SHORT_PICKS, SHORT_SKETCHES = 64, 48, 4, 32
 #: Members of a bucket of which all pairs are aligned, and leaders that a larger one has at most, one after the other.
 BUCKET, LEVELS = 8, 8
 REST_SKETCHES = 32
+#: Words of rests that are sketched at once; results do not depend on it.
+REST_WORDS = 1 << 17
 U64 = np.uint64
 TOP = U64(0xFFFFFFFF00000000)
 
@@ -303,11 +305,15 @@ def _verify(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
                         kind.append(r)
             seed = C.mix(np.array([a[i] for i in own], np.int64).view(U64))
             for kind, rest in enumerate(rests):
-                if own:
-                    some, s = sketch(np.concatenate(rest), np.concatenate([[0], np.cumsum([len(r) for r in rest])]), 1, PICKS, REST_SKETCHES)
-                    s = C.mix(s ^ (seed[some] + U64(kind))[:, None])
+                first = np.concatenate([[0], np.cumsum([len(r) for r in rest])]).astype(np.int64)
+                at = 0
+                while at < len(own):  # a few at a time, so that the sketches stay small
+                    to = max(at + 1, int(np.searchsorted(first, first[at] + REST_WORDS, "right")) - 1)
+                    some, s = sketch(np.concatenate(rest[at:to]), first[at : to + 1] - first[at], 1, PICKS, REST_SKETCHES)
+                    s = C.mix(s ^ (seed[at + some] + U64(kind))[:, None])
                     for j, row in zip(some, s):
-                        keys[own[j]].append(row.tobytes())
+                        keys[own[at + j]].append(row.tobytes())
+                    at = to
             for j, i in enumerate(own):
                 if not keys[i] and not ok[i] and label[i] != a[i]:  # nothing is left of it, and yet it does not align
                     keys[i].append(C.mix(seed[j : j + 1] + U64(9)).tobytes())
@@ -377,8 +383,9 @@ def groups(docs: DataFrame, k: int = K, picks: int = PICKS, sketches: int = SKET
         if seen is not None:
             seen.append(done.filter("label <> a").count())
         new = done.filter("ok").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        good = C.saved((new if good is None else good.union(new)).distinct(), "good")
-        roots = components(good)
+        if good is None or not new.isEmpty():
+            good = C.saved((new if good is None else good.union(new)).distinct(), "good")
+            roots = components(good)
         # what a leader leaves of its members is of use where some of them are of other groups
         hot = done.filter("hot").select("a", "b", "n", "s").join(roots.select(F.col("id").alias("b"), "root"), "b", "left").withColumn("label", F.coalesce("root", "b"))
         hot = C.saved(hot.join(roots.select(F.col("id").alias("a"), F.col("root").alias("own")), "a", "left").withColumn("own", F.coalesce("own", "a")), "hot")
