@@ -150,7 +150,10 @@ def file_summaries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def redact_content(spark: SparkSession, d: str) -> DataFrame:
-    return T.table(spark, d, "documents").select("doc_id", text.redact(F.col("text")).alias("text"))
+    """Documents with one secret of each kind at their end, some of them too short to be one."""
+    k = (F.col("doc_id") % 4).cast("int")
+    keys = F.concat(F.lit(" sk-"), F.repeat(F.lit("a1"), 8 + k), F.lit(" sk-ant-"), F.repeat(F.lit("B"), 18 + k), F.lit(" Bearer "), F.repeat(F.lit("c."), 9 + k), F.lit(" API-Key: '"), F.repeat(F.lit("0d"), 7 + k), F.lit("' Password="), F.repeat(F.lit("e"), 6 + k), F.lit(" end"))
+    return T.table(spark, d, "documents").select("doc_id", text.redact(F.concat("text", keys)).alias("text"))
 
 
 def redact_path(spark: SparkSession, d: str) -> DataFrame:
@@ -248,7 +251,7 @@ cp AS (SELECT p.page_id, coalesce(hooks, 0) AS hooks, coalesce(states, 0) AS sta
 roles AS (SELECT *, (states > 2)::INT + (effects > 1)::INT + kd::INT + an::INT + (hooks > 3)::INT AS r FROM cp),
 el AS (SELECT page_id, element, count(*) AS n FROM tg GROUP BY ALL HAVING count(*) >= 3)"""
 _TREE = "tr(node_id, parent_id, ord) AS (SELECT 'r' || r_regionkey, NULL, r_regionkey FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_nationkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_custkey FROM customer)"
-_RED = "text"
+_RED = "(text || ' sk-' || repeat('a1', 8 + doc_id % 4) || ' sk-ant-' || repeat('B', 18 + doc_id % 4) || ' Bearer ' || repeat('c.', 9 + doc_id % 4) || ' API-Key: ' || chr(39) || repeat('0d', 7 + doc_id % 4) || chr(39) || ' Password=' || repeat('e', 6 + doc_id % 4) || ' end')"
 for _e, _r in text.REDACTIONS:
     _RED = f"regexp_replace({_RED}, '{_e.replace(chr(39), chr(39) * 2)}', '{_r.replace('$1', chr(92) + '1')}', 'g')"
 _PARTS = f"WITH {samples.PARTS_SQL}"

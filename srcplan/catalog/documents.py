@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcplan.catalog import code, diffs, planning, samples
-from srcplan.operators import decompose, diff, graph, pack, parse, readiness, review, rules, structural
+from srcplan.operators import decompose, diff, graph, pack, parse, readiness, review, rules, sarif, structural
 from srcplan.plans import document, plan
 from srcplan.sinks import render
+from srcplan.sources import files as S
 from srcplan.sources import tables as T
 
 
@@ -180,10 +181,33 @@ def gate_names(spark: SparkSession, d: str) -> DataFrame:
     return readiness.gate_results(kits, only=("preflight",), fail_fast=True).select("repo", "name", "status", "message")
 
 
+def source_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of documents as files; an empty one has none."""
+    f = T.source_files(spark, d).withColumn("content", F.when(F.col("file_id") % 9 == 0, "").otherwise(F.col("content")))
+    return S.lines(f).groupBy("path").agg(F.count("*").alias("n"), F.max("line").alias("last"), F.max_by("text", "line").alias("text"))
+
+
+def sarif_document(spark: SparkSession, d: str) -> DataFrame:
+    """What the SARIF document of all findings says."""
+    j = sarif.document(planning._described(spark, d))
+    run = "struct<results:array<struct<ruleId:string,ruleIndex:int,level:string,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int,endLine:int>>>>>>,tool:struct<driver:struct<rules:array<struct<id:string>>>>,properties:struct<errorCount:int,warningCount:int,noteCount:int>>"
+    r = j.select(F.from_json("json", f"struct<version:string,runs:array<{run}>>").alias("j")).select("j.version", F.col("j.runs")[0].alias("r"))
+    x = r.select("version", F.size("r.tool.driver.rules").alias("rules"), "r.properties.*", F.posexplode("r.results").alias("place", "x"))
+    return x.groupBy("version", "rules", "errorCount", "warningCount", "noteCount", F.col("x.ruleId").alias("rule")).agg(F.count("*").alias("n"), F.min("place").alias("first"), F.sum(F.col("x.locations")[0]["physicalLocation"]["region"]["startLine"]).alias("lines"), F.min(F.col("x.ruleIndex")).alias("rule_index"))
+
+
+def scaffold_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Reviews of changes that add support which is used again, as far as it is said of them: orders with made-up ratios."""
+    o = T.table(spark, d, "orders")
+    t = o.select(F.col("o_orderkey").alias("diff_id"), F.lit(1).cast("long").alias("changed"), F.lit(1).cast("long").alias("files"), F.array(F.lit("go")).alias("categories"), F.lit(False).alias("has_generated"), F.lit(False).alias("has_lockfile"))
+    k = o.select(F.col("o_orderkey").alias("diff_id"), F.lit(0.0).alias("overhead"), (F.col("o_custkey") % 9).cast("double").alias("test_to_logic"), (F.col("o_custkey") % 16 / 16).alias("productive"), F.lit(0.0).alias("variance"), F.lit(30).alias("ephemeral"), (F.col("o_orderkey") % 40).cast("int").alias("reusable"))
+    return review.diagnostics(review.verdict(t), k).select("diff_id", "code", "severity", "message")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        task_files, task_goals, review_envelopes, public_plans, public_findings, public_steps, public_packs, normalized_findings, normalized_steps, normalized_tasks, analysis_order, merged_nodes, merged_symbols, merged_children, deep_walk, nodes_by_kind, crate_names, diff_render, json_ratios, gate_names,
+        task_files, task_goals, review_envelopes, public_plans, public_findings, public_steps, public_packs, normalized_findings, normalized_steps, normalized_tasks, analysis_order, merged_nodes, merged_symbols, merged_children, deep_walk, nodes_by_kind, crate_names, diff_render, json_ratios, gate_names, source_lines, sarif_document, scaffold_findings,
     )
 }
 
@@ -195,6 +219,13 @@ dn AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY CASE severity WHE
 s0 AS (SELECT plan, 1 AS i, 'r1' AS recipe, 'f.go' AS file, 'low' AS risk FROM k UNION ALL SELECT plan, 2, CASE WHEN plan % 3 = 0 THEN '' ELSE 'r2' END, 'a/b.d.tsx', (['high', 'medium', 'low'])[plan % 3 + 1] FROM k UNION ALL SELECT plan, 3, 'r3', '?.go', 'odd' FROM k),
 sn AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY CASE risk WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 0 END, file, recipe) AS no FROM s0)"""
 SQL = {
+    "source_lines": f"""WITH {T.SOURCES_SQL}, l AS (SELECT path, string_split(content, chr(10)) AS l FROM src WHERE file_id % 9 <> 0 AND content <> '') SELECT path, len(l) AS n, CAST(len(l) AS INTEGER) AS last, l[-1] AS text FROM l""",
+    "sarif_document": f"""WITH {T.FINDINGS_SQL}, c AS (SELECT count(*) FILTER (severity = 'high') AS e, count(*) FILTER (severity = 'medium') AS w, count(*) FILTER (severity = 'low') AS n, count(DISTINCT code) AS r FROM fd),
+o AS (SELECT *, row_number() OVER (ORDER BY diag_idx) - 1 AS place FROM fd), g AS (SELECT code, count(*) AS n, min(place) AS first, sum(line) AS lines FROM o GROUP BY 1)
+SELECT '2.1.0' AS version, CAST(c.r AS INTEGER) AS rules, CAST(c.e AS INTEGER) AS "errorCount", CAST(c.w AS INTEGER) AS "warningCount", CAST(c.n AS INTEGER) AS "noteCount", code AS rule, g.n AS n, CAST(first AS INTEGER) AS first, CAST(lines AS BIGINT) AS lines, CAST(row_number() OVER (ORDER BY first) - 1 AS INTEGER) AS rule_index FROM g, c""",
+    "scaffold_findings": """WITH k AS (SELECT o_orderkey AS diff_id, o_custkey % 9 AS t, (o_custkey % 16) / 16.0 AS p, o_orderkey % 40 AS r FROM orders)
+SELECT diff_id, 'agent.test-to-code-imbalance' AS code, 'medium' AS severity, 'Test-to-logic ratio is ' || t || '.0 (threshold: 3.0) with no reusable scaffold' AS message FROM k WHERE t > 3 AND 30 > r
+UNION ALL SELECT diff_id, 'agent.productive-scaffold', 'low', 'Productive scaffold ratio is ' || printf('%.2f', CAST(p AS DOUBLE)) || ' with ' || r || ' reusable lines' FROM k WHERE p > 0.5 AND r >= 20""",
     "task_files": f"{_W}, {_CHAIN} SELECT fs.diff_id, ti.task_id, fs.path FROM fs JOIN ti ON fs.diff_id = ti.diff_id AND ti.category = {diffs._CAT.replace('path', 'fs.path')}",
     "task_goals": f"{_W}, {_CHAIN} SELECT diff_id, task_id, CASE WHEN task_no % 2 = 0 THEN 'plan of ' || diff_id ELSE goal END AS goal FROM ti",
     "review_envelopes": f"""{_W}, {diffs._VERDICT}, {diffs._FOUND}, cd AS (SELECT diff_id, string_agg(code, ',' ORDER BY ord) AS codes FROM found GROUP BY 1)
