@@ -31,7 +31,7 @@ ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("id
 #: Pieces remembered by a worker before those not used since are dropped, and pairs whose rank is; bound memory only.
 REMEMBERED, PAIRS = 250_000, 400_000
 #: Text encoded at once; its new pieces share one index.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -23,7 +23,7 @@ BLOCK_BYTES = 4 << 20
 
 #: What Spark hands a worker at once, so that long texts and many rows fit in its memory; results do not depend on it.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 #: What operators hold in a worker beyond a task, by name, and how to drop it.
@@ -221,6 +221,11 @@ def kgrams(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return mix(out)
 
 
+def with_text(batch: pa.RecordBatch, row: str = "row") -> pa.RecordBatch:
+    """The batch with the text of its rows as a column of its own, which shares their memory."""
+    return pa.RecordBatch.from_arrays([*batch.columns, batch.column(row).field("text")], names=[*batch.schema.names, "text"])
+
+
 def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES):
     """Slices of the batch of about `limit` bytes of text each; one text is never split."""
     n = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

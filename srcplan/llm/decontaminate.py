@@ -145,7 +145,7 @@ def _broadcast(docs: DataFrame, bench: DataFrame, k: int, window: int, schema: T
         ids, texts = sent.value
         index = Index(ids, pa.array(texts, pa.large_string()), k, window)
         for batch in batches:
-            for b in C.blocks(batch, "text"):
+            for b in C.blocks(batch if "text" in batch.schema.names else C.with_text(batch), "text"):
                 h, first, *_ = C.words(b.column("text"))
                 yield emit(b, ids, index.hits(h, first))
 
@@ -202,7 +202,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int
     """The rows of docs without any hit in their own text, with all their columns."""
     bench, size = _bench(benchmark)
     if size <= small_chars:
-        carried = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"])
+        carried = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
         schema = T.StructType([T.StructField("row", docs.schema), T.StructField("clean", T.BooleanType())])
         return _broadcast(carried, bench, k, window, schema, _judged).filter("clean").select("row.*")
     name = "_id"

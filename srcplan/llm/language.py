@@ -214,7 +214,7 @@ def keep_identified(docs: DataFrame, model: Model | None = None, per_language: i
     """The rows of docs that are accepted, with all their columns."""
     model = model or fit(sample(docs, per_language))
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("accepted", T.BooleanType())])
-    out = _applied(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"]), model, schema)
+    out = _applied(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")), model, schema)
     return out.filter("accepted").select("row.*")
 
 
@@ -225,6 +225,7 @@ def _applied(df: DataFrame, model: Model, schema: T.StructType) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
+            batch = batch if "text" in batch.schema.names else C.with_text(batch)
             n = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
             at = 0
             while at < batch.num_rows:

@@ -193,8 +193,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     shards = shards or shards_for(docs, min_chars)
     index = build_index(docs, min_chars, long_words, shards)
     size = index.select(F.sum(sum((F.length(c) for c in INDEX.names[1:]), F.lit(0)))).first()[0] or 0
-    carried = docs.select(F.struct(*docs.columns).alias("row"), "text", line_hashes(F.col("text"), min_chars, long_words).alias("h"), digest(F.col("text")).alias("digest"))
-    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("text", T.StringType()), T.StructField("cut", T.IntegerType())])
+    others = [c for c in docs.columns if c != "text"]
+    row = docs.select(F.struct(*(others or [F.lit(0).alias("none")])).alias("row"))
+    carried = docs.select(F.struct(*(others or [F.lit(0).alias("none")])).alias("row"), "text", line_hashes(F.col("text"), min_chars, long_words).alias("h"), digest(F.col("text")).alias("digest"))
+    schema = T.StructType([*row.schema.fields, T.StructField("text", T.StringType()), T.StructField("cut", T.IntegerType())])
 
     def goes(table: PerfectHash, h: np.ndarray, digests: np.ndarray) -> np.ndarray:
         n, first = table.find(h)
