@@ -29,9 +29,7 @@ def _kinds(files: DataFrame) -> DataFrame:
 
 
 def review_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    f = _files(spark, d)
-    kinds = _kinds(f).join(structural.suggested(structural.clusters(f)), "diff_id", "left")
-    return review.diagnostics(review.verdict(diff.totals(f), LINES, FILES), kinds, LINES, FILES).select("diff_id", "code", "severity", "confidence", "message")
+    return review.profiled(_files(spark, d), LINES, FILES)[1].select("diff_id", "code", "severity", "confidence", "message")
 
 
 def structural_buckets(spark: SparkSession, d: str) -> DataFrame:

@@ -92,9 +92,9 @@ def facts(files: DataFrame) -> DataFrame:
     )
 
 
-def totals(files: DataFrame) -> DataFrame:
-    """One row for each diff, of files with facts()."""
-    return files.groupBy("diff_id").agg(
+def sums() -> list[Column]:
+    """What totals() has of each diff, as aggregates over its files."""
+    return [
         F.count("*").alias("files"),
         F.sum("added").alias("added"),
         F.sum("deleted").alias("deleted"),
@@ -105,7 +105,12 @@ def totals(files: DataFrame) -> DataFrame:
         F.bool_or("is_binary").alias("has_binary"),
         F.bool_or("is_rename").alias("has_rename"),
         F.array_sort(F.collect_set("category")).alias("categories"),
-    )
+    ]
+
+
+def totals(files: DataFrame) -> DataFrame:
+    """One row for each diff, of files with facts()."""
+    return files.groupBy("diff_id").agg(*sums())
 
 
 def render(files: DataFrame) -> DataFrame:

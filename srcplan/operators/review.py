@@ -34,9 +34,18 @@ def verdict(totals: DataFrame, max_lines: int = MAX_LINES, max_files: int = MAX_
     return out.withColumn("reason", F.when(F.col("status") == "pass", "Diff is within reviewability budget").otherwise(F.concat(lead, F.array_join("reasons", "; "))))
 
 
-def diagnostics(judged: DataFrame, kinds: DataFrame, max_lines: int = MAX_LINES, max_files: int = MAX_FILES) -> DataFrame:
-    """(diff_id, ord, code, severity, confidence, message) of rows of verdict() joined with kinds: diff_id, overhead, test_to_logic, productive, variance, ephemeral, reusable and, if groups of files are to be named, suggested as structural.suggested() has it."""
-    j = judged.join(kinds, "diff_id")
+def profiled(files: DataFrame, max_lines: int = MAX_LINES, max_files: int = MAX_FILES) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, diagnostics) of all diffs of files with diff.facts(), from one row a diff; the names of its clusters are made from rows of low cohesion only."""
+    rows = structural.profile(files)
+    judged = verdict(rows, max_lines, max_files)
+    ratios = structural.ratios(judged, *[c for c in judged.columns if c != "diff_id"])
+    named = structural.suggested(structural._united(rows))
+    return judged, diagnostics(ratios.join(named, "diff_id", "left"), None, max_lines, max_files)
+
+
+def diagnostics(judged: DataFrame, kinds: DataFrame | None, max_lines: int = MAX_LINES, max_files: int = MAX_FILES) -> DataFrame:
+    """(diff_id, ord, code, severity, confidence, message) of rows of verdict() joined with kinds: diff_id, overhead, test_to_logic, productive, variance, ephemeral, reusable and, if groups of files are to be named, suggested as structural.suggested() has it; None if judged has these."""
+    j = judged if kinds is None else judged.join(kinds, "diff_id")
     c = F.col
     suggested = F.coalesce(F.concat(F.lit(" (suggested clusters: "), c("suggested"), F.lit(")")), F.lit("")) if "suggested" in j.columns else F.lit("")
     heavy, loose = c("overhead") > 0.5, c("variance") > structural.LOW_COHESION

@@ -11,20 +11,24 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from srcplan.functions import paths
+from srcplan.operators.diff import sums
 
 LOW_COHESION, SIMILAR = 0.6, 0.3
 #: Written files of a diff up to which all pairs are formed within its row; the pairs of larger diffs meet by word in a join.
 IN_ROW = 400
 
 
-def buckets(files: DataFrame) -> DataFrame:
-    """Added lines by bucket for each diff. files: with diff.facts(); binary files and those without added lines count nowhere."""
+def _bucketed(files: DataFrame) -> DataFrame:
+    """Adds bucket, null for files that count nowhere, and passing, the ephemeral part of the added lines."""
     bucket = paths.bucket(F.col("path"), F.col("is_generated"), F.col("is_lockfile"))
     share = F.when(F.col("path").endswith(".go"), F.lit(0.10)).otherwise(F.lit(0.05))
     f = files.withColumn("bucket", F.when(~F.col("is_binary") & (F.col("added") > 0), bucket))
-    f = f.withColumn("passing", F.when(F.col("bucket").isin("logic", "test"), F.least(F.round(F.col("added") * share).cast("int"), F.col("added"))).otherwise(0))
+    return f.withColumn("passing", F.when(F.col("bucket").isin("logic", "test"), F.least(F.round(F.col("added") * share).cast("int"), F.col("added"))).otherwise(0))
+
+
+def _sums() -> list[Column]:
     total = lambda name: F.coalesce(F.sum(F.when(F.col("bucket") == name, F.col("added") - F.col("passing"))), F.lit(0))
-    return f.groupBy("diff_id").agg(
+    return [
         total("logic").alias("logic"),
         total("test").alias("test"),
         F.sum("passing").alias("ephemeral"),
@@ -32,7 +36,12 @@ def buckets(files: DataFrame) -> DataFrame:
         total("config_data").alias("config_data"),
         total("config_structural").alias("config_structural"),
         total("generated").alias("generated"),
-    )
+    ]
+
+
+def buckets(files: DataFrame) -> DataFrame:
+    """Added lines by bucket for each diff. files: with diff.facts(); binary files and those without added lines count nowhere."""
+    return _bucketed(files).groupBy("diff_id").agg(*_sums())
 
 
 def ratios(summed: DataFrame, *keep: str) -> DataFrame:
@@ -68,14 +77,14 @@ def _similar(written: DataFrame) -> DataFrame:
     return met.select("diff_id", "a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
 
 
-def linked(files: DataFrame, in_row: int = IN_ROW) -> DataFrame:
-    """(diff_id, f, variance, edges): the written files of each diff (file_idx, path), one less the mean similarity of all pairs (0 for fewer than two files), and the similar pairs.
-
-    One shuffle for diffs of up to in_row written files; larger ones, which would have too many pairs for a row, go through similarities().
-    """
+def _items() -> Column:
+    """The written files of a diff with the words of their paths, as an aggregate."""
     written = ~F.col("is_generated") & ~F.col("is_lockfile") & ~F.col("is_binary")
-    item = F.when(written, F.struct("file_idx", "path", paths.tokens(F.col("path")).alias("words")))
-    rows = files.groupBy("diff_id").agg(F.array_sort(F.collect_list(item)).alias("f"))
+    return F.array_sort(F.collect_list(F.when(written, F.struct("file_idx", "path", paths.tokens(F.col("path")).alias("words")))))
+
+
+def _link(rows: DataFrame, files: DataFrame, in_row: int) -> DataFrame:
+    """Replaces f of rows, as _items() has it, by (f, variance, edges), see linked()."""
 
     def jaccard(x: Column, y: Column) -> Column:
         both = F.size(F.array_intersect(x["words"], y["words"]))
@@ -85,17 +94,31 @@ def linked(files: DataFrame, in_row: int = IN_ROW) -> DataFrame:
     some = lambda x, y: F.size(x["words"]) + F.size(y["words"]) > 0
     after = lambda i: F.slice("f", i + 2, F.size("f"))
     pairs = F.flatten(F.transform("f", lambda x, i: F.transform(after(i), lambda y: F.struct(x["file_idx"].alias("a"), y["file_idx"].alias("b"), F.when(some(x, y), jaccard(x, y)).otherwise(0.0).alias("j")))))
-    small = rows.filter(F.size("f") <= in_row).withColumn("pairs", pairs)
-    small = small.select("diff_id", "f", F.aggregate("pairs", F.lit(0.0), lambda s, p: s + p["j"]).alias("s"), F.transform(F.filter("pairs", lambda p: p["j"] >= SIMILAR), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"))).alias("edges"))
-    large = rows.filter(F.size("f") > in_row)
-    near = _similar(large.select("diff_id", F.explode("f").alias("x")).select("diff_id", "x.*"))
-    near = near.groupBy("diff_id").agg(F.sum("jaccard").alias("s"), F.collect_list(F.when(F.col("jaccard") >= SIMILAR, F.struct("a", "b"))).alias("edges"))
-    large = large.join(near, "diff_id", "left").select("diff_id", "f", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("edges", F.array()).alias("edges"))
-    every = small.unionByName(large)
-    n = F.size("f").cast("long")
+    # diffs with more files than that have their pairs made by a join; which they are follows from the number of all their files
+    large = files.groupBy("diff_id").agg(F.count("*").alias("n")).filter(F.col("n") > in_row).select("diff_id")
+    near = _similar(_written(files.join(large, "diff_id", "left_semi")))
+    near = near.groupBy("diff_id").agg(F.sum("jaccard").alias("_s"), F.collect_list(F.when(F.col("jaccard") >= SIMILAR, F.struct("a", "b"))).alias("_e"))
+    out = rows.withColumn("_pairs", F.when(F.size("f") <= in_row, pairs)).join(near, "diff_id", "left")
+    n, small = F.size("f").cast("long"), F.col("_pairs").isNotNull()
+    total = F.when(small, F.aggregate("_pairs", F.lit(0.0), lambda s, p: s + p["j"])).otherwise(F.coalesce("_s", F.lit(0.0)))
+    edges = F.when(small, F.transform(F.filter("_pairs", lambda p: p["j"] >= SIMILAR), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))).otherwise(F.coalesce("_e", F.array()))
     # rounded, as sums of doubles depend on their order and the value is compared with a threshold
-    variance = F.when(n < 2, 0.0).otherwise(F.round(1 - F.col("s") / F.greatest(F.lit(1), n * (n - 1) / 2), 12))
-    return every.select("diff_id", F.transform("f", lambda x: F.struct(x["file_idx"].alias("file_idx"), x["path"].alias("path"))).alias("f"), variance.alias("variance"), "edges")
+    variance = F.when(n < 2, 0.0).otherwise(F.round(1 - total / F.greatest(F.lit(1), n * (n - 1) / 2), 12))
+    kept = [c for c in rows.columns if c != "f"]
+    return out.select(*kept, F.transform("f", lambda x: F.struct(x["file_idx"].alias("file_idx"), x["path"].alias("path"))).alias("f"), variance.alias("variance"), edges.alias("edges"))
+
+
+def linked(files: DataFrame, in_row: int = IN_ROW) -> DataFrame:
+    """(diff_id, f, variance, edges): the written files of each diff (file_idx, path), one less the mean similarity of all pairs (0 for fewer than two files), and the similar pairs.
+
+    One shuffle for diffs of up to in_row files; of larger ones, which would have too many pairs for a row, pairs meet by word.
+    """
+    return _link(files.groupBy("diff_id").agg(_items().alias("f")), files, in_row)
+
+
+def profile(files: DataFrame, in_row: int = IN_ROW) -> DataFrame:
+    """What totals(), buckets() and linked() say of each diff, in one row and one pass."""
+    return _link(_bucketed(files).groupBy("diff_id").agg(*sums(), *_sums(), _items().alias("f")), files, in_row)
 
 
 def cohesion(files: DataFrame, in_row: int = IN_ROW) -> DataFrame:
@@ -111,8 +134,12 @@ def suggested(grouped: DataFrame) -> DataFrame:
 
 def clusters(files: DataFrame, in_row: int = IN_ROW) -> DataFrame:
     """(diff_id, cluster, file_idx, path) for diffs of low cohesion: connected files by similarity, groups of two and more, numbered by their first file."""
+    return _united(linked(files, in_row))
+
 
-    schema = T.StructType([T.StructField("diff_id", files.schema["diff_id"].dataType), T.StructField("cluster", T.IntegerType()), T.StructField("file_idx", T.LongType()), T.StructField("path", T.StringType())])
+def _united(linked_rows: DataFrame) -> DataFrame:
+    """clusters() of rows of linked()."""
+    schema = T.StructType([T.StructField("diff_id", linked_rows.schema["diff_id"].dataType), T.StructField("cluster", T.IntegerType()), T.StructField("file_idx", T.LongType()), T.StructField("path", T.StringType())])
     kinds = [f.type for f in to_arrow_schema(schema)]
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,5 +163,5 @@ def clusters(files: DataFrame, in_row: int = IN_ROW) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=schema.names)
 
-    low = linked(files, in_row).filter((F.col("variance") > LOW_COHESION) & (F.size("edges") > 0))
-    return low.select("diff_id", "f", "edges").mapInArrow(unite, schema).withColumn("file_idx", F.col("file_idx").cast(files.schema["file_idx"].dataType))
+    low = linked_rows.filter((F.col("variance") > LOW_COHESION) & (F.size("edges") > 0))
+    return low.select("diff_id", "f", "edges").mapInArrow(unite, schema).withColumn("file_idx", F.col("file_idx").cast(linked_rows.schema["f"].dataType.elementType["file_idx"].dataType))
