@@ -38,7 +38,7 @@ K, PICKS, SKETCHES, THRESHOLD = 3, 3, 64, 0.8
 SHORT, LONG, SHORT_PICKS, SHORT_SKETCHES = 64, 48, 4, 32
 #: Members of a bucket of which all pairs are aligned, and leaders that a larger one has at most, one after the other.
 BUCKET, LEVELS = 8, 8
-REST_SKETCHES = 32
+REST_SKETCHES = 24
 #: Words of rests that are sketched at once; results do not depend on it.
 REST_WORDS = 1 << 17
 U64 = np.uint64
@@ -330,15 +330,14 @@ def _pairs(rows: DataFrame, threshold: float, bucket: int, seen: DataFrame | Non
     """
     # a leader is a member that is in no group yet, if there is one
     if "label" in rows.columns:
-        found = rows.groupBy("key").agg(F.count("*").alias("m"), F.coalesce(F.min(F.when(F.col("label") == F.col("id"), F.col("id"))), F.min("id")).alias("lead"), F.bit_xor(F.xxhash64("id", "label")).alias("same"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.when(F.col("label") == F.col("id"), F.lit(1))).alias("free"), F.min_by("label", "id").alias("own")).filter("lo <> hi")
-        found = found.withColumn("own", F.when(F.col("free").isNotNull(), F.col("lead")).otherwise(F.col("own")))
+        found = rows.groupBy("key").agg(F.count("*").alias("m"), F.coalesce(F.min(F.when(F.col("label") == F.col("id"), F.col("id"))), F.min("id")).alias("lead"), F.bit_xor(F.xxhash64("id", "label")).alias("same"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
     else:
-        found = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("lead"), F.bit_xor(F.xxhash64("id")).alias("same")).filter("m > 1").withColumn("own", F.col("lead"))
+        found = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("lead"), F.bit_xor(F.xxhash64("id")).alias("same")).filter("m > 1")
     # of buckets with the same members one is enough; many members of one bucket are split by the join
-    found = C.saved(found.groupBy("m", "lead", "same", "own").agg(F.min("key").alias("key")).select("key", "m", "lead", "own"), "buckets")
+    found = C.saved(found.groupBy("m", "lead", "same").agg(F.min("key").alias("key")).select("key", "m", "lead"), "buckets")
     members = rows.join(found.hint("merge"), "key")
     members = members if "label" in rows.columns else members.withColumn("label", F.col("id"))
-    hot = members.filter((F.col("m") > bucket) & (F.col("id") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("id").alias("b"), "n", F.when(F.col("label") == F.col("own"), F.col("lead")).otherwise(F.col("label")).alias("label"), F.lit(True).alias("hot"))
+    hot = members.filter((F.col("m") > bucket) & (F.col("id") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("id").alias("b"), "n", "label", F.lit(True).alias("hot"))
     if not bucket:  # no leader is left: all pairs, by a join that splits large buckets
         x, y = (members.select("key", F.struct("id", "n", "label").alias(c)) for c in "xy")
         few, hot = x.join(y, "key").filter("x.id < y.id"), hot.limit(0)
@@ -387,13 +386,15 @@ def groups(docs: DataFrame, k: int = K, picks: int = PICKS, sketches: int = SKET
             good = C.saved((new if good is None else good.union(new)).distinct(), "good")
             roots = components(good)
         # what a leader leaves of its members is of use where some of them are of other groups
-        hot = done.filter("hot").select("a", "b", "n", "s").join(roots.select(F.col("id").alias("b"), "root"), "b", "left").withColumn("label", F.coalesce("root", "b"))
-        hot = C.saved(hot.join(roots.select(F.col("id").alias("a"), F.col("root").alias("own")), "a", "left").withColumn("own", F.coalesce("own", "a")), "hot")
+        of = lambda c, name: roots.select(F.col("id").alias(c), F.col("root").alias(name))
+        hot = done.filter("hot").select("a", "b").join(of("b", "label"), "b", "left").join(of("a", "own"), "a", "left")
+        hot = C.saved(hot.select("a", "b", F.coalesce("label", "b").alias("label"), F.coalesce("own", "a").alias("own")), "hot")
         torn = C.saved(hot.filter("label <> own").select("a").distinct(), "leaders")
         if torn.isEmpty():
             break
-        rest = hot.join(F.broadcast(torn) if torn.count() <= C.SMALL_IDS else torn, "a", "left_semi")
-        rows = C.saved(_buckets(rest.select(F.col("b").alias("id"), "n", "label", "s")), "rests")
+        sent = F.broadcast(torn) if torn.count() <= C.SMALL_IDS else torn
+        rest = done.filter("hot").select("a", "b", "n", "s").join(sent, "a", "left_semi").join(hot.select("a", "b", "label").join(sent, "a", "left_semi"), ["a", "b"])
+        rows = _buckets(C.saved(rest.select(F.col("b").alias("id"), "n", "label", "s"), "rests"))
         tried = done.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
         past = tried if past is None else past.union(tried)
     degree = good.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
