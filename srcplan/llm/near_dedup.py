@@ -238,8 +238,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _words(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, words) of those documents that met another, written to the shared folder. words: 32 bits of each word's hash."""
-    ids = C.saved(ids, "met")
-    some = docs.join(F.broadcast(ids) if ids.count() <= C.SMALL_IDS else ids, "id", "left_semi")
+    some = docs.join(ids, "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -376,9 +375,12 @@ def groups(docs: DataFrame, k: int = K, picks: int = PICKS, sketches: int = SKET
     rows, good, words, past, roots = _buckets(reps), None, None, None, None
     for level in range(levels + 1):
         pairs = _pairs(rows, threshold, bucket if level < levels else 0, past)
+        met = C.saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "met")
+        met = F.broadcast(met) if met.count() <= C.SMALL_IDS else met
         if words is None:
-            words = _words(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        done = C.saved(_verify(pairs, words, threshold), "aligned")
+            words = _words(docs, met)
+        # later levels move the words of few documents
+        done = C.saved(_verify(pairs, words.join(met, "id", "left_semi") if level else words, threshold), "aligned")
         if seen is not None:
             seen.append(done.filter("label <> a").count())
         new = done.filter("ok").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
