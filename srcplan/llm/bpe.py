@@ -29,7 +29,7 @@ from srcplan.llm import common as C
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.IntegerType())])
 #: Pieces remembered by a worker before those not used since are dropped, and pairs whose rank is; bound memory only.
-REMEMBERED, PAIRS = 250_000, 400_000
+REMEMBERED, PAIRS = 180_000, 300_000
 #: Text encoded at once; its new pieces share one index.
 BLOCK_BYTES = 1 << 20
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 U64 = np.uint64
 #: Text taken at once by a worker; only bounds memory, results do not depend on it.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 #: What Spark hands a worker at once, so that long texts and many rows fit in its memory; results do not depend on it.
@@ -33,8 +33,11 @@ CACHES: dict[str, Callable[[], None]] = {}
 def begin(keeps: str) -> None:
     """Drops what other operators left in this worker, which lives on from stage to stage."""
     pa.set_memory_pool(pa.system_memory_pool())  # gives back what a batch took
-    for name in [x for x in CACHES if x != keeps]:
+    left = [x for x in CACHES if x != keeps]
+    for name in left:
         CACHES.pop(name)()
+    if left:
+        release()
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str, keeps: str = "") -> DataFrame:
