@@ -29,15 +29,18 @@ def test_text_functions(spark):
     assert got == ["sk-<redacted>", "sk-ant-<redacted>", "Bearer <redacted>", "API_KEY=<redacted>", "Password=<redacted>", "mail <email-redacted> now"]
 
 
+def _sample(spark, lang, path, body):
+    return spark.createDataFrame([(lang, path, body.replace("@N", "4"))], "lang string, path string, content string")
+
+
 def test_rules_over_samples(spark):
-    docs = spark.createDataFrame([(4,)], "doc_id long")
-    f = parse.functions(samples.files(docs, "go").unionByName(samples.files(docs, "rust")))
+    f = parse.functions(_sample(spark, "go", "src/f4.go", samples.GO).unionByName(_sample(spark, "rust", "src/f4.rs", samples.RUST)))
     low = {"long-function": 5, "high-complexity": 3, "deep-nesting": 1, "too-many-params": 1}
     got = {(r["code"], r["symbol"]): (r["severity"], r["message"]) for r in rules.function_findings(f, low).collect()}
     assert got["go.high-complexity", "(s *Store).Find"] == ("high", "Function (s *Store).Find has cyclomatic complexity 8 (limit: 3)")
     assert got["go.ignored-error", "drop4"][1] == "Function drop4 ignores 3 error(s) with _"
     assert got["rust.deep-nesting", "Store::find"][0] == "high" and ("rust.ignored-error", "raw4") not in got
-    c = parse.components(parse.modules(samples.files(docs, "tsx")))
+    c = parse.components(parse.modules(_sample(spark, "ts", "src/f4.tsx", samples.TSX)))
     got = {r["code"] for r in rules.component_findings(c, {"too-many-hooks": 2, "repeated-jsx": 2}).collect()}
     assert got == {"react.too-many-hooks", "react.repeated-jsx", "react.missing-prop-types"}
     assert rules.function_findings(f, ignored_errors="off").filter("code like '%ignored%'").count() == 0
@@ -70,7 +73,7 @@ def test_budget_equals_a_loop(spark):
 
 
 def test_graph(spark):
-    m = parse.modules(samples.files(spark.createDataFrame([(4,)], "doc_id long"), "tsx"))
+    m = parse.modules(_sample(spark, "ts", "src/f4.tsx", samples.TSX))
     v = graph.vertices(m).orderBy("seq").collect()
     assert [r["node_id"] for r in v][:5] == ["root_1", "import_2", "import_3", "comp_4", "hook_5"]
     assert [r["kind"] for r in v if r["parent_id"] == "comp_4"] == ["hook", "state", "hook", "state", "hook", "effect", "jsx", "jsx", "jsx", "jsx", "event", "prop", "prop", "export"]
