@@ -19,10 +19,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 MANAGERS = [("bun.lock", "bun"), ("bun.lockb", "bun"), ("pnpm-lock.yaml", "pnpm"), ("yarn.lock", "yarn"), ("package-lock.json", "npm"), ("go.mod", "go"), ("Cargo.toml", "cargo"), ("package.json", "npm")]
 LINT_FILES = (".eslintrc", ".eslintrc.js", ".eslintrc.json", ".eslintrc.yaml", ".eslintrc.yml")
 GOLANGCI = (".golangci.yaml", ".golangci.yml")
-ENV_FILES = (".env", *(f".env.{x}" for x in ("local", "production", "development")))
-SCRIPTS = tuple("typecheck lint test build format".split())
-VERIFYING = "lint test typecheck build check".split()
-ESSENTIAL = "go.mod package.json tsconfig.json Makefile".split()
+ENV_FILES = (".env", ".env.local", ".env.production", ".env.development")
+SCRIPTS = ("typecheck", "lint", "test", "build", "format")
+VERIFYING = ("lint", "test", "typecheck", "build", "check")
+ESSENTIAL = ("go.mod", "package.json", "tsconfig.json", "Makefile")
 HEALTH = ("health", "livez", "probes", "readiness", "readyz")
 _FILES = ["go.mod", "package.json", "Cargo.toml", "requirements.txt", "pyproject.toml", "README.md", ".gitignore", "LICENSE", "next.config.js", "next.config.ts", "convex.json", "middleware.ts", "src/middleware.ts", "vercel.json", "AGENTS.md", "tsconfig.json", "Makefile", "Dockerfile", "manifest.json"]
 _FILES += [*LINT_FILES, *GOLANGCI, *ENV_FILES, *(n for n, _ in MANAGERS)]

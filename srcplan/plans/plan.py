@@ -14,7 +14,7 @@ from srcplan.plans.registry import registry
 
 VERSION = "0.1"
 #: What identifies a plan before its findings, in the order of its hash.
-HEAD = "source subject language goal".split()
+HEAD = ("source", "subject", "language", "goal")
 
 
 def target(df: DataFrame) -> Column:
