@@ -1,13 +1,17 @@
 """Quality rule by n-gram perplexity: a modified Kneser-Ney model of words for each language.
 
-Words lie between white space, as they are written; a Chinese or Japanese character is a word of its own. The `vocabulary` most frequent words of a language (ties by hash) are
-symbols, all others are one class, the probability of which is divided by the number of different words in it. Workers reduce their texts to distinct bigrams with counts, packed
-in sorted arrays by part and shard, shards add these up over all documents, and continuation counts of the lower order follow from the distinct bigrams. There are
-at most (vocabulary + 1) x (vocabulary + 2) of them in a language, which bounds a model to 34 MB. Fitted probabilities and back-off weights lie in arrays sorted by
+Words lie between white space, as they are written; a Chinese or Japanese character is a word of its own. Every word of a language is a symbol, however rare, and every bigram counts;
+a word that the model has not seen gets the base probability, one by the number of different words plus one. Workers keep the words of a block of texts as numbers in the list of its
+different words. Its distinct bigrams go to shards by their hash or that of a rare word in them, which count them over all documents, and its different words to shards of words, which add up how many bigrams
+end in them (the lower order) and what follows them (the back-off weights). Both send the counts of the other half back to the block, whose texts are then scored,
+so no model is held whole anywhere and no worker holds more than a shard or a block. Shards and blocks take turns in passes, so that a part of all shuffles is on disk at once. Words that are frequent in a sample go as small numbers, all others as hashes of 63 bits, which saves disk only.
+
+With `vocabulary` given, only so many of the most frequent words of a language (ties by hash) are told apart and all others are one class, the probability of which is divided by the
+number of different words in it. Such a model has at most (vocabulary + 1) x (vocabulary + 2) bigrams or 34 MB: fitted probabilities and back-off weights lie in arrays sorted by
 a 32-bit hash (one to one) of order and n-gram, which workers search through an index of the leading bits.
 
-Documents are split in two halves by a hash of their text, and each is scored by vocabulary and model counted on the other half of its
-language, so that a rare text does not vouch for itself and copies stay together. A document is rejected if its log
+Documents are split in two halves by the least hash of their bigrams (with a vocabulary: by a hash of their text), and each is scored by the model counted on the other half of its
+language, so that a rare text does not vouch for itself, copies stay together, and so do two edited copies with the probability (1 + share of bigrams they have in common) / 2. A document is rejected if its log
 perplexity is off its language's median by more than `below` or `above` standard deviations, which gives the language's lower and upper band. The variance is that between
 documents (1.4826 times the median absolute deviation, at least `floor`, squared) and that of a mean of so many words (the variance of a word's log probability in the language, by
 the number of words), so that bands follow from the corpus and short texts have wider ones.
@@ -19,18 +23,22 @@ gives one row; repeated rows repeat; other columns are ignored. Empty tables giv
 
 from __future__ import annotations
 
+import gc
+import time
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from srcplan.llm import common as C
 
-VOCABULARY, BITS = 2048, 12
+BITS = 12
 START, RARE, FIRST = 0, 1, 2
 #: Standard deviations below and above the median: text that says one thing again is often meant, text of strange words is not.
 BELOW, ABOVE = 4.0, 2.5
@@ -39,6 +47,12 @@ FLOOR, MIN_DOCS = 0.02, 20
 SMALL_BYTES = 128 << 20
 #: Characters of text for each shard of counts.
 SHARD_CHARS = 400_000_000
+#: Characters of text for each shard of bigrams of all words, shards of these for one of words, and words of texts in a block.
+PAIR_CHARS, WORD_SHARDS, BLOCK_WORDS = 25_000_000, 4, 4_000_000
+#: Passes over shards and over blocks, one after the other: so much less is in shuffles at once.
+PASSES = 6
+#: Words that get a small number, and characters of the sample that they are frequent in; results do not depend on them.
+CODES, SAMPLE_CHARS = (1 << 16) - 1, 20_000_000
 #: Distinct n-grams that a worker holds before it gives them out.
 HELD = 4_000_000
 U64, U32 = np.uint64, np.uint32
@@ -96,7 +110,12 @@ def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def discounts(counts: np.ndarray) -> np.ndarray:
     """The modified Kneser-Ney discounts for counts of 1, 2 and more; 0.5 x count where the data define none."""
-    n = np.bincount(np.minimum(counts, 5), minlength=6)[1:5].astype(float)
+    return discounts_of(np.bincount(np.minimum(counts, 5), minlength=6)[1:5])
+
+
+def discounts_of(n: np.ndarray) -> np.ndarray:
+    """The same, from how many counts are 1, 2, 3 and 4."""
+    n = n.astype(float)
     y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
     d = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] and n[k] else 0.5 * k for k in (1, 2, 3)]
     return np.array([0.0, *(min(max(v, 0.05), k - 0.05) for k, v in zip((1, 2, 3), d))])
@@ -239,7 +258,7 @@ def _unpacked(t: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray]:
     return summed(np.concatenate([np.frombuffer(x, kind) for x in t.column("keys").to_pylist()]), np.concatenate([np.frombuffer(x, np.int64) for x in t.column("n").to_pylist()]))
 
 
-def vocabularies(docs: DataFrame, shards: int, size: int = VOCABULARY) -> dict[str, Vocabulary]:
+def vocabularies(docs: DataFrame, shards: int, size: int) -> dict[str, Vocabulary]:
     """For each half of each language; size words for each is all that the driver gets."""
 
     def top(key_: tuple, t: pa.Table) -> pa.Table:
@@ -330,6 +349,303 @@ def scores(docs: DataFrame, model: DataFrame, known: dict[str, Vocabulary], smal
     return out
 
 
+# ---- all words, by blocks and shards
+
+STREAM, PAIRS, WORDS, PAIR_TOTALS, WORD_TOTALS = range(5)
+PIECE = "block long, lang string, fold int, kind int, shard int, a binary, b binary, c binary, d binary, e binary, f binary"
+_PIECE = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("fold", pa.int32()), ("kind", pa.int32()), ("shard", pa.int32()), *((c, pa.binary()) for c in "abcdef")])
+
+
+def pack(x: np.ndarray) -> bytes:
+    """The array by planes of its bytes, compressed, after its length."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
+    return len(x).to_bytes(8, "little") + (pa.compress(planes.tobytes(), "zstd", asbytes=True) if len(x) else b"")
+
+
+def unpack(b: bytes, kind: type) -> np.ndarray:
+    n, k = int.from_bytes(b[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(b[8:], n * k, "zstd", asbytes=True), np.uint8).reshape(k, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    """pack() of ascending hashes, by their differences."""
+    return pack(np.diff(x, prepend=U64(0)))
+
+
+def unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(unpack(b, U64), dtype=U64)
+
+
+def _let_go(df: DataFrame) -> None:
+    """Spark removes the shuffle files of what is written when the driver collects its garbage, some of which its event queue holds a moment longer."""
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
+
+
+def _piece(block: int | None, lang: str, fold: int, kind: int, shard: int, *arrays: np.ndarray | bytes) -> dict:
+    return {"block": block, "lang": lang, "fold": fold, "kind": kind, "shard": shard, **{c: x if isinstance(x, bytes) else pack(x) for c, x in zip("abcdef", arrays)}}
+
+
+def codes(docs: DataFrame, chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ascending, their codes from 1 on) of frequent words of a sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [summed(h, np.ones(len(h), np.int64)) for batch in batches for b in C.blocks(batch, "text") for h in (tokens(b.column("text"))[0],)]
+        if held:
+            w, n = summed(np.concatenate([w for w, _ in held]), np.concatenate([n for _, n in held]))
+            yield pa.RecordBatch.from_arrays([pa.array(w[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["w", "n"])
+
+    some = docs.filter(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(max(1, chars // SAMPLE_CHARS))) == 0).select("text")
+    top = some.transform(C.mapped, run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(CODES).collect()
+    h = np.array([r["w"] for r in top], np.int64).view(U64)
+    order = np.argsort(h)
+    return h[order], (order + 1).astype(U64)
+
+
+def streams(docs: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """PIECE, a STREAM for each block of texts of one language and half: ids, which are null, words of each, the different words, and the number of each word among these."""
+    sent = docs.sparkSession.sparkContext.broadcast(known)  # at most CODES words
+
+    def keys_of(h: np.ndarray) -> np.ndarray:
+        hashes, numbers = sent.value
+        if not len(hashes):
+            return h | U64(1 << 63)
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        return np.where(hashes[at] == h, numbers[at], h | U64(1 << 63))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple[np.ndarray, ...]]] = defaultdict(list)
+        size, made = 0, TaskContext.get().partitionId() << 32
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal made
+            for part in list(held):
+                ids, missing, n, keys = (np.concatenate(x) for x in zip(*held.pop(part)))
+                words, at = np.unique(keys, return_inverse=True)
+                yield pa.RecordBatch.from_pylist([_piece(made, part[1:], int(part[0]), STREAM, 0, ids, missing, n, pack_sorted(words), at.astype(U32))], _PIECE)
+                made += 1
+
+        for batch in batches:
+            for b in C.blocks(batch, "text", 2 << 20):
+                h, first = tokens(b.column("text"))
+                keys, n, fold = keys_of(h), np.diff(first), halves(h, first)
+                b = b.set_column(b.schema.get_field_index("fold"), "fold", pa.array(fold))
+                ids, missing = b.column("doc_id").fill_null(0).to_numpy(), b.column("doc_id").is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+                for part, rows in _parts(b, False).items():
+                    keep = np.zeros(b.num_rows, bool)
+                    keep[rows] = True
+                    held[part].append((ids[keep], missing[keep], n[keep].astype(U32), keys[np.repeat(keep, n)]))
+                size += len(h) + b.num_rows
+                if size > BLOCK_WORDS:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    return C.saved(_prepared(docs).transform(C.mapped, run, PIECE), "streams")
+
+
+def halves(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """0 or 1 for each text, by the least hash of its bigrams: edited copies, which would vouch for each other, mostly share it. 0 without a word."""
+    n = np.diff(first)
+    before = np.concatenate([np.zeros(1, U64), h[:-1]])[: len(h)]
+    before[first[:-1][n > 0]] = 0
+    out = np.zeros(len(n), np.int64)
+    if len(h):
+        out[n > 0] = (C.mix(np.minimum.reduceat(pair_hash(before, h), first[:-1][n > 0])) & U64(1)).astype(np.int64)
+    return out
+
+
+def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return C.mix(C.mix(v) + w * U64(0xC2B2AE3D27D4EB4F))
+
+
+def pair_shard(v: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each bigram: that of its word without a number, so that what a rare word is in lies together, or its own."""
+    named_v, named_w = v < U64(1 << 63), w < U64(1 << 63)
+    return np.where(~named_v, C.mix(v), np.where(named_w, pair_hash(v, w), C.mix(w))) % U64(shards)
+
+
+def pairs_of(words: np.ndarray, at: np.ndarray, n: np.ndarray, shards: int, of: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key of every symbol, START at first; symbols of each distinct bigram; its shard; which of them ends at each word; counts) of a block, or of a pass over its shards."""
+    keys = np.concatenate([np.zeros(1, U64), words])
+    before = np.zeros(len(at), U64)
+    before[1:] = at[:-1].astype(U64) + U64(1)
+    before[(np.cumsum(n.astype(np.int64)) - n)[n > 0]] = 0
+    g = before << U64(32) | (at.astype(U64) + U64(1))
+    if of is not None:
+        g = g[pair_shard(keys[before], keys[1:][at], shards) % U64(PASSES) == of]
+    g, which, count = np.unique(g, return_inverse=True, return_counts=True)
+    v, w = (g >> U64(32)).astype(np.int64), (g & U64(0xFFFFFFFF)).astype(np.int64)
+    return keys, v, w, pair_shard(keys[v], keys[w], shards), which, count
+
+
+def by_shard(h: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, where its hashes are, in order) for each that has any."""
+    s = (h % U64(shards)).astype(np.int64)
+    order = np.argsort(s, kind="stable")
+    s = s[order]
+    cut = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    for i, j in zip(cut, [*cut[1:], len(s)]):
+        yield int(s[i]), order[i:j]
+
+
+def _rows(t: pa.Table) -> Iterator[dict]:
+    return (r for b in t.to_batches(max_chunksize=1) for r in b.to_pylist())
+
+
+def counted_pairs(blocks: DataFrame, shards: int, word_shards: int, of: int) -> DataFrame:
+    """PIECE, for a pass: PAIRS for each block and shard (the counts of its bigrams in the other half), WORDS for each shard of words (their bigrams as a last word; words, and bigrams of counts 1, 2 and more, that follow) and PAIR_TOTALS."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in _rows(pa.Table.from_batches([batch])):
+                keys, v, w, shard, _, n = pairs_of(unpack_sorted(r["d"]), unpack(r["e"], U32), unpack(r["c"], U32), shards, of)
+                rows = []
+                for s, i in by_shard(shard, shards):
+                    used, at = np.unique(np.concatenate([v[i], w[i]]), return_inverse=True)
+                    at = at.astype(U32)
+                    rows.append(_piece(r["block"], r["lang"], r["fold"], PAIRS, s, pack_sorted(keys[used]), at[: len(i)], at[len(i) :], n[i].astype(U32)))
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, _PIECE)
+
+    def count(key_: tuple, t: pa.Table) -> pa.Table:
+        lang, shard = (k.as_py() for k in key_)
+        of, parts = [], []
+        for r in _rows(t):
+            keys = unpack_sorted(r["a"])
+            parts.append((keys[unpack(r["b"], U32)], keys[unpack(r["c"], U32)], unpack(r["d"], U32)))
+            of.append((r["block"], r["fold"], len(parts[-1][0])))
+        v, w, n = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
+        fold = np.repeat([f for _, f, _ in of], [m for _, _, m in of])
+        _, first, which = np.unique(pair_hash(v, w), return_index=True, return_inverse=True)
+        v, w = v[first], w[first]
+        counts = [np.bincount(which, n * (fold == f), len(v)).astype(np.int64) for f in (0, 1)]
+        out, at = [], 0
+        for block, f, m in of:
+            out.append(_piece(block, lang, f, PAIRS, shard, counts[1 - f][which[at : at + m]].astype(U32)))
+            at += m
+        for f in (0, 1):
+            there = counts[f] > 0
+            if not there.any():
+                continue
+            c, keys = counts[f][there], np.unique(np.concatenate([v[there], w[there]]))
+            a, b = np.searchsorted(keys, v[there]), np.searchsorted(keys, w[there])
+            sums = [np.bincount(b, minlength=len(keys)), np.bincount(a, c, len(keys)), *(np.bincount(a[x], minlength=len(keys)) for x in (c == 1, c == 2, c > 2))]
+            sums = [x.astype(U64) for x in sums]
+            out += [_piece(None, lang, f, WORDS, s, pack_sorted(keys[i]), *(x[i] for x in sums)) for s, i in by_shard(C.mix(keys), word_shards)]
+            out.append(_piece(None, lang, f, PAIR_TOTALS, shard, np.bincount(np.minimum(c, 5), minlength=6)[1:5]))
+        return pa.Table.from_pylist(out, _PIECE)
+
+    return C.saved(blocks.transform(C.mapped, ask, PIECE).groupBy("lang", "shard").applyInArrow(count, PIECE), "pairs")
+
+
+def counted_words(blocks: DataFrame, pairs: DataFrame, word_shards: int, of: int) -> DataFrame:
+    """PIECE, for a pass: WORDS for each block and shard, the five figures of its words in the other half, and WORD_TOTALS."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in _rows(pa.Table.from_batches([batch])):
+                keys = np.concatenate([np.zeros(1, U64), unpack_sorted(r["d"])])
+                rows = [_piece(r["block"], r["lang"], r["fold"], WORDS, s, pack_sorted(keys[i])) for s, i in by_shard(C.mix(keys), word_shards) if s % PASSES == of]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, _PIECE)
+
+    def add(key_: tuple, t: pa.Table) -> pa.Table:
+        lang, shard = (k.as_py() for k in key_)
+        asked, parts = [], ([], [])
+        for r in _rows(t):
+            if r["block"] is None:
+                parts[r["fold"]].append((unpack_sorted(r["a"]), [unpack(r[c], U64).astype(np.int64) for c in "bcdef"]))
+            else:
+                asked.append((r["block"], r["fold"], r["a"]))
+        out, known = [], []
+        for f in (0, 1):
+            keys, which = np.unique(np.concatenate([np.zeros(0, U64), *(k for k, _ in parts[f])]), return_inverse=True)
+            sums = [np.bincount(which, np.concatenate([np.zeros(0), *(x[j] for _, x in parts[f])]), len(keys)).astype(np.int64) for j in range(5)]
+            parts[f].clear()
+            known.append((keys, sums))
+            ends = sums[0][sums[0] > 0]
+            if len(keys):
+                out.append(_piece(None, lang, f, WORD_TOTALS, shard, np.array([*np.bincount(np.minimum(ends, 5), minlength=6)[1:5], ends.sum(), len(ends)], np.int64)))
+        for block, f, a in asked:
+            own, (keys, sums) = unpack_sorted(a), known[1 - f]
+            at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
+            there = keys[at] == own if len(keys) else np.zeros(len(own), bool)
+            out.append(_piece(block, lang, f, WORDS, shard, *(np.where(there, x[at], 0).astype(U64) if len(keys) else np.zeros(len(own), U64) for x in sums)))
+        return pa.Table.from_pylist(out, _PIECE)
+
+    every = blocks.transform(C.mapped, ask, PIECE).unionByName(pairs.filter((F.col("kind") == WORDS) & (F.col("shard") % PASSES == of)))
+    return C.saved(every.groupBy("lang", "shard").applyInArrow(add, PIECE), "words")
+
+
+def whole_scores(docs: DataFrame, chars: int, pair_chars: int = PAIR_CHARS) -> DataFrame:
+    """As scores(), by models in which every word is a symbol."""
+    shards = max(1, -(-chars // pair_chars))
+    word_shards = -(-shards // WORD_SHARDS)
+    blocks = streams(docs, codes(docs, chars))
+
+    def passes(one: Callable[[int], DataFrame], n: int) -> DataFrame:
+        out = []
+        for of in range(min(n, PASSES)):
+            if out:
+                _let_go(docs)
+            out.append(one(of))
+        if len(out) > 1:
+            _let_go(docs)
+        return reduce(DataFrame.unionByName, out)
+
+    pairs = passes(lambda of: counted_pairs(blocks, shards, word_shards, of), shards)
+    words = passes(lambda of: counted_words(blocks, pairs, word_shards, of), word_shards)
+    totals: dict[tuple, np.ndarray] = defaultdict(lambda: np.zeros(6, np.int64))  # as many as languages
+    for df, kind in ((pairs, PAIR_TOTALS), (words, WORD_TOTALS)):
+        for r in df.filter(F.col("kind") == kind).select("lang", "fold", "a").toLocalIterator():
+            x = unpack(bytes(r["a"]), np.int64)
+            totals[r["lang"], r["fold"], kind][: len(x)] += x
+    sent = docs.sparkSession.sparkContext.broadcast(dict(totals))
+
+    def score(key_: tuple, t: pa.Table) -> pa.Table:
+        got: dict[int, dict[int, dict]] = defaultdict(dict)
+        for r in _rows(t):
+            got[r["kind"]][r["shard"]] = r
+        r = got[STREAM][0]
+        ids, missing, n = unpack(r["a"], np.int64), unpack(r["b"], np.uint8), unpack(r["c"], U32).astype(np.int64)
+        two, one = (sent.value.get((r["lang"], 1 - r["fold"], kind)) for kind in (PAIR_TOTALS, WORD_TOTALS))
+        sums, squares = np.zeros(len(n)), np.zeros(len(n))
+        if two is not None:
+            keys, v, w, shard, which, _ = pairs_of(unpack_sorted(r["d"]), unpack(r["e"], U32), n, shards)
+            figures, c = np.zeros((5, len(keys)), np.int64), np.zeros(len(v), np.int64)
+            for s, i in by_shard(C.mix(keys), word_shards):
+                for x, name in zip(figures, "abcde"):
+                    x[i] = unpack(got[WORDS][s][name], U64)
+            for s, i in by_shard(shard, shards):
+                c[i] = unpack(got[PAIRS][s]["a"], U32)
+            ends, follow, *some = figures
+            d = discounts_of(one[:4])
+            left = (d[1] * one[0] + d[2] * one[1] + d[3] * (one[5] - one[0] - one[1])) / one[4]
+            below = (ends - d[np.minimum(ends, 3)]) / one[4] + left / (one[5] + 1)
+            d = discounts_of(two[:4])
+            weight = np.where(follow > 0, sum(x * k for x, k in zip(d[1:], some)) / np.maximum(1, follow), 1.0)
+            p = (c - d[np.minimum(c, 3)]) / np.maximum(1, follow[v]) + weight[v] * below[w]
+            bits = -np.log(p)[which]
+            at = np.concatenate([[0], np.cumsum(n)])
+            for out, x in ((sums, bits), (squares, bits * bits)):
+                total = np.concatenate([[0.0], np.cumsum(x)])
+                out[:] = total[at[1:]] - total[at[:-1]]
+        none = (n == 0) | (two is None)
+        lang = None if r["lang"] == "?" else r["lang"][1:]
+        return pa.Table.from_arrays([pa.array(ids, mask=missing > 0), pa.array([lang] * len(n), pa.string()), pa.array(n), *(pa.array(x, mask=none) for x in (sums, squares))], names=SCORE.names)
+
+    every = blocks.unionByName(pairs.filter(F.col("kind") == PAIRS)).unionByName(words.filter(F.col("kind") == WORDS))
+    of_task = F.shiftright("block", 32) % min(shards, PASSES)
+    return passes(lambda of: C.saved(every.filter(of_task == of).groupBy("block").applyInArrow(score, SCORE), "scores"), shards)
+
+
 def judge(scored: DataFrame, below: float = BELOW, above: float = ABOVE, floor: float = FLOOR, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, lang, perplexity, lower, upper, accepted."""
     scored = scored.withColumn("x", F.col("bits") / F.when(F.col("n") > 0, F.col("n")))
@@ -347,11 +663,13 @@ def judge(scored: DataFrame, below: float = BELOW, above: float = ABOVE, floor:
     return out.select("doc_id", "lang", F.exp("x").alias("perplexity"), F.exp("low").alias("lower"), F.exp("high").alias("upper"), ok.alias("accepted"))
 
 
-def quality(docs: DataFrame, vocabulary: int = VOCABULARY, below: float = BELOW, above: float = ABOVE, floor: float = FLOOR, min_docs: int = MIN_DOCS, small_bytes: int = SMALL_BYTES, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """doc_id, lang, perplexity, lower, upper, accepted for every row."""
+def quality(docs: DataFrame, vocabulary: int | None = None, below: float = BELOW, above: float = ABOVE, floor: float = FLOOR, min_docs: int = MIN_DOCS, small_bytes: int = SMALL_BYTES, shard_chars: int = SHARD_CHARS, pair_chars: int = PAIR_CHARS) -> DataFrame:
+    """doc_id, lang, perplexity, lower, upper, accepted for every row. small_bytes and shard_chars are for a vocabulary, pair_chars for all words."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    if vocabulary is None:
+        return judge(whole_scores(docs, chars, pair_chars), below, above, floor, min_docs)
     if vocabulary + FIRST > 1 << BITS:
         raise ValueError(f"a vocabulary has at most {(1 << BITS) - FIRST} words")
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-chars // shard_chars))
     known = vocabularies(docs, shards, vocabulary)
     return judge(C.saved(scores(docs, train(docs, shards, known), known, small_bytes), "scores"), below, above, floor, min_docs)

@@ -295,6 +295,51 @@ def test_perplexity_edges(spark):
     assert perplexity.quality(df.limit(0)).count() == 0
 
 
+def test_every_word_is_a_symbol(spark):
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    common, rare = [f"c{i}" for i in range(20)], [f"r{i}" for i in range(4000)]
+    rows = [(i, " ".join(rng.choice(rare if rng.random() < 0.8 else common) for _ in range(60)), "en") for i in range(160)] + [(200, "c1 c2 never seen c1", "en"), (201, "", "en"), (202, None, "en"), (203, "alone here", "xx"), (None, "r1 c1 r2", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fold = dict(zip([r[0] for r in rows], perplexity.halves(*perplexity.tokens(pa.array([r[1] for r in rows], pa.string()))).tolist()))
+    halves = [[t for i, t, lang in rows if lang == "en" and t and fold[i] == f] for f in (0, 1)]
+    assert min(len({w for t in half for w in t.split()}) for half in halves) > 2048
+    models = [_kneser_ney(half, None)[0] for half in halves]
+    for got in (perplexity.quality(df), perplexity.quality(df, pair_chars=3000)):  # in one shard and in many
+        by = {r["doc_id"]: r for r in got.collect()}
+        assert by.keys() == {r[0] for r in rows} and [by[i]["accepted"] for i in (201, 202, 203, None)] == [False, False, True, True]
+        assert all(by[i]["perplexity"] is None for i in (201, 202, 203, None)) and by[None]["lang"] is None
+        for i, t, _ in [*rows[:30], rows[160]]:
+            p = models[1 - fold[i]]
+            bits = [-math.log(p(a, b)) for a, b in zip([None, *t.split()], t.split())]
+            assert math.log(by[i]["perplexity"]) == pytest.approx(sum(bits) / len(bits), abs=1e-6)
+    assert perplexity.quality(df.limit(0)).count() == 0
+
+
+def test_blocks_do_not_matter(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, t, rng.choice(["en", "fr", None])) for i, t in enumerate([*_texts(rng, 150), "", None, "你好 w1 你好"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    want = {r["doc_id"]: r for r in perplexity.quality(df).collect()}
+    monkeypatch.setattr(perplexity, "BLOCK_WORDS", 1)
+    monkeypatch.setattr(perplexity, "CODES", 3)
+    got = {r["doc_id"]: r for r in perplexity.quality(df, pair_chars=500).collect()}
+    assert got.keys() == want.keys() and all(got[i]["accepted"] == r["accepted"] for i, r in want.items())
+    assert all(got[i][c] == pytest.approx(r[c]) for i, r in want.items() for c in ("perplexity", "lower", "upper") if r[c] is not None)
+
+
+def test_edited_copies_stay_together():
+    import pyarrow as pa
+
+    rng = random.Random(10)
+    texts = [[f"w{rng.randrange(500)}" for _ in range(200)] for _ in range(400)]
+    edited = [[*t[:k], "edit", *t[k + 1 :]] for t in texts for k in (rng.randrange(200),)]
+    a, b = (perplexity.halves(*perplexity.tokens(pa.array([" ".join(t) for t in x]))) for x in (texts, edited))
+    assert (a == b).mean() > 0.95 and 0.4 < a.mean() < 0.6
+    assert perplexity.halves(*perplexity.tokens(pa.array(["", None, "a", "", "a", " "]))).tolist()[:2] == [0, 0]
+
+
 def test_counts_cover_all_documents(spark):
     texts = ["abc abc", "abc", None, "", "x y\nz " * 500]
     df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
