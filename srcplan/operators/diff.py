@@ -1,12 +1,12 @@
 """Unified diffs: lexing, parsing and totals, for many diffs at once.
 
-`parse` follows a line-based grammar by running sums within each diff, without Python: each `diff --git` line opens a file, each
-`@@` a hunk, and a line that fits neither state closes it. One diff is one window partition.
+`parse` follows a line-based grammar by expressions over each text, without Python: each `diff --git` line opens a file, each
+`@@` a hunk, and a line that fits neither state closes it. No diff is taken apart into rows of lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcplan.functions import paths
@@ -47,34 +47,51 @@ def tokens(diffs: DataFrame) -> DataFrame:
     return lines.select("diff_id", "line_no", token(F.col("text")).alias("token"), "text").filter("token is not null")
 
 
+def _any(*names: str) -> str:
+    """An expression of the lines with one of these tokens, at their beginning; a line that an earlier one of OLD and NEWHDR takes is not ADD or DEL."""
+    begin = {n: e[1:] for n, e in LEXER} | {"ADD": r"\+(?!\+\+ )", "DEL": "-(?!-- )"}
+    words = [begin[n] for n in names if begin[n][0].isalpha()]
+    # most lines begin with a sign, so one look at the first letter passes over all words
+    led = [f"(?=[{''.join(sorted({w[0] for w in words}))}])(?:{'|'.join(words)})"] if words else []
+    return f"(?:{'|'.join([begin[n] for n in names if not begin[n][0].isalpha()] + led)})"
+
+
+_CONTENT = ("ADD", "DEL", "CTX", "NOEOL")
+#: What ends a hunk.
+_NO_HUNK = tuple(n for n, _ in LEXER if n not in ("HUNK", "DIFF", *_CONTENT))
+
+
 def parse(diffs: DataFrame) -> DataFrame:
-    """(diff_id, file_idx, path, old_path, added, deleted, is_binary, is_rename) of each file of each diff."""
-    w = Window.partitionBy("diff_id").orderBy("line_no")
-    t = tokens(diffs).withColumn("file_idx", F.sum((F.col("token") == "DIFF").cast("int")).over(w)).filter("file_idx > 0")
-    f = Window.partitionBy("diff_id", "file_idx").orderBy("line_no")
-    before = f.rowsBetween(Window.unboundedPreceding, -1)
-    flag = lambda c: F.coalesce(c, F.lit(0)) == 1
-    t = t.withColumn("hunk", F.sum((F.col("token") == "HUNK").cast("int")).over(f))
-    t = t.withColumn("in_body", flag(F.max(F.col("token").isin("OLD", "NEWHDR").cast("int")).over(before)))
-    closes = (F.col("hunk") == 0) & (F.col("token").isin("ADD", "DEL", "CTX", "NOEOL", "BINARY") | (F.col("in_body") & ~F.col("token").isin("OLD", "NEWHDR", "HUNK")))
-    t = t.withColumn("closes", closes.cast("int"))
-    t = t.withColumn("closed", F.max("closes").over(f) == 1).withColumn("closed_before", flag(F.max("closes").over(before)))
-    h = Window.partitionBy("diff_id", "file_idx", "hunk").orderBy("line_no")
-    t = t.withColumn("broken", F.max((~F.col("token").isin("HUNK", "ADD", "DEL", "CTX", "NOEOL")).cast("int")).over(h) == 1)
-    counts = (F.col("hunk") > 0) & ~F.col("broken") & ~F.col("closed")
-    meta = (F.col("hunk") == 0) & ~F.col("in_body") & ~F.col("closed_before")
-    said = lambda tok, word: F.max_by(F.when(meta & (F.col("token") == tok), F.expr(f"substring(text, {len(word) + 1})")), F.when(meta & (F.col("token") == tok), F.col("line_no")))
-    named = F.max(F.when(F.col("token") == "DIFF", F.regexp_extract("text", r"^diff --git a/(.*?) b/", 1)))
-    out = t.groupBy("diff_id", "file_idx").agg(
-        named.alias("named"),
-        said("RENAME_FROM", "rename from ").alias("old_path"),
-        said("RENAME_TO", "rename to ").alias("new_path"),
-        F.sum((counts & (F.col("token") == "ADD")).cast("int")).alias("added"),
-        F.sum((counts & (F.col("token") == "DEL")).cast("int")).alias("deleted"),
-        F.bool_or(meta & (F.col("token") == "BINARY")).alias("is_binary"),
-        F.bool_or(meta & F.col("token").isin("RENAME_FROM", "RENAME_TO")).alias("is_rename"),
+    """(diff_id, file_idx, path, old_path, added, deleted, is_binary, is_rename) of each file of each diff.
+
+    A text is cut at its `diff --git` lines and each part at its first `@@`, where it lies: there is no shuffle and no row for a line. Rows that share a diff_id are diffs of their own.
+    """
+    parts = diffs.select("diff_id", "text", F.posexplode(F.split("text", r"\n(?=diff --git )", -1)).alias("pos", "s"))
+    t = parts.filter(F.col("s").startswith("diff --git ")).select("diff_id", (F.col("pos") + F.when(F.startswith("text", F.lit("diff --git ")), 1).otherwise(0)).cast("long").alias("file_idx"), "s")
+    lead = F.substring_index("s", "\n@@", 1)
+    t = t.select("diff_id", "file_idx", "s", lead.alias("lead"), F.substring("s", F.length(lead) + 1, F.length("s")).alias("hunks"))
+    # lines on the file itself end where a body begins or a line closes it
+    body = F.regexp_extract("lead", rf"(?s)\n({_any('OLD', 'NEWHDR', 'BINARY', *_CONTENT)}.*)", 1)
+    t = t.select("diff_id", "file_idx", "s", "lead", "hunks", body.alias("body"))
+    t = t.select("diff_id", "file_idx", "s", "hunks", "body", F.substring("lead", F.lit(1), F.length("lead") - F.length("body")).alias("meta"))
+    closed = F.col("body").rlike(rf"^{_any('BINARY', *_CONTENT)}|\n{_any(*_CONTENT, *[n for n in _NO_HUNK if n not in ('OLD', 'NEWHDR')])}")
+    # what follows the line that ends a hunk counts nowhere, up to the next hunk
+    counted = F.when(~closed, F.regexp_replace("hunks", rf"(?s)\n{_any(*_NO_HUNK)}.*?(?=\n@@|\z)", ""))
+    t = t.select("diff_id", "file_idx", "s", "meta", "body", counted.alias("counted"))
+    lines = lambda sign: F.coalesce(F.octet_length("counted") - F.octet_length(F.replace("counted", F.lit("\n" + sign), F.lit("\n"))), F.lit(0)).cast("long")
+    # the last line of each kind speaks
+    said = lambda word: F.when(F.contains("meta", F.lit("\n" + word)), F.regexp_replace(F.regexp_extract("meta", rf"(?s)^.*\n{word}([^\n]*)", 1), "\r$", ""))
+    old, new = said("rename from "), said("rename to ")
+    return t.select(
+        "diff_id",
+        "file_idx",
+        F.coalesce(new, F.regexp_extract("s", r"^diff --git a/(.*?) b/", 1)).alias("path"),
+        F.coalesce(old, F.lit("")).alias("old_path"),
+        lines("+").alias("added"),
+        lines("-").alias("deleted"),
+        F.startswith("body", F.lit("Binary files ")).alias("is_binary"),
+        (old.isNotNull() | new.isNotNull()).alias("is_rename"),
     )
-    return out.select("diff_id", "file_idx", F.coalesce("new_path", "named").alias("path"), F.coalesce("old_path", F.lit("")).alias("old_path"), "added", "deleted", "is_binary", "is_rename")
 
 
 def facts(files: DataFrame) -> DataFrame:
@@ -114,11 +131,13 @@ def totals(files: DataFrame) -> DataFrame:
 
 
 def render(files: DataFrame) -> DataFrame:
-    """(diff_id, text): a diff for each description (diff_id, file_idx, path, added, deleted), whose counts parse() gives back."""
-    body = F.concat(
-        F.array(F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path"), F.concat(F.lit("--- a/"), "path"), F.concat(F.lit("+++ b/"), "path"), F.concat(F.lit("@@ -1,"), F.col("deleted").cast("string"), F.lit(" +1,"), F.col("added").cast("string"), F.lit(" @@"))),
-        F.array_repeat(F.lit("-old"), F.col("deleted")),
-        F.array_repeat(F.lit("+new"), F.col("added")),
-    )
-    one = files.select("diff_id", F.struct("file_idx", F.array_join(body, "\n").alias("t")).alias("s"))
-    return one.groupBy("diff_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["t"]), "\n").alias("text"))
+    """(diff_id, text): a diff for each description (diff_id, file_idx, path, added, deleted), whose counts parse() gives back. Lines are made after grouping, so only descriptions are shuffled."""
+    number = lambda c: c.cast("string")
+
+    def one(x: Column) -> Column:
+        p = x["path"]
+        head = F.concat(F.lit("diff --git a/"), p, F.lit(" b/"), p, F.lit("\n--- a/"), p, F.lit("\n+++ b/"), p, F.lit("\n@@ -1,"), number(x["deleted"]), F.lit(" +1,"), number(x["added"]), F.lit(" @@"))
+        return F.concat(head, F.repeat(F.lit("\n-old"), x["deleted"]), F.repeat(F.lit("\n+new"), x["added"]))
+
+    every = files.groupBy("diff_id").agg(F.array_sort(F.collect_list(F.struct("file_idx", "path", "added", "deleted"))).alias("f"))
+    return every.select("diff_id", F.array_join(F.transform("f", one), "\n").alias("text"))

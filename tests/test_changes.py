@@ -99,6 +99,15 @@ def test_render_gives_counts_back(spark):
     assert sorted(map(tuple, back.collect())) == rows
 
 
+def test_diffs_are_parsed_where_they_lie(spark):
+    """No shuffle and no sort of lines, whose number is many times that of files; rows that share an id, or have none, are diffs of their own."""
+    text = HEAD.format("a.go") + "@@ -1 +1 @@\n+a\nindex 1..2\n+lost\n@@ -9 +9 @@\n-b\r\n" + HEAD.format("b.go") + "@@ -1 +1 @@\n+a"
+    d = diff.parse(spark.createDataFrame([(1, text), (1, text), (None, text)], "diff_id long, text string"))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
+    assert sorted((r["diff_id"] or 0, r["file_idx"], r["path"], r["added"], r["deleted"]) for r in d.collect()) == sorted([(i, 1, "a.go", 1, 1) for i in (1, 1, 0)] + [(i, 2, "b.go", 1, 0) for i in (1, 1, 0)])
+
+
 def test_facts(spark):
     names = {"main.go": "go", "internal/server/handler.go": "library", "internal/x.go": "go", "pkg/api/types.go": "library", "App.tsx": "typescript", "src/index.js": "typescript", "style.css": "style", "config.yaml": "config", "README.md": "documentation", "test/integration_test.go": "go", "test/x.sh": "test", "somefile.rs": "other"}
     f = diff.facts(spark.createDataFrame([(1, i, n, 1, 0) for i, n in enumerate(names)], FILE))
