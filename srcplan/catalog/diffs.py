@@ -37,11 +37,11 @@ def structural_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def structural_ratios(spark: SparkSession, d: str) -> DataFrame:
-    return structural.ratios(structural.buckets(_files(spark, d))).select("diff_id", *[F.round(c, 9).alias(c) for c in ("overhead", "test_to_logic", "productive")])
+    return structural.ratios(structural.buckets(_files(spark, d))).select("diff_id", *[structural.rounded(F.col(c)).alias(c) for c in ("overhead", "test_to_logic", "productive")])
 
 
 def cohesion_variance(spark: SparkSession, d: str) -> DataFrame:
-    return structural.cohesion(_files(spark, d)).select("diff_id", F.round("variance", 9).alias("variance"))
+    return structural.cohesion(_files(spark, d)).select("diff_id", structural.rounded(F.col("variance")).alias("variance"))
 
 
 def cohesion_clusters(spark: SparkSession, d: str) -> DataFrame:

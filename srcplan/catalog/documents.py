@@ -167,7 +167,7 @@ def json_ratios(spark: SparkSession, d: str) -> DataFrame:
     """What the JSON of the ratios says where one is infinite."""
     j = render.json_rows(structural.ratios(structural.buckets(diff.facts(T.changed_files(spark, d)))))
     at = lambda c: F.get_json_object("json", f"$.{c}")
-    return j.select(at("diff_id").cast("long").alias("diff_id"), at("test_to_logic").isNull().alias("missing"), F.coalesce(at("test_to_logic_infinite"), F.lit("false")).alias("infinite"), F.round(at("overhead").cast("double"), 9).alias("overhead"))
+    return j.select(at("diff_id").cast("long").alias("diff_id"), at("test_to_logic").isNull().alias("missing"), F.coalesce(at("test_to_logic_infinite"), F.lit("false")).alias("infinite"), structural.rounded(at("overhead").cast("double")).alias("overhead"))
 
 
 def gate_names(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from srcplan import catalog
 from srcplan.operators import decompose, diff, handoff, review, structural
 
 FILE = "diff_id long, file_idx int, path string, added int, deleted int"
@@ -108,6 +109,16 @@ def test_diffs_are_parsed_where_they_lie(spark):
     assert sorted((r["diff_id"] or 0, r["file_idx"], r["path"], r["added"], r["deleted"]) for r in d.collect()) == sorted([(i, 1, "a.go", 1, 1) for i in (1, 1, 0)] + [(i, 2, "b.go", 1, 0) for i in (1, 1, 0)])
 
 
+def test_ratios_of_large_changes_are_rounded_as_sql_does(spark, tmp_path):
+    """169 / 5120 has ten places, the last a 5: a change of 5,120 lines of logic and 169 of tests."""
+    lines = [(9.0, 2)] * 568 + [(8.0, 2)] + [(9.0, 3)] * 18 + [(7.0, 3)]
+    values = spark.createDataFrame([(k, i, q) for i, (q, k) in enumerate(lines)], "p long, i int, q double")
+    values.selectExpr("1L l_orderkey", "p l_partkey", "1L l_suppkey", "i l_linenumber", "q l_quantity", "1D l_extendedprice", "0D l_discount", "0D l_tax", "'A' l_returnflag", "'O' l_linestatus", "timestamp'2024-01-01' l_shipdate").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert catalog.queries()["structural_ratios"](spark, str(tmp_path)).first()["test_to_logic"] == 0.033007812
+    x = spark.createDataFrame([(169 / 5120,), (float("inf"),), (1 / 3,), (-2.5e-9,), (None,)], "x double").select(structural.rounded(F.col("x")))
+    assert [r[0] for r in x.collect()] == [0.033007812, float("inf"), 0.333333333, -3e-9, None]
+
+
 def test_facts(spark):
     names = {"main.go": "go", "internal/server/handler.go": "library", "internal/x.go": "go", "pkg/api/types.go": "library", "App.tsx": "typescript", "src/index.js": "typescript", "style.css": "style", "config.yaml": "config", "README.md": "documentation", "test/integration_test.go": "go", "test/x.sh": "test", "somefile.rs": "other"}
     f = diff.facts(spark.createDataFrame([(1, i, n, 1, 0) for i, n in enumerate(names)], FILE))
