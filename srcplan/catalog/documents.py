@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from srcplan.catalog import code, diffs, planning, samples
@@ -188,12 +188,17 @@ def source_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sarif_document(spark: SparkSession, d: str) -> DataFrame:
-    """What the SARIF document of all findings says."""
-    j = sarif.document(planning._described(spark, d))
-    run = "struct<results:array<struct<ruleId:string,ruleIndex:int,level:string,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int,endLine:int>>>>>>,tool:struct<driver:struct<rules:array<struct<id:string>>>>,properties:struct<errorCount:int,warningCount:int,noteCount:int>>"
-    r = j.select(F.from_json("json", f"struct<version:string,runs:array<{run}>>").alias("j")).select("j.version", F.col("j.runs")[0].alias("r"))
-    x = r.select("version", F.size("r.tool.driver.rules").alias("rules"), "r.properties.*", F.posexplode("r.results").alias("place", "x"))
-    return x.groupBy("version", "rules", "errorCount", "warningCount", "noteCount", F.col("x.ruleId").alias("rule")).agg(F.count("*").alias("n"), F.min("place").alias("first"), F.sum(F.col("x.locations")[0]["physicalLocation"]["region"]["startLine"]).alias("lines"), F.min(F.col("x.ruleIndex")).alias("rule_index"))
+    """What the SARIF document of all findings says, read piece by piece; what is known of the pieces, one row for each and each rule, gives the places in the whole."""
+    f = planning._described(spark, d)
+    run = "struct<tool:struct<driver:struct<rules:array<struct<id:string>>>>,properties:struct<errorCount:int,warningCount:int,noteCount:int>>"
+    r = sarif.frame(f).select(F.from_json(F.concat("head", "tail"), f"struct<version:string,runs:array<{run}>>").alias("j")).select("j.version", F.col("j.runs")[0].alias("r"))
+    r = r.select("version", F.size("r.tool.driver.rules").alias("rules"), "r.properties.*")
+    result = "struct<ruleId:string,ruleIndex:int,level:string,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int,endLine:int>>>>>"
+    x = sarif.pieces(f).select("part", F.posexplode(F.from_json("json", f"array<{result}>")).alias("place", "x"))
+    x = x.groupBy("part", F.col("x.ruleId").alias("rule")).agg(F.count("*").alias("n"), F.min("place").alias("first"), F.sum(F.col("x.locations")[0]["physicalLocation"]["region"]["startLine"]).alias("lines"), F.min(F.col("x.ruleIndex")).alias("rule_index"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = x.withColumn("first", (before + F.col("first")).cast("int")).groupBy("rule").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.sum("lines").alias("lines"), F.min("rule_index").alias("rule_index"))
+    return x.crossJoin(F.broadcast(r)).select("version", "rules", "errorCount", "warningCount", "noteCount", "rule", "n", "first", "lines", "rule_index")
 
 
 def scaffold_findings(spark: SparkSession, d: str) -> DataFrame:

@@ -111,6 +111,19 @@ def test_sarif(spark):
 FACT = "repo string, rel_path string, is_dir boolean, content string"
 
 
+def test_sarif_in_parts(spark):
+    """No row has more than a piece of the results, and the parts give the document."""
+    n = 2 * sarif.PIECE + 5
+    f = spark.range(n).selectExpr("id * 5 % " + str(n) + " as diag_idx", "concat('c', id % 3) as code", "if(id % 2 = 0, 'high', 'low') as severity", "concat('m \"', id, '\", ü') as message", "'f.go' as file", "cast(id % 40 as int) as line", "'s' as symbol")
+    p = sarif.parts(f).orderBy("part").collect()
+    assert max(r["json"].count("ruleIndex") for r in p) <= sarif.PIECE
+    d = json.loads("".join(r["json"] for r in p))
+    assert len(d["runs"][0]["results"]) == n == d["runs"][0]["properties"]["diagnosticCount"] and d == json.loads(sarif.document(f).first()[0])
+    order = {r["message"]: r["diag_idx"] for r in f.collect()}
+    assert [order[x["message"]["text"]] for x in d["runs"][0]["results"]] == list(range(n))
+    assert sorted(r["n"] for r in sarif.pieces(f).collect())[-1] <= sarif.PIECE and sarif.pieces(f.limit(0)).count() == 0
+
+
 def test_readiness(spark):
     rows = [
         ("go", "go.mod", False, "module x"), ("go", "README.md", False, ""), ("go", "Makefile", False, "test:\n\tx"), ("go", "healthz.go", False, None),
