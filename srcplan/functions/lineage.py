@@ -17,4 +17,7 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             path = "file://" + tempfile.mkdtemp(prefix="srcplan-")
         spark.sparkContext.setCheckpointDir(path)
-    return df.checkpoint()
+    kept = df.checkpoint()
+    # a checkpoint keeps the estimate of its size, that of a join is a product, and after twenty rounds it has millions of digits
+    jvm = spark._jsparkSession
+    return DataFrame(jvm.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False), spark)

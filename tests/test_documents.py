@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from srcplan.functions import lineage
 from srcplan.operators import diff, graph, handoff, pack, readiness, review, rules, structural
 from srcplan.plans import document, validate
 from srcplan.sources import files as S
@@ -71,6 +72,19 @@ def test_walk_has_no_depth_limit(spark):
     assert graph.walk(spark.createDataFrame([], "node_id string, parent_id string, ord int")).count() == 0
 
 
+def test_walk_keeps_pieces_of_paths_only(spark, monkeypatch):
+    """What is kept between rounds has no path that is longer than a piece, but for one node in a piece's levels."""
+    kept = []
+    cut = lineage.cut
+    monkeypatch.setattr(graph.lineage, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    monkeypatch.setattr(graph, "LEVELS", 16)
+    n = 700
+    got = {r["node_id"]: r for r in graph.walk(spark.createDataFrame([(f"n{i}", f"n{i - 2}" if i > 1 else None, i) for i in range(n)], "node_id string, parent_id string, ord int")).collect()}
+    assert all(r["path"] == "/".join(["0", *(f"{k:010d}" for k in range(i % 2, i + 1, 2))]) and r["depth"] == i // 2 for i, r in ((i, got[f"n{i}"]) for i in range(n))) and len(got) == n
+    chars = max(df.agg(F.sum(F.length("text"))).first()[0] for df in kept)
+    assert chars * 8 < sum(len(r["path"]) for r in got.values())
+
+
 def test_merged_graphs(spark):
     v = lambda *r: spark.createDataFrame(list(r), "node_id string, name string")
     assert sorted(map(tuple, graph.merge(v(("a", "left"), ("b", "left")), v(("b", "right"), ("c", "right"))).collect())) == [("a", "left"), ("b", "right"), ("c", "right")]
