@@ -21,6 +21,8 @@ _COMPONENT = (
     f"states:array<struct<name:string,line:int,has_updater:boolean>>,effects:{_SPOT},handlers:{_SPOT},conditionals:int,loops:int,has_keydown:boolean,has_analytics:boolean,exported:boolean,default_export:boolean>"
 )
 MODULES = f"file string, lang string, lines int, imports array<struct<source:string,default:string,names:array<string>>>, components array<{_COMPONENT}>, hooks {_HOOKS}"
+#: Files whose functions, components and modules a worker holds as Python objects at once.
+FILES = 256
 _PARSERS = {"go": golang.parse, "rust": rust.parse}
 TAGS = {".tsx": "typescriptreact", ".ts": "typescript", ".jsx": "javascriptreact", ".js": "javascript"}
 
@@ -30,11 +32,13 @@ def _arrow(df: DataFrame, ddl: str, rows_of) -> DataFrame:
     shape = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-            rows = [r for i in range(batch.num_rows) for r in rows_of({n: c[i] for n, c in cols.items()})]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=shape)
+        for whole in batches:
+            for at in range(0, whole.num_rows, FILES):
+                batch = whole.slice(at, FILES)
+                cols = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+                rows = [r for i in range(batch.num_rows) for r in rows_of({n: c[i] for n, c in cols.items()})]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
     return df.mapInArrow(run, schema)
 

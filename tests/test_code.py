@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,19 @@ def test_sarif_in_parts(spark):
     assert sorted(r["n"] for r in sarif.pieces(f).collect())[-1] <= sarif.PIECE and sarif.pieces(f.limit(0)).count() == 0
 
 
+def test_files_are_parsed_in_slices():
+    """Of a batch of thousands, no more than FILES are Python objects at once; all are parsed."""
+    n, kept = 2 * parse.FILES + 3, []
+
+    class Frame:
+        def mapInArrow(self, run, schema):
+            kept.append(run)
+
+    parse._arrow(Frame(), "path string", lambda r: [{"path": r["path"]}])
+    out = list(kept[0](iter([pa.RecordBatch.from_pydict({"path": [str(i) for i in range(n)]})])))
+    assert max(b.num_rows for b in out) <= parse.FILES and [x for b in out for x in b.column(0).to_pylist()] == [str(i) for i in range(n)]
+
+
 def test_readiness(spark):
     rows = [
         ("go", "go.mod", False, "module x"), ("go", "README.md", False, ""), ("go", "Makefile", False, "test:\n\tx"), ("go", "healthz.go", False, None),
